@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import langid, warc_store
+from . import langid, phrase_index, repetition, warc_store
 
 QUERIES = {
     "op3_langid": langid.op3_langid,
     "op4_warc": warc_store.op4_warc,
+    "op5_repetition": repetition.op5_repetition,
+    "op8_decontaminate": phrase_index.op8_decontaminate,
 }
 
 ORACLES = {
     "op4_warc": warc_store.OP4_SQL,
+    "op8_decontaminate": phrase_index.OP8_SQL,
 }
