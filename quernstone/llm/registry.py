@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import langid, phrase_index, repetition, warc_store
+from . import langid, phrase_index, repetition, site_text, warc_store
 
 QUERIES = {
+    "op2_site_text": site_text.op2_site_text,
     "op3_langid": langid.op3_langid,
     "op4_warc": warc_store.op4_warc,
     "op5_repetition": repetition.op5_repetition,
