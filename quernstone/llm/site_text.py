@@ -184,8 +184,7 @@ def _roots(root: Node) -> list[Node]:
                     if c.tag == "main" or role:
                         mains.append(c)
                     stack.append((c, inside))
-    # a stack visits in page order, as children go on it last first; siblings are met last first
-    order = {id(n): k for k, n in enumerate(reversed(list(_walk(root))))}
+    order = {id(n): k for k, n in enumerate(_walk(root))}
     articles.sort(key=lambda n: order[id(n)])
     return articles or mains[:1] or [root]
 
