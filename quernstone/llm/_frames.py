@@ -52,11 +52,11 @@ def arrow_schema(schema: str | T.StructType) -> pa.Schema:
     return to_arrow_schema(T._parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
 
-def map_text(df: DataFrame, fn: Callable, out: str, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """Columns keep (struct) and out (struct): fn(data, offs) gives the arrays of out for a batch of whole texts.
+def map_text(df: DataFrame, fn: Callable, out: str, text: str = "text", keep: Sequence[str] = ("doc_id",), flat: bool = True) -> DataFrame:
+    """Columns of keep and out (struct): fn(data, offs) gives the arrays of out for a batch of whole texts.
 
-    No shuffle; row for row, so repeated rows and null keys need no care. The structs keep
-    columns of the input apart from those made here, whatever their names are.
+    No shuffle; row for row, so repeated rows and null keys need no care. Not flat: the
+    columns of keep stay a struct keep (fields c0, c1, ..), for inputs that may have an out themselves.
     """
     tune(df.sparkSession)
     source = df.select(F.struct(*[quoted(c).alias(f"c{i}") for i, c in enumerate(keep)]).alias("keep"), quoted(text).cast("binary").alias("text"))
@@ -72,4 +72,11 @@ def map_text(df: DataFrame, fn: Callable, out: str, text: str = "text", keep: Se
             yield pa.RecordBatch.from_arrays([b.column(0).cast(want.field("keep").type), pa.StructArray.from_arrays(cols, fields=list(want.field("out").type))], schema=want)
 
     made = source.mapInArrow(run, schema)
+    if not flat:
+        return made
     return made.select(*[F.col(f"keep.c{i}").alias(c) for i, c in enumerate(keep)], "out")
+
+
+def unpacked(df: DataFrame, names: Sequence[str], struct: str = "keep") -> DataFrame:
+    """The columns that a struct of fields c0, c1, .. holds, by their names."""
+    return df.select(*[F.col(f"{struct}.c{i}").alias(c) for i, c in enumerate(names)])

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._frames import map_text, quoted, table, tune
+from ._frames import map_text, quoted, table, tune, unpacked
 from ._text import blocks, buffers
 
 SYMBOLS, GRAMS, DIMENSIONS, SEED = 64, 64**3, 1024, 7
@@ -118,7 +118,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
     return made
 
 
-def classify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", keep=("doc_id",)) -> DataFrame:
+def classify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", keep=("doc_id",), flat: bool = True) -> DataFrame:
     """The columns of keep, and out: struct of lang_pred and score (the cosine, 0 at least)."""
     names = sorted(prototypes)
     matrix = np.array([prototypes[k] for k in names], np.float32).reshape(len(names), DIMENSIONS).T
@@ -147,7 +147,7 @@ def classify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
             scores.append(score)
         return [pa.array(langs, pa.string()), np.concatenate(scores)]
 
-    return map_text(docs, predict, "lang_pred string, score double", text, keep)
+    return map_text(docs, predict, "lang_pred string, score double", text, keep, flat)
 
 
 def held_out(key: str = "doc_id"):
@@ -163,5 +163,5 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.02) -> DataFrame:
     """Rows whose text has a language: not ``und``, and a cosine of least or more with its prototype."""
     names = docs.columns
-    made = classify(docs, train(docs), keep=names)
-    return made.where((F.col("out.lang_pred") != "und") & (F.col("out.score") >= least)).select(*[quoted(c) for c in names])
+    made = classify(docs, train(docs), keep=names, flat=False)
+    return unpacked(made.where((F.col("out.lang_pred") != "und") & (F.col("out.score") >= least)), names)

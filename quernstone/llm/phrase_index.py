@@ -16,7 +16,6 @@ repeated items count once, by item_id; a window that occurs in several items hit
 
 from __future__ import annotations
 
-import hashlib
 from functools import reduce
 
 import numpy as np
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._frames import arrow_schema, quoted, shared_dir, table, tune
+from ._frames import arrow_schema, quoted, shared_dir, table, tune, unpacked
 from ._text import LOWER, NOT_ALNUM, blocks, buffers, shingles, spans_hash, word_spans
 
 BLOCK = 4 << 20
@@ -176,7 +175,7 @@ def _chunks(found: DataFrame):
 
 
 def search(index: DataFrame, found: DataFrame, slop: int | None = None) -> DataFrame:
-    """For each document of the index: the columns c0.. kept with it, and out (n_words, n_hit, items, contaminated).
+    """For each document of the index: keep (struct of the columns c0.. kept with it) and out (n_words, n_hit, items, contaminated).
 
     slop None: words inside exact occurrences are hit; else the anchors of proximity matches.
     """
@@ -209,13 +208,13 @@ def search(index: DataFrame, found: DataFrame, slop: int | None = None) -> DataF
 
         return run
 
-    frames = [index.withColumn("docs", F.col("docs")).mapInArrow(over(spark.sparkContext.broadcast(q)), raw) for q in _chunks(found)]
+    frames = [index.mapInArrow(over(spark.sparkContext.broadcast(q)), raw) for q in _chunks(found)]
     if len(frames) > 1:
         whole = reduce(DataFrame.unionByName, frames)
         made = whole.groupBy("keep", "n_words").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     else:
         made = frames[0]
-    return made.select("keep.*", F.struct(F.col("n_words"), F.size("hits").cast("long").alias("n_hit"), F.array_sort("items").alias("items"), (F.size("hits") > 0).alias("contaminated")).alias("out"))
+    return made.select("keep", F.struct(F.col("n_words"), F.size("hits").cast("long").alias("n_hit"), F.array_sort("items").alias("items"), (F.size("hits") > 0).alias("contaminated")).alias("out"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, k: int = 10, keep=("doc_id",)) -> DataFrame:
@@ -224,14 +223,14 @@ def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, k: int
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select(F.col("c0").alias("doc_id"), "out.n_words", "out.n_hit", F.size("out.items").cast("long").alias("n_items"), F.sha2(F.array_join("out.items", ",").cast("binary"), 256).alias("items_sha256"), "out.contaminated")
+    return found.select(F.col("keep.c0").alias("doc_id"), "out.n_words", "out.n_hit", F.size("out.items").cast("long").alias("n_items"), F.sha2(F.array_join("out.items", ",").cast("binary"), 256).alias("items_sha256"), "out.contaminated")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark passage."""
     names = docs.columns
     found = decontaminate(spark, docs, table(spark, sf_dir, "benchmark"), keep=names)
-    return found.where("NOT out.contaminated").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
+    return unpacked(found.where("NOT out.contaminated"), names)
 
 
 OP8_SQL = r"""

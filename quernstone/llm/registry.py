@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import langid, phrase_index, repetition, site_text, warc_store
+from . import langid, near_dup, phrase_index, repetition, site_text, warc_store
 
 QUERIES = {
     "op2_site_text": site_text.op2_site_text,
@@ -10,9 +10,11 @@ QUERIES = {
     "op4_warc": warc_store.op4_warc,
     "op5_repetition": repetition.op5_repetition,
     "op8_decontaminate": phrase_index.op8_decontaminate,
+    "op9_near_dup": near_dup.op9_near_dup,
 }
 
 ORACLES = {
     "op4_warc": warc_store.OP4_SQL,
     "op8_decontaminate": phrase_index.OP8_SQL,
+    "op9_near_dup": near_dup.OP9_SQL,
 }

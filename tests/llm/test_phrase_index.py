@@ -72,5 +72,5 @@ def test_proximity(spark, folder):
     path = folder([(1, "alpha x beta y gamma"), (2, "gamma beta " + "z " * 30 + "alpha"), (3, "alpha beta"), (4, "gamma")], [(9, "alpha beta gamma")])
     index = phrase_index.build(spark.read.parquet(f"{path}/documents.parquet"), f"{path}/index")
     found = phrase_index.windows(spark.read.parquet(f"{path}/benchmark.parquet"), 3)
-    assert {r.c0 for r in phrase_index.search(index, found, slop=5).collect() if r.out.contaminated} == {1}
+    assert {r.keep.c0 for r in phrase_index.search(index, found, slop=5).collect() if r.out.contaminated} == {1}
     assert not any(r.out.contaminated for r in phrase_index.search(index, found).collect())
