@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, langid, near_dup, phrase_index, repetition, site_text, warc_store
+from . import byte_bpe, langid, near_dup, phrase_index, pii, repetition, site_text, warc_store
 
 QUERIES = {
     "op2_site_text": site_text.op2_site_text,
     "op3_langid": langid.op3_langid,
     "op4_warc": warc_store.op4_warc,
     "op5_repetition": repetition.op5_repetition,
+    "op6_pii": pii.op6_pii,
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
     "op8_decontaminate": phrase_index.op8_decontaminate,
     "op9_near_dup": near_dup.op9_near_dup,
