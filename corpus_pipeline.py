@@ -4,17 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quernstone.llm import langid
+from quernstone.llm import byte_bpe, langid, near_dup, phrase_index, pii
 from quernstone.llm._frames import stored, table
 
+#: Each step takes (spark, docs, sf_dir); all but the last return the columns of documents.
 STAGES = [
     ("language", langid.stage),
+    ("near_duplicates", near_dup.stage),
+    ("benchmark", phrase_index.stage),
+    ("personal_data", pii.stage),
+    ("tokens", byte_bpe.stage),
 ]
 
+#: Learned languages, sketches and merges have no SQL form; tests hold the steps against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents, each written below the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, step in STAGES:
         docs = stored(step(spark, docs, sf_dir), f"pipeline-{name}")
