@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, langid, near_dup, phrase_index, pii, repetition, site_text, warc_store
+from . import byte_bpe, langid, near_dup, phrase_index, pii, repetition, site_text, suffix_dedup, warc_store
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_site_text": site_text.op2_site_text,
     "op3_langid": langid.op3_langid,
     "op4_warc": warc_store.op4_warc,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_suffix_dedup": suffix_dedup.OP1_SQL,
     "op4_warc": warc_store.OP4_SQL,
     "op8_decontaminate": phrase_index.OP8_SQL,
     "op9_near_dup": near_dup.OP9_SQL,
