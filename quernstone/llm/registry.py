@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, langid, near_dup, phrase_index, pii, repetition, site_text, suffix_dedup, warc_store
+from . import byte_bpe, langid, license_scan, near_dup, phrase_index, pii, repetition, site_text, suffix_dedup, warc_store
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_byte_bpe": byte_bpe.op7_byte_bpe,
     "op8_decontaminate": phrase_index.op8_decontaminate,
     "op9_near_dup": near_dup.op9_near_dup,
+    "op10_license_scan": license_scan.op10_license_scan,
 }
 
 ORACLES = {
@@ -21,4 +22,5 @@ ORACLES = {
     "op4_warc": warc_store.OP4_SQL,
     "op8_decontaminate": phrase_index.OP8_SQL,
     "op9_near_dup": near_dup.OP9_SQL,
+    "op10_license_scan": license_scan.OP10_SQL,
 }
