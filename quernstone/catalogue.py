@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from .plans import queries
 
-from .operators import graph
-
-QUERIES = {"top_callees": graph.top_callees_query}
-ORACLES = {"top_callees": graph.TOP_CALLEES_SQL}
+QUERIES = dict(queries.QUERIES)
+ORACLES = dict(queries.ORACLES)

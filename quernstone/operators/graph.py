@@ -1,23 +1,167 @@
-"""Graph operators over (src, dst) edge frames."""
+"""Graph operators over (src, dst) edge frames: degrees, hops, closures, paths, trees, chains, cycles.
+
+Traversals keep only a frontier and the set of nodes found; each round is one join on the edges and one
+anti-join, checkpointed so that lineage doesn't grow. Path operators carry the path as an array and are
+always bounded by a length, as their number is exponential.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def part_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct part-to-supplier edges."""
-    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return rows.select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")).distinct()
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df with its lineage cut in the folder of spark.checkpoint.dir (a temporary one only where that is unset)."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quernstone-"))
+    return df.checkpoint()
+
+
+def simple(edges: DataFrame) -> DataFrame:
+    """Parallel edges collapsed."""
+    return edges.select("src", "dst").distinct()
+
+
+def degrees(edges: DataFrame, end: str, nodes: DataFrame | None = None) -> DataFrame:
+    """id, n: distinct edges at that end; with nodes (id), those without one count 0."""
+    found = simple(edges).groupBy(F.col(end).alias("id")).agg(F.count("*").alias("n"))
+    return found if nodes is None else nodes.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def top_degrees(edges: DataFrame, end: str, n: int = 15, nodes: DataFrame | None = None) -> DataFrame:
+    return degrees(edges, end, nodes).orderBy(F.desc("n"), "id").limit(n)
+
+
+def node_ids(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("src").alias("id")).unionByName(edges.select(F.col("dst").alias("id"))).distinct()
+
+
+def counts(edges: DataFrame) -> DataFrame:
+    return node_ids(edges).agg(F.count("*").alias("node_count")).crossJoin(simple(edges).agg(F.count("*").alias("edge_count")))
+
+
+def reversed_(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+
+
+def reach(edges: DataFrame, starts: DataFrame, depth: int = -1) -> DataFrame:
+    """start, id, hops (fewest): nodes that each start (column id) reaches in 1 to depth hops; without bound if depth < 0.
+
+    A bounded search includes a start that lies on a cycle of that length; an unbounded one leaves starts out.
+    """
+    step = checkpointed(simple(edges))
+    seen = starts.select(F.col("id").alias("start"), "id").distinct().join(step.select(F.col("src").alias("id")).distinct(), "id", "left_semi").select("start", "id", F.lit(0).alias("hops"))
+    front, found, hop = seen, None, 0
+    while depth < 0 or hop < depth:
+        hop += 1
+        nxt = front.alias("f").join(step.alias("e"), F.col("f.id") == F.col("e.src")).select("f.start", F.col("e.dst").alias("id")).distinct()
+        if depth < 0:
+            nxt = nxt.where("start <> id")
+        if found is not None:
+            nxt = nxt.join(found, ["start", "id"], "left_anti")
+        front = checkpointed(nxt.withColumn("hops", F.lit(hop)))
+        if front.isEmpty():
+            break
+        found = front if found is None else found.unionByName(front)
+    return found if found is not None else seen.limit(0)
+
+
+def can_reach(edges: DataFrame, src, dst) -> bool:
+    """Whether dst lies below src; breadth first, stopped when found."""
+    step, front, seen = checkpointed(simple(edges)), None, None
+    front = step.where(F.col("src") == F.lit(src)).select(F.col("dst").alias("id")).distinct()
+    while True:
+        front = checkpointed(front if seen is None else front.join(seen, "id", "left_anti"))
+        if front.isEmpty():
+            return False
+        if not front.where(F.col("id") == F.lit(dst)).isEmpty():
+            return True
+        seen = front if seen is None else seen.unionByName(front)
+        front = front.join(step, front["id"] == step["src"]).select(F.col("dst").alias("id")).distinct()
+
+
+def paths(edges: DataFrame, starts: DataFrame, length: int, fan_out: int | None = None, order: Column | None = None, simple_only: bool = True) -> DataFrame:
+    """path (array): all paths of 1 to length edges from the starts (id); simple ones only, or with repeats.
+
+    fan_out keeps each node's first edges in order (by dst unless given).
+    """
+    step = simple(edges)
+    if fan_out:
+        step = step.withColumn("k", F.row_number().over(Window.partitionBy("src").orderBy(order if order is not None else F.col("dst")))).where(F.col("k") <= fan_out).drop("k")
+    step = checkpointed(step)
+    front = starts.select(F.array("id").alias("path")).distinct()
+    found = None
+    for _ in range(length):
+        nxt = front.join(step, F.element_at("path", -1) == F.col("src"))
+        if simple_only:
+            nxt = nxt.where(~F.array_contains("path", F.col("dst")))
+        front = nxt.select(F.concat("path", F.array("dst")).alias("path"))
+        found = front if found is None else found.unionByName(front)
+    return found
+
+
+def all_paths(edges: DataFrame, src, dst, cutoff: int = 15, most: int | None = 20) -> DataFrame:
+    """Simple paths from src to dst of at most cutoff edges; the most shortest, ties by path."""
+    start = edges.sparkSession.createDataFrame([(src,)], f"id {edges.schema['src'].dataType.simpleString()}")
+    found = paths(edges.where(F.col("src") != F.lit(dst)), start, cutoff).where(F.element_at("path", -1) == F.lit(dst))
+    return found.orderBy(F.size("path"), "path").limit(most) if most else found
+
+
+def shortest_paths(edges: DataFrame, src) -> DataFrame:
+    """id, path: a shortest path from src to each node below it; of several the smallest."""
+    step = checkpointed(simple(edges))
+    front = step.sparkSession.createDataFrame([(src,)], f"id {edges.schema['src'].dataType.simpleString()}").select("id", F.array("id").alias("path"))
+    found = front
+    while True:
+        nxt = front.alias("f").join(step.alias("e"), F.col("f.id") == F.col("e.src")).groupBy(F.col("e.dst").alias("id")).agg(F.min(F.concat("f.path", F.array("e.dst"))).alias("path"))
+        front = checkpointed(nxt.join(found, "id", "left_anti"))
+        if front.isEmpty():
+            return found.where(F.size("path") > 1)
+        found = found.unionByName(front)
+
+
+def tree(edges: DataFrame, root, depth: int = 4, breadth: int = 8) -> DataFrame:
+    """node, parent, depth, path: the call or include tree below root. A node that repeats on its path is a leaf; each node shows its first breadth children."""
+    step = simple(edges).withColumn("k", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).where(F.col("k") <= breadth)
+    step = checkpointed(step)
+    front = edges.sparkSession.createDataFrame([(root,)], f"id {edges.schema['src'].dataType.simpleString()}").select(F.array("id").alias("path"), F.lit(False).alias("repeats"))
+    found = front
+    for _ in range(depth):
+        nxt = front.where("NOT repeats").join(step, F.element_at("path", -1) == F.col("src"))
+        front = nxt.select(F.concat("path", F.array("dst")).alias("path"), F.array_contains("path", F.col("dst")).alias("repeats"))
+        found = found.unionByName(front)
+    n = F.size("path")
+    return found.select(F.element_at("path", -1).alias("node"), F.when(n > 1, F.element_at("path", -2)).alias("parent"), (n - 1).alias("depth"), "path", "repeats")
 
 
-def degrees(edges: DataFrame, end: str, name: str = "n") -> DataFrame:
-    return edges.groupBy(F.col(end).alias("id")).agg(F.count("*").alias(name))
+def chains(edges: DataFrame, starts: DataFrame, depth: int = 6, fan_out: int = 5, most: int | None = 30) -> DataFrame:
+    """path: walks (cycles unroll) that end at a leaf or after depth edges, first fan_out edges of each node."""
+    step = simple(edges)
+    grown = paths(step, starts, depth, fan_out, simple_only=False).unionByName(starts.select(F.array("id").alias("path")))
+    leaf = grown.join(step.select("src").distinct(), F.element_at("path", -1) == F.col("src"), "left_anti")
+    full = grown.where(F.size("path") == depth + 1).join(step.select("src").distinct(), F.element_at("path", -1) == F.col("src"), "left_semi")
+    done = leaf.unionByName(full).distinct()
+    return done.orderBy("path").limit(most) if most else done
 
 
-def top_callees_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return degrees(part_edges(spark, sf_dir), "dst").orderBy(F.desc("n"), "id").limit(15)
+def cycles(edges: DataFrame, length: int = 6) -> DataFrame:
+    """path: elementary cycles of at most length edges, each once, from its smallest node on (which isn't repeated at the end)."""
+    step = checkpointed(simple(edges))
+    front = step.where("src <= dst").select(F.array("src").alias("path"), F.col("dst").alias("next"))
+    found = front.where(F.element_at("path", 1) == F.col("next")).select("path")
+    front = front.where(F.element_at("path", 1) < F.col("next"))
+    for _ in range(length - 1):
+        nxt = front.join(step, F.col("next") == F.col("src")).where("dst >= path[0]").select(F.concat("path", F.array("next")).alias("path"), F.col("dst").alias("next"))
+        found = found.unionByName(nxt.where("next = path[0]").select("path"))
+        front = nxt.where(~F.array_contains("path", F.col("next")))
+    return found
 
 
-TOP_CALLEES_SQL = "SELECT dst AS id, count(*) AS n FROM (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem) GROUP BY dst ORDER BY n DESC, id LIMIT 15"
+def decorated(found: DataFrame, nodes: DataFrame, on: str = "id", name: str = "name") -> DataFrame:
+    """found with the nodes' name; an unknown id reads <id:N>."""
+    named = nodes.select(F.col("id").alias(on), F.col(name).alias("label"))
+    return found.join(named, on, "left").withColumn("label", F.coalesce("label", F.concat(F.lit("<id:"), F.col(on).cast("string"), F.lit(">"))))
