@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import queries
+from .plans import code, queries
 
-QUERIES = dict(queries.QUERIES)
+QUERIES = queries.QUERIES | code.QUERIES
 ORACLES = dict(queries.ORACLES)
