@@ -71,6 +71,33 @@ class Code:
         bulk = a.groupBy("path", "function", "pointer").agg(F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
         return catalog.first_by(a.join(bulk, ["path", "function", "pointer"], "left_semi"), ["field"], [F.col("path"), F.col("line")]).select("field", F.col("rhs").alias("value"), "function")
 
+    def dependencies(self, least: int = 3) -> DataFrame:
+        """kind, source, target, value, function, path, line: how fields depend on each other.
+
+        DIRECT_OVERRIDE: a condition on source sets target; CASCADE: a case of a switch over source does;
+        AGGREGATION: either of these where source sets least or more fields, and flags shared by so many;
+        MUTUAL_EXCLUSION: a called function sets two or more known fields; SELF_OVERRIDE: a field set under a condition on itself.
+        """
+        field = lambda c: F.regexp_extract(c, r"(\w+)$", 1)
+        known = self.fields.select("field").distinct()
+        cols = lambda kind, source, target, value: [F.lit(kind).alias("kind"), source.alias("source"), target.alias("target"), value.alias("value"), "function", "path", "line"]
+        guarded = self.guarded.withColumn("target", field(F.col("field"))).join(known.withColumnRenamed("field", "target"), "target", "left_semi")
+        each = guarded.withColumn("source", F.explode("condition_fields")).withColumn("source", field(F.col("source")))
+        direct = each.where("source <> target").select(*cols("DIRECT_OVERRIDE", F.col("source"), F.col("target"), F.col("value")))
+        own = each.where("source = target").select(*cols("SELF_OVERRIDE", F.col("source"), F.col("target"), F.col("value")))
+        cascade = self.cascades.select(*cols("CASCADE", field(F.col("source")), field(F.col("target")), F.col("value")))
+        sets = direct.unionByName(cascade).distinct()
+        many = sets.groupBy("source").agg(F.countDistinct("target").alias("n")).where(F.col("n") >= least).drop("n")
+        aggregated = sets.join(many, "source", "left_semi").withColumn("kind", F.lit("AGGREGATION"))
+        flags = self.cli.select("flag", field(F.col("field")).alias("target"), "function", "path", "line")
+        shared = flags.groupBy("flag").agg(F.countDistinct("target").alias("n")).where(F.col("n") >= least).drop("n")
+        by_flag = flags.join(shared, "flag", "left_semi").select(*cols("AGGREGATION", F.col("flag"), F.col("target"), F.lit("")))
+        setters = self.assignments.where(F.col("operator") == "=").withColumn("target", field(F.col("lhs"))).where(F.col("lhs").rlike(r"->|\.")).join(known.withColumnRenamed("field", "target"), "target", "left_semi")
+        two = setters.groupBy("function").agg(F.countDistinct("target").alias("n")).where("n >= 2").drop("n")
+        caller = self.call_graph().groupBy(F.col("dst").alias("function")).agg(F.min("src").alias("caller"))
+        exclusive = catalog.first_by(setters.join(two, "function", "left_semi").join(caller, "function"), ["function", "target"], [F.col("path"), F.col("line")]).select(*cols("MUTUAL_EXCLUSION", F.col("caller"), F.col("target"), F.col("rhs")))
+        return sets.unionByName(aggregated).unionByName(by_flag).unionByName(exclusive).unionByName(own.distinct())
+
     def overrides(self) -> DataFrame:
         """gating, gated, function, line: fields that a condition on another field sets."""
         return self.gates.select("gating", "gated", "function", "path", "line").distinct()
@@ -94,5 +121,6 @@ QUERIES = {f"extract_{k}": _query(k) for k in cfront.ENTITIES} | {
     "taint_trace": lambda spark, d: _code(spark).trace(),
     "config_specs": lambda spark, d: _code(spark).specs(),
     "config_defaults": lambda spark, d: _code(spark).defaults(),
+    "config_dependencies": lambda spark, d: _code(spark).dependencies(),
     "config_overrides": lambda spark, d: _code(spark).overrides(),
 }

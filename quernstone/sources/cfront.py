@@ -318,7 +318,14 @@ class _File:
                     fields = [v for v in variables(inside) if "->" in v or "." in v]
                     now = (*gates, *fields)
                     self._range(inside, inner, name)
-                self._block(inner[1:-1] if inner and inner[0].text == "{" else inner, name, now)
+                inner = inner[1:-1] if inner and inner[0].text == "{" else inner
+                before = len(self.rows["assignments"])
+                if t.text == "switch":
+                    self._switch(inside, inner, name, now)
+                else:
+                    self._block(inner, name, now)
+                if t.text == "if":
+                    self._guarded(inside, self.rows["assignments"][before:], name)
                 k = stop
             elif t.text == "{" and (k == 0 or body[k - 1].text != "="):
                 shut = close(body, k)
@@ -336,6 +343,39 @@ class _File:
                 self._statement(body[k:stop], name, gates)
                 k = stop + 1
 
+    def _guarded(self, condition, assigned, name):
+        """Fields assigned under a condition; and under a comparison with a command-line flag."""
+        fields = [v for v in variables(condition) if "->" in v or "." in v]
+        flags = []
+        for callee, args, _ in calls(condition):
+            texts = [a[0].text[1:-1] for a in args if len(a) == 1 and a[0].kind == "string"]
+            if callee == "keymatch" and texts:
+                flags.append("-" + texts[0].lstrip("-"))
+            elif re.fullmatch(r"str\w*cmp", callee) and any(x.startswith("-") for x in texts):
+                flags += [x for x in texts if x.startswith("-")]
+        for a in assigned:
+            if "->" in a["lhs"] or "." in a["lhs"]:
+                self.add("guarded", function=name, field=a["lhs"], value=a["rhs"], condition=text_of(condition)[:200], condition_fields=fields, line=a["line"])
+                for flag in flags:
+                    self.add("cli", function=name, flag=flag, field=a["lhs"], line=a["line"])
+
+    def _switch(self, on, body, name, gates):
+        """Fields that three or more cases of a switch over a field assign."""
+        cuts = [k for k, t in enumerate(body) if t.text in ("case", "default")]
+        found, cases = [], 0
+        self._block(body[: cuts[0]] if cuts else body, name, gates)
+        for i, j in zip(cuts, [*cuts[1:], len(body)], strict=True):
+            before = len(self.rows["assignments"])
+            self._block(body[i:j], name, gates)
+            colon = next((k for k in range(i, j) if body[k].text == ":"), i)
+            new = [a for a in self.rows["assignments"][before:] if "->" in a["lhs"] or "." in a["lhs"]]
+            cases += bool(new)
+            found += [(text_of(body[i + 1 : colon]) or "default", a) for a in new]
+        over = variables(on)
+        if cases >= 3 and over and ("->" in over[0] or "." in over[0]):
+            for value, a in found:
+                self.add("cascades", function=name, source=over[0], case_value=value, target=a["lhs"], value=a["rhs"], line=a["line"])
+
     def _extent(self, body, k: int) -> int:
         """End of the statement at k."""
         if k < len(body) and body[k].text == "{":
@@ -427,6 +467,9 @@ ENTITIES = {
     "returns": "function string, expr string, vars array<string>, line int",
     "ranges": "function string, variable string, side string, bound string, line int",
     "gates": "function string, gating string, gated string, line int",
+    "guarded": "function string, field string, value string, condition string, condition_fields array<string>, line int",
+    "cli": "function string, flag string, field string, line int",
+    "cascades": "function string, source string, case_value string, target string, value string, line int",
 }
 
 

@@ -16,17 +16,17 @@ def pairs(df, *cols):
 
 
 def test_files_and_entities(code):
-    assert pairs(code.files, "path") == {("kiln.c",), ("kiln.h",), ("kiln_hw.h",), ("panel.c",)}
+    assert pairs(code.files, "path") == {("kiln.c",), ("kiln.h",), ("kiln_hw.h",), ("modes.c",), ("panel.c",)}
     assert pairs(code.fields.where("struct = 'kiln_settings'"), "field", "type", "comment") == {("target_temp", "int", "degrees"), ("ramp_rate", "int", "degrees a minute"), ("mode", "enum heat_mode", ""), ("label", "unsigned char *", ""), ("use_fan", "int", ""), ("fan_level", "int", "")}
     assert pairs(code.enum_values, "value", "number") == {("HEAT_OFF", 0), ("HEAT_SLOW", 4), ("HEAT_FAST", 5)}
-    assert pairs(code.ranges, "function", "variable", "side", "bound") == {("clamp_level", "level", "max", "most")}
+    assert pairs(code.ranges, "function", "variable", "side", "bound") == {("clamp_level", "level", "max", "most"), ("modes_apply", "cfg->fan_level", "max", "3")}
     assert pairs(code.macros.where("writes"), "macro") == {("WRITE_REG",), ("POKE",)}
-    assert pairs(code.functions.where("is_definition"), "name") == {(n,) for n in ("clamp_level", "scaled", "set_fan", "kiln_defaults", "kiln_apply", "kiln_flush", "on_up", "on_fan", "panel_main")}
+    assert pairs(code.functions.where("is_definition"), "name") == {(n,) for n in ("clamp_level", "scaled", "set_fan", "kiln_defaults", "kiln_apply", "kiln_flush", "on_up", "on_fan", "panel_main", "modes_apply", "modes_parse")}
 
 
 def test_graphs(code):
-    assert pairs(code.call_graph(), "src", "dst") == {("kiln_apply", "scaled"), ("kiln_apply", "clamp_level"), ("kiln_apply", "set_fan"), ("panel_main", "on_up"), ("panel_main", "on_fan"), ("panel_main", "kiln_apply")}
-    assert pairs(code.include_graph(), "src", "dst", "tier") == {("kiln.c", "kiln.h", 1), ("panel.c", "kiln.h", 1), ("kiln.h", "kiln_hw.h", 1), ("panel.c", None, None)}
+    assert pairs(code.call_graph(), "src", "dst") == {("kiln_apply", "scaled"), ("kiln_apply", "clamp_level"), ("kiln_apply", "set_fan"), ("panel_main", "on_up"), ("panel_main", "on_fan"), ("panel_main", "kiln_apply"), ("modes_parse", "modes_apply")}
+    assert pairs(code.include_graph(), "src", "dst", "tier") == {("kiln.c", "kiln.h", 1), ("panel.c", "kiln.h", 1), ("modes.c", "kiln.h", 1), ("kiln.h", "kiln_hw.h", 1), ("panel.c", None, None)}
     assert graph.can_reach(code.call_graph(), "panel_main", "set_fan") and not graph.can_reach(code.call_graph(), "set_fan", "panel_main")
 
 
@@ -47,10 +47,19 @@ def test_specs_defaults_overrides(code):
     spec = {r.field: r for r in code.specs().where("struct = 'kiln_settings'").collect()}
     assert spec["mode"].enum_values == ["HEAT_OFF", "HEAT_SLOW", "HEAT_FAST"]
     assert spec["fan_level"].sinks == ["regs->fan = speed"] and "via set_fan" in spec["fan_level"].description
-    assert pairs(code.defaults(), "field", "value") == {("target_temp", "900"), ("ramp_rate", "5"), ("fan_level", "1")}
+    assert pairs(code.defaults(), "field", "value") == {("target_temp", "900"), ("ramp_rate", "5"), ("fan_level", "1"), ("use_fan", "0")}
     assert ("cfg->use_fan", "cfg->fan_level") in pairs(code.overrides(), "gating", "gated")
 
 
+def test_dependencies(code):
+    found = pairs(code.dependencies(), "kind", "source", "target", "value")
+    assert {("CASCADE", "mode", "target_temp", "20"), ("CASCADE", "mode", "ramp_rate", "2"), ("CASCADE", "mode", "fan_level", "3")} <= found
+    assert {("DIRECT_OVERRIDE", "use_fan", "ramp_rate", "1"), ("DIRECT_OVERRIDE", "mode", "ramp_rate", "1")} <= found
+    assert ("SELF_OVERRIDE", "fan_level", "fan_level", "3") in found
+    assert ("AGGREGATION", "mode", "fan_level", "3") in found and ("AGGREGATION", "-dry", "use_fan", "") in found
+    assert ("MUTUAL_EXCLUSION", "modes_parse", "ramp_rate", "2") in found
+
+
 def test_front_end_bears_anything():
     for text in ("", "{", "}", "int f(", "#define", "struct {", "a = = b;", 'char *s = "unclosed;\nint x;', "void f() { if (x { } ", "/* open", "\x00\xff", "switch(", "int a[] = {[0] = f, g};"):
         assert set(cfront.extract(text)) == set(cfront.ENTITIES)
