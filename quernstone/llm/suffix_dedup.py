@@ -37,7 +37,7 @@ from ._frames import arrow_schema, quoted, table, tune
 from ._text import MIX1, blocks, mix, spans_hash
 from .byte_bpe import _chunks
 
-GROUP = 16 << 20
+GROUP = 6 << 20
 LENGTH, GRAM = 50, 20
 LAST = np.iinfo(np.int64).max
 FIVE = np.uint64(2**40 - 1)
@@ -169,20 +169,22 @@ def earlier(data: np.ndarray, begin: np.ndarray, size: np.ndarray, owner: np.nda
     only those still tied are sorted on.
     """
     counts = size - LENGTH + 1
-    piece = np.repeat(np.arange(len(size)), counts)
+    piece = np.repeat(np.arange(len(size), dtype=np.int32), counts)
     at = begin[piece] + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    if len(data) < 2**31:
+        at = at.astype(np.int32)
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     eight = np.zeros(len(data) + 1, np.uint64)
     for k in range(8):
         eight[: len(data)] |= padded[k : k + len(data)].astype(np.uint64) << np.uint64(56 - 8 * k)
-    order = np.arange(len(at))
-    group = np.zeros(len(at), np.int64)
+    order = np.arange(len(at), dtype=np.int32)
+    group = np.zeros(len(at), np.int32)
     for depth in (*range(0, LENGTH - 8, 8), LENGTH - 8):
         key = eight[at[order] + depth]
         inner = np.argsort(key) if depth == 0 else np.lexsort((key, group))
         order, key, group = order[inner], key[inner], group[inner]
         new = np.concatenate([[True], (key[1:] != key[:-1]) | (group[1:] != group[:-1])]) if len(key) else np.zeros(0, bool)
-        group = np.cumsum(new)
+        group = np.cumsum(new, dtype=np.int32)
         tied = np.bincount(group, minlength=1)[group] > 1
         order, group = order[tied], group[tied]
     out = np.zeros(len(at), bool)
