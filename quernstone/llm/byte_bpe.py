@@ -19,6 +19,7 @@ Edge cases: null and empty texts have no ids; repeated rows are encoded each by
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import heapq
 import json
@@ -47,7 +48,15 @@ RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 #: public_tokenizers.PATTERN with its alternatives in another order: those that begin with letters or digits can't match where a contraction does.
 _PIECES = regex.compile(r""" ?\p{L}++| ?\p{N}++|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+""")
-_MIXED_SPACE = re.compile(r"\s | \s|\A | \Z")
+
+
+#: The same for ASCII text, where the faster standard module can tell the classes.
+_ASCII_PIECES = re.compile(r" ?[A-Za-z]++| ?[0-9]++|'(?:s|t|re|ve|m|ll|d)| ?[^\sA-Za-z0-9]++|\s+(?!\S)|\s+", re.A)
+
+
+def pieces(text: str) -> list[str]:
+    """The words of a text, as public_tokenizers.PATTERN finds them."""
+    return _ASCII_PIECES.findall(text) if text.isascii() else _PIECES.findall(text)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -185,37 +194,57 @@ def _texts(chunk_sizes, chunk_texts):
             at += n
 
 
-def _parts(text: str):
-    """Parts of a text between single spaces, whose pieces don't depend on each other; None where white space is mixed."""
-    return None if _MIXED_SPACE.search(text) else text.split(" ")
+def _letters(s: str) -> bool:
+    """Whether s is letters only, by a test that needs no table newer than Latin Extended-B."""
+    return s.isalpha() and (s.isascii() or max(s) < "\u0250")
+
+
+def _after_space(part: str) -> list[str]:
+    """Pieces of a part with a space before it."""
+    if _letters(part):
+        return [" " + part]
+    if part[-1] in ".,;:!?" and _letters(part[:-1]):
+        return [" " + part[:-1], part[-1]]
+    return pieces(" " + part)
 
 
-def _words(texts) -> set[str]:
+def _no_cycles() -> None:
+    """Switch off the search for cyclic garbage: these functions hold hundreds of thousands of small lists and make no cycles."""
+    gc.disable()
+
+
+def _split(texts: list[str]):
+    """For each text: its parts between single spaces, whose pieces don't depend on each other (None: where white space is mixed, or nothing is), and the pieces of all distinct parts with a space before them."""
+    split = [t.split(" ") for t in texts]
+    distinct: set[str] = set()
+    for p in split:
+        distinct.update(p)
+    mixed = {p for p in distinct if not p or p[0].isspace() or p[-1].isspace()}
+    alone = [None if not mixed.isdisjoint(p) else p for p in split] if mixed else split
+    return alone, {p: _after_space(p) for p in distinct - mixed}
+
+
+def _words(texts: list[str], alone, after) -> set[str]:
     """Distinct words of texts."""
     words: set[str] = set()
-    parts: set[str] = set()
-    for t in texts:
-        p = _parts(t)
-        if p is None:
-            words.update(_PIECES.findall(t))
-        elif t:
-            words.update(_PIECES.findall(p[0]))
-            parts.update(p[1:])
-    for p in parts:
-        words.update(_PIECES.findall(" " + p))
+    for t, p in zip(texts, alone, strict=True):
+        words.update(pieces(p[0] if p else t))
+    for found in after.values():
+        words.update(found)
     return words
 
 
-def _dealt(words, buckets: int) -> dict[int, list[bytes]]:
-    """Words by bucket, in order."""
-    out: dict[int, list[bytes]] = {}
-    for w in sorted(x.encode() for x in words):
-        out.setdefault(zlib.crc32(w) % buckets, []).append(w)
+def _dealt(words, buckets: int) -> dict[int, list[str]]:
+    """Words by bucket, in order (that of code points, which is that of bytes too)."""
+    out: dict[int, list[str]] = {}
+    for w in sorted(words):
+        out.setdefault(zlib.crc32(w.encode()) % buckets, []).append(w)
     return out
 
 
-def _packed(words: list[bytes]) -> bytes:
-    return zstandard.ZstdCompressor(level=6).compress(np.array([len(words), *map(len, words)], np.int32).tobytes() + b"".join(words))
+def _packed(words: list[str]) -> bytes:
+    words = [w.encode() for w in words]
+    return zstandard.ZstdCompressor(level=3).compress(np.array([len(words), *map(len, words)], np.int32).tobytes() + b"".join(words))
 
 
 def _unpacked(raw: bytes) -> list[bytes]:
@@ -251,13 +280,16 @@ def encode(docs: DataFrame, rank_file: str = RANK_FILE, text: str = "text", keep
     chunks = _chunks(docs, groups, text, keep)
 
     def ask(part: pa.Table) -> pa.Table:
+        _no_cycles()
         g = part.column("g")[0].as_py()
-        dealt = _dealt(_words(_texts(part.column("sizes"), part.column("texts"))), groups)
+        texts = list(_texts(part.column("sizes"), part.column("texts")))
+        dealt = _dealt(_words(texts, *_split(texts)), groups)
         return pa.table({"bucket": pa.array(list(dealt), pa.int32()), "g": pa.array([g] * len(dealt), pa.int32()), "words": pa.array([_packed(w) for w in dealt.values()], pa.binary())})
 
     asked = chunks.groupBy("g").applyInArrow(ask, "bucket int, g int, words binary")
 
     def distinct(part: pa.Table) -> pa.Table:
+        _no_cycles()
         words = set()
         for raw in part.column("words").to_pylist():
             words.update(_unpacked(raw))
@@ -269,6 +301,7 @@ def encode(docs: DataFrame, rank_file: str = RANK_FILE, text: str = "text", keep
     folded = words.select("bucket", "word", F.when(F.col("long").isNotNull(), F.col("long")).otherwise(fold(F.col("word"), ranks)).alias("ids"))
 
     def answer(asks: pa.Table, known: pa.Table) -> pa.Table:
+        _no_cycles()
         ids = known.column("ids").combine_chunks()
         borders = ids.offsets.to_numpy().astype(np.int64)
         values = ids.values.to_numpy().astype(np.int32)
@@ -288,31 +321,22 @@ def encode(docs: DataFrame, rank_file: str = RANK_FILE, text: str = "text", keep
     want = arrow_schema(schema)
 
     def write(part: pa.Table, got: pa.Table) -> pa.Table:
+        _no_cycles()
         rank_bytes, borders = _vocabulary(rank_file)
         texts = list(_texts(part.column("sizes"), part.column("texts")))
-        dealt = _dealt(_words(texts), groups)
+        alone, found = _split(texts)
+        dealt = _dealt(_words(texts, alone, found), groups)
         ids_of: dict[str, bytes] = {}
         for bucket, n, raw in zip(got.column("bucket").to_pylist(), got.column("n").to_pylist(), got.column("ids").to_pylist(), strict=True):
             data = zstandard.ZstdDecompressor().decompress(raw)
             ends = np.cumsum(np.frombuffer(data, np.int32, n), dtype=np.int64) * 4 + 4 * n
             for w, a, b in zip(dealt[bucket], [4 * n, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                ids_of[w.decode()] = data[a:b]
-        after: dict[str, bytes] = {}
-        first = lambda p: b"".join([ids_of[w] for w in _PIECES.findall(p)])
+                ids_of[w] = data[a:b]
+        after = {p: b"".join([ids_of[w] for w in x]) for p, x in found.items()}
+        first = lambda p: b"".join([ids_of[w] for w in pieces(p)])
         cols: list[list] = [[], [], [], []]
-        for t in texts:
-            p = _parts(t)
-            if p is None or not t:
-                ids = first(t)
-            else:
-                try:
-                    rest = [after[x] for x in p[1:]]
-                except KeyError:
-                    for x in p[1:]:
-                        if x not in after:
-                            after[x] = first(" " + x)
-                    rest = [after[x] for x in p[1:]]
-                ids = first(p[0]) + b"".join(rest)
+        for t, p in zip(texts, alone, strict=True):
+            ids = first(p[0]) + b"".join(map(after.__getitem__, p[1:])) if p else first(t)
             back = decode(np.frombuffer(ids, np.uint32).astype(np.int64), rank_bytes, borders)
             for c, x in zip(cols, (len(ids) // 4, ids if with_ids else None, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()), strict=True):
                 c.append(x)

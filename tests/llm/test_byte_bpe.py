@@ -51,7 +51,10 @@ def test_pieces_as_the_pattern_gives_them():
     import regex
 
     for t in samples():
-        assert B._PIECES.findall(t or "") == regex.findall(public_tokenizers.PATTERN, t or "")
+        assert B._PIECES.findall(t or "") == B.pieces(t or "") == regex.findall(public_tokenizers.PATTERN, t or "")
+    for c in range(128):
+        t = f"a{chr(c)}b {chr(c)} {chr(c)}{chr(c)}1 'll{chr(c)}"
+        assert B.pieces(t) == regex.findall(public_tokenizers.PATTERN, t)
 
 
 def test_empty_table_and_stage(spark, folder, reference):
