@@ -1,7 +1,7 @@
 """MinHash near-dedup with HyperMinHash sketches, exact verification and components.
 
-A document's set of word shingles is hashed; each of 512 buckets keeps the position of the
-first one bit of its smallest hash and the ten bits after it (16 bits a register). Empty
+A document's set of word shingles is hashed; each of 1024 buckets keeps the position of the
+first one bit of its smallest hash and the four bits after it (a byte a register). Empty
 buckets borrow from a filled one by a fixed probing order. Bands of six registers
 retrieve candidates; the share of equal registers, corrected for chance collisions of
 the compressed registers, must come near the threshold before full sets are compared.
@@ -33,9 +33,10 @@ from pyspark.sql import functions as F
 from ._frames import map_text, quoted, stored, table, tune, unpacked
 from ._text import LOWER, SPACE, blocks, mix, shingles, spans_hash, word_spans
 
-REGISTERS, BITS = 512, 9
+REGISTERS, BITS = 1024, 10
 BANDS, ROWS = 42, 6
-MANTISSA = 10
+#: A register is a byte: leading zeros (15 at most) and mantissa bits.
+ZEROS, MANTISSA = 15, 4
 #: Members of a bucket that are compared in one piece.
 PIECE = 2000
 #: Classes whose keys are broadcast to fetch their sets; beyond it they are joined.
@@ -74,9 +75,9 @@ def registers(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     value = (h[first] << np.uint64(BITS)) >> np.uint64(12)
     exponent = np.frexp(value.astype(np.float64))[1]
     mantissa = np.where(exponent > MANTISSA, (value >> np.maximum(exponent - 1 - MANTISSA, 0).astype(np.uint64)) & np.uint64(2**MANTISSA - 1), value & np.uint64(2**MANTISSA - 1))
-    out = np.zeros(n * REGISTERS, np.uint16)
+    out = np.zeros(n * REGISTERS, np.uint8)
     full = np.zeros(n * REGISTERS, bool)
-    out[cell[first]] = (np.minimum(52 - exponent, 63).astype(np.uint64) << np.uint64(MANTISSA) | mantissa).astype(np.uint16)
+    out[cell[first]] = (np.minimum(52 - exponent, ZEROS).astype(np.uint64) << np.uint64(MANTISSA) | mantissa).astype(np.uint8)
     full[cell[first]] = True
     todo = np.flatnonzero(~full & np.repeat(np.diff(at) > 0, REGISTERS))
     step = 1
@@ -92,8 +93,8 @@ def registers(h: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def chance(n_a, n_b) -> np.ndarray:
     """Probability that registers of unrelated sets of these sizes are equal."""
-    k = np.arange(1, 24)
-    reach = lambda n: 1 - (1 - 2.0 ** -np.arange(0, 24)) ** np.maximum(np.asarray(n, float)[:, None] / REGISTERS, 1)
+    k = np.arange(1, ZEROS + 2)
+    reach = lambda n: 1 - (1 - np.append(2.0 ** -np.arange(0, ZEROS + 1), 0)) ** np.maximum(np.asarray(n, float)[:, None] / REGISTERS, 1)
     a, b = reach(n_a), reach(n_b)
     return ((a[:, k - 1] - a[:, k]) * (b[:, k - 1] - b[:, k])).sum(axis=1) * 2.0**-MANTISSA
 
@@ -136,7 +137,7 @@ def sketch(docs: DataFrame, k: int = 4, text: str = "text", keep=("doc_id",), fl
 
 def _matrix(column) -> np.ndarray:
     raw = b"".join(column.to_pylist())
-    return np.frombuffer(raw, np.uint16).reshape(-1, REGISTERS)
+    return np.frombuffer(raw, np.uint8).reshape(-1, REGISTERS)
 
 
 def bands(classes: DataFrame) -> DataFrame:
@@ -188,18 +189,29 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
 
 
 def components(links: DataFrame) -> DataFrame:
-    """id, label: the smallest id of each linked id's component, by smallest neighbours and pointer jumping."""
-    edges = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = stored(edges.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
-    while True:
-        old = labels.select(F.col("id").alias("b"), F.col("label").alias("near"))
-        near = edges.join(old, "b").groupBy(F.col("a").alias("id")).agg(F.min("near").alias("near"))
-        low = labels.join(near, "id").select("id", "label", F.least("label", "near").alias("low"))
-        jump = labels.select(F.col("id").alias("low"), F.col("label").alias("far"))
-        new = stored(low.join(jump, "low", "left").select("id", F.least("low", F.coalesce("far", "low")).alias("label"), (F.least("low", F.coalesce("far", "low")) != F.col("label")).alias("changed")), "labels")
-        labels = new.select("id", "label")
-        if new.where("changed").isEmpty():
-            return labels
+    """id, label: the smallest id of each linked id's component.
+
+    Each round every vertex points to its smallest neighbour, pointers are jumped, and edges are drawn anew
+    between what they point to; edges within a component vanish, so each round has fewer.
+    """
+    edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    labels = None
+    while not edges.isEmpty():
+        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        points = stored(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("a"), F.min("b")).alias("to")), "points")
+        for _ in range(3):
+            jump = points.select(F.col("id").alias("to"), F.col("to").alias("far"))
+            points = points.join(jump, "to").select("id", F.col("far").alias("to"))
+        points = stored(points, "points")
+        if labels is None:
+            labels = points.select("id", F.col("to").alias("label"))
+        else:
+            labels = labels.join(points.select(F.col("id").alias("label"), "to"), "label", "left").select("id", F.coalesce("to", "label").alias("label"))
+        labels = stored(labels, "labels")
+        end = lambda c: points.select(F.col("id").alias(c), F.col("to").alias(f"to_{c}"))  # noqa: E731,B023
+        drawn = edges.join(end("a"), "a").join(end("b"), "b").where("to_a <> to_b")
+        edges = stored(drawn.select(F.greatest("to_a", "to_b").alias("a"), F.least("to_a", "to_b").alias("b")).distinct(), "edges")
+    return labels if labels is not None else edges.select(F.col("a").alias("id"), F.col("b").alias("label"))
 
 
 def _between(members: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -303,7 +315,7 @@ def grouped(spark: SparkSession, docs: DataFrame, k: int = 4, threshold: float =
     labels = components(links)
     placed = stored(members.join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label")), "placed")
     more = _confirmed(_between(placed, few, threshold), sets, threshold)
-    labels = components(links.unionByName(more))
+    labels = components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).unionByName(more))
     full = classes.select("name", "doc", "id").join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
     joint = full.join(labels.select("label").distinct(), "label", "left_semi").groupBy("label").agg(F.min("doc").alias("component"), F.min_by("name", F.struct(F.col("doc").isNull(), "doc", "name")).alias("stands"))
     return rows.drop("registers"), full.join(joint, "label", "left").select("name", "doc", "id", F.when(F.col("stands").isNull(), F.col("doc")).otherwise(F.col("component")).alias("component"), F.coalesce("stands", "name").alias("stands"))
