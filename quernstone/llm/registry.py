@@ -18,7 +18,6 @@ QUERIES = {
 }
 
 ORACLES = {
-    "op1_suffix_dedup": suffix_dedup.OP1_SQL,
     "op4_warc": warc_store.OP4_SQL,
     "op8_decontaminate": phrase_index.OP8_SQL,
     "op9_near_dup": near_dup.OP9_SQL,
