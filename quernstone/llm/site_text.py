@@ -7,9 +7,8 @@ body where it has none), without template subtrees and without what its markup
 names as something else: navigation, headers, footers, sidebars, adverts, notices, forms,
 comments, scripts and styles.
 
-The hot host: subtree counts are pre-aggregated in each task and keyed by (host, hash). A
-host's template list is bounded, as at most (elements a page / share) subtrees can occur on
-a given share of its pages. The lists are broadcast behind a size check, beyond it
+The hot host: subtree counts are pre-aggregated in each task and keyed by (host, hash). The
+count needed doesn't grow with the host. The lists are broadcast behind a size check, beyond it
 they are joined by host, where adaptive execution splits a hot host's partition.
 
 Edge cases: null or empty html gives empty text; unclosed and stray tags are handled as
@@ -30,8 +29,8 @@ from pyspark.sql import types as T
 
 from ._frames import arrow_schema, quoted, stored, table, tune
 
-#: Pages of a host, and share of them, from which on a recurring subtree is template.
-LEAST_PAGES, SHARE = 8, 0.2
+#: Pages of a host from which on a recurring subtree is template.
+LEAST_PAGES = 8
 #: Templates (host, hash pairs of 16 bytes or so) up to which they are broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -228,8 +227,8 @@ def host(url: str = "url"):
     return F.lower(F.coalesce(F.nullif(F.regexp_extract(quoted(url), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")), F.lit("")))
 
 
-def templates(pages: DataFrame, url: str = "url", html: str = "html", least_pages: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
-    """host, hashes: the subtrees on at least least_pages pages and that share of the host's pages."""
+def templates(pages: DataFrame, url: str = "url", html: str = "html", least_pages: int = LEAST_PAGES) -> DataFrame:
+    """host, hashes: the subtrees on at least least_pages pages of the host."""
     tune(pages.sparkSession)
     source = pages.select(host(url).alias("host"), F.coalesce(quoted(html), F.lit("")).alias("html"))
 
@@ -237,14 +236,12 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html", least_page
         for b in batches:
             seen: dict = {}
             for h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for x in (0, *hashed(parse(text))):
+                for x in hashed(parse(text)):
                     seen[h, x] = seen.get((h, x), 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["host", "hash", "n"])
 
     counts = source.mapInArrow(count, "host string, hash long, n long").groupBy("host", "hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least_pages)
-    counts = stored(counts, "subtrees")  # few rows: counted once, read twice
-    total = counts.where("hash = 0").select("host", F.col("n").alias("pages"))
-    return counts.where("hash <> 0").join(total, "host").where(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.collect_set("hash").alias("hashes"))
+    return stored(counts.groupBy("host").agg(F.collect_set("hash").alias("hashes")), "templates")
 
 
 def main_text(pages: DataFrame, found: DataFrame, url: str = "url", html: str = "html", keep=("page_id", "url")) -> DataFrame:

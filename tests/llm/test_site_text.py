@@ -34,6 +34,14 @@ def test_templates_go_by_host(spark, folder):
     assert (got[200].text, got[201].n_chars, got[202].text) == ("", 0, "Copied article text.")
 
 
+def test_count_needed_does_not_grow_with_the_host(spark, folder):
+    box = '<div data-x="1"><p>Box of a section.</p></div>'
+    rare = '<div data-x="2"><p>Said on few pages.</p></div>'
+    page = lambda i: f"<article><p>Own words {i}, and many more of them to be most of it.</p>{box if i < 10 else rare if i < 17 else ''}</article>"
+    got = {r.page_id: r.text for r in S.op2_site_text(spark, folder(pages=[(i, f"//h.example/{i}", page(i)) for i in range(200)])).collect()}
+    assert got == {i: f"Own words {i}, and many more of them to be most of it." + " Said on few pages." * (10 <= i < 17) for i in range(200)}
+
+
 def test_large_template_lists_are_joined(spark, folder, monkeypatch):
     monkeypatch.setattr(S, "BROADCAST_ROWS", 0)
     box = '<div data-x="1"><p>Same box on all pages.</p></div>'
