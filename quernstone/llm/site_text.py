@@ -7,13 +7,17 @@ body where it has none), without template subtrees and without what its markup
 names as something else: navigation, headers, footers, sidebars, adverts, notices, forms,
 comments, scripts and styles.
 
-The hot host: subtree counts are pre-aggregated in each task and keyed by (host, hash). The
-count needed doesn't grow with the host. The lists are broadcast behind a size check, beyond it
-they are joined by host, where adaptive execution splits a hot host's partition.
+The count needed doesn't grow with the host, and pages with the same text count once, so that copies of a
+page don't make its content template. Templates are always deleted, whatever they take of a page.
+
+The hot host: subtrees are pre-aggregated in each task and keyed by (host, hash), each with at most
+as many hashes of page texts as make it template. Lists hold only subtrees that the text of some page
+would include. They are broadcast behind a size check, beyond it they are joined by host, where
+adaptive execution splits a hot host's partition.
 
 Edge cases: null or empty html gives empty text; unclosed and stray tags are handled as
-browsers do in the main; text outside any element counts; a page that repeats itself
-counts as that many pages of its host; rows without a url form a host of their own.
+browsers do in the main; text outside any element counts; rows without a url form a
+host of their own.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ from pyspark.sql import types as T
 
 from ._frames import arrow_schema, quoted, stored, table, tune
 
-#: Pages of a host from which on a recurring subtree is template.
+#: Pages of a host, different in text, from which on a recurring subtree is template.
 LEAST_PAGES = 8
 #: Templates (host, hash pairs of 16 bytes or so) up to which they are broadcast.
 BROADCAST_ROWS = 500_000
@@ -189,16 +193,12 @@ def _roots(root: Node) -> list[Node]:
 
 
 def extract(root: Node, template: frozenset = frozenset()) -> str:
-    """The main text of a parsed (and, for a template, hashed) page.
-
-    Where templates would take more than half of it, the page is a copy of others of its host, and keeps its text.
-    """
-    whole = _extract(root, frozenset())
-    cut = _extract(root, template) if template else whole
-    return cut if 2 * len(cut) >= len(whole) else whole
+    """The main text of a parsed (and, for a template, hashed) page, without its template subtrees."""
+    return _extract(root, template)
 
 
-def _extract(root: Node, template: frozenset) -> str:
+def _extract(root: Node, template: frozenset, asked: set | None = None) -> str:
+    """asked takes the hashes of all subtrees that a template could delete."""
     pieces: list[str] = []
     border = "\0"
     for top in _roots(root):
@@ -214,6 +214,8 @@ def _extract(root: Node, template: frozenset) -> str:
                 if c.tag in _BLOCK:
                     pieces.append(border)
                 continue
+            if asked is not None and c is not top and not plain and c.size:
+                asked.add(int.from_bytes(c.hash, "little", signed=True))
             block = c.tag in _BLOCK
             if block:
                 pieces.append(border)
@@ -228,7 +230,7 @@ def host(url: str = "url"):
 
 
 def templates(pages: DataFrame, url: str = "url", html: str = "html", least_pages: int = LEAST_PAGES) -> DataFrame:
-    """host, hashes: the subtrees on at least least_pages pages of the host."""
+    """host, hashes: the subtrees on at least least_pages pages of the host that differ in text, where a text would include them."""
     tune(pages.sparkSession)
     source = pages.select(host(url).alias("host"), F.coalesce(quoted(html), F.lit("")).alias("html"))
 
@@ -236,12 +238,19 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html", least_page
         for b in batches:
             seen: dict = {}
             for h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                for x in hashed(parse(text)):
-                    seen[h, x] = seen.get((h, x), 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int64()), pa.array(list(seen.values()), pa.int64())], names=["host", "hash", "n"])
-
-    counts = source.mapInArrow(count, "host string, hash long, n long").groupBy("host", "hash").agg(F.sum("n").alias("n")).where(F.col("n") >= least_pages)
-    return stored(counts.groupBy("host").agg(F.collect_set("hash").alias("hashes")), "templates")
+                root = parse(text)
+                found, asked = hashed(root), set()
+                page = int.from_bytes(blake2b(_extract(root, frozenset(), asked).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+                for x in found:
+                    of, was = seen.get((h, x), (frozenset(), False))
+                    if len(of) < least_pages and page not in of:
+                        of = of | {page}
+                    seen[h, x] = of, was or x in asked
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int64()), pa.array([list(v[0]) for v in seen.values()], pa.list_(pa.int64())), pa.array([v[1] for v in seen.values()], pa.bool_())], names=["host", "hash", "of", "asked"])
+
+    # a batch names least_pages different texts or all that it has, so together they name as many where there are
+    counts = source.mapInArrow(count, "host string, hash long, of array<long>, asked boolean").groupBy("host", "hash").agg(F.array_distinct(F.flatten(F.collect_list("of"))).alias("of"), F.max("asked").alias("asked"))
+    return stored(counts.where(F.col("asked") & (F.size("of") >= least_pages)).groupBy("host").agg(F.collect_set("hash").alias("hashes")), "templates")
 
 
 def main_text(pages: DataFrame, found: DataFrame, url: str = "url", html: str = "html", keep=("page_id", "url")) -> DataFrame:

@@ -34,6 +34,17 @@ def test_templates_go_by_host(spark, folder):
     assert (got[200].text, got[201].n_chars, got[202].text) == ("", 0, "Copied article text.")
 
 
+def test_template_goes_whatever_its_share_of_the_page(spark, folder):
+    box = '<div data-x="1"><p>' + "Same long box on all pages of this place. " * 9 + "</p></div>"
+    rows = [(i, f"https://h.example/{i}", f"<body><article><p>Own words {i}.</p>{box}</article></body>") for i in range(20)]
+    rows += [(50, "https://h.example/50", f"<body><article>{box}</article></body>")]
+    # one article at many addresses is one page: it is no template of its own
+    copy = '<article><div class="entry"><p>Copied article text.</p></div></article>'
+    rows += [(100 + i, f"https://h.example/c{i}", f"<body><nav>{i}</nav>{copy}</body>") for i in range(20)]
+    got = {r.page_id: r.text for r in S.op2_site_text(spark, folder(pages=rows)).collect()}
+    assert got == {i: f"Own words {i}." for i in range(20)} | {50: ""} | {100 + i: "Copied article text." for i in range(20)}
+
+
 def test_count_needed_does_not_grow_with_the_host(spark, folder):
     box = '<div data-x="1"><p>Box of a section.</p></div>'
     rare = '<div data-x="2"><p>Said on few pages.</p></div>'
