@@ -8,7 +8,8 @@ crosses them). ``search`` takes a set of test windows to every block: it looks u
 test terms, orders each window's terms from the rarest in the block, and intersects their
 offset-adjusted postings; ``near`` finds windows whose words lie close together in any order.
 The corpus is never shuffled. Test windows are sent to the executors in chunks of a
-bounded size; beyond one chunk the index is searched again and the hits are united.
+bounded size; beyond one chunk the index is searched again, and the hits are united by
+document: its block's number and its number in the block.
 
 Edge cases: null and empty texts have no words; items without words have no windows;
 repeated items count once, by item_id; a window that occurs in several items hits all.
@@ -20,6 +21,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,10 +43,11 @@ def build(docs: DataFrame, path: str, text: str = "text", keep=("doc_id",)) -> D
     """Write the index of docs to path and read it again. keep: the columns held with each document."""
     tune(docs.sparkSession)
     source = docs.select(F.struct(*[quoted(c).alias(f"c{i}") for i, c in enumerate(keep)]).alias("keep"), F.coalesce(quoted(text).cast("binary"), F.lit(b"")).alias("text"))
-    schema = T.StructType([T.StructField("docs", T.ArrayType(source.schema["keep"].dataType))] + [T.StructField(k, T.BinaryType()) for k in ("first", "terms", "starts", "postings")] + [T.StructField("bits", T.IntegerType())])
+    schema = T.StructType([T.StructField("docs", T.ArrayType(source.schema["keep"].dataType))] + [T.StructField(k, T.BinaryType()) for k in ("first", "terms", "starts", "postings")] + [T.StructField("bits", T.IntegerType()), T.StructField("block", T.LongType())])
     want = arrow_schema(schema)
 
     def run(batches):
+        block = TaskContext.get().partitionId() << 32  # of one stage, so no two blocks share a number
         for b in batches:
             data, offs = buffers(b.column(1))
             for i, j in blocks(offs, BLOCK):
@@ -58,7 +61,8 @@ def build(docs: DataFrame, path: str, text: str = "text", keep=("doc_id",)) -> D
                 starts = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]])) if len(terms) else np.zeros(0, np.int64)
                 row = [b.column(0).slice(i, j - i), first.astype(np.uint32), terms[starts], starts.astype(np.uint32), postings]
                 cell = row[0].cast(want.field("docs").type.value_type)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), cell).cast(want.field("docs").type), *[pa.array([x.tobytes()], f.type) for x, f in zip(row[1:], list(want)[1:5], strict=True)], pa.array([bits], pa.int32())], schema=want)
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), cell).cast(want.field("docs").type), *[pa.array([x.tobytes()], f.type) for x, f in zip(row[1:], list(want)[1:5], strict=True)], pa.array([bits], pa.int32()), pa.array([block], pa.int64())], schema=want)
+                block += 1
 
     source.mapInArrow(run, schema).write.parquet(path)
     return docs.sparkSession.read.schema(schema).parquet(path)
@@ -181,10 +185,12 @@ def search(index: DataFrame, found: DataFrame, slop: int | None = None) -> DataF
     """
     spark = index.sparkSession
     kept = index.schema["docs"].dataType.elementType
-    raw = T.StructType([T.StructField("keep", kept), T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))])
+    raw = T.StructType([T.StructField("block", T.LongType()), T.StructField("doc", T.LongType()), T.StructField("keep", kept), T.StructField("n_words", T.LongType()), T.StructField("hits", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))])
     want = arrow_schema(raw)
 
-    def over(shared):
+    def over(shared, whole):
+        """whole: all documents with their keep, else those that are hit, without it."""
+
         def run(batches):
             q = shared.value
             for b in batches:
@@ -203,15 +209,16 @@ def search(index: DataFrame, found: DataFrame, slop: int | None = None) -> DataF
                     ragged = lambda d, values: pa.ListArray.from_arrays(pa.array(np.searchsorted(d, np.arange(n + 1)), pa.int32()), values)
                     names = pa.array(q.items, pa.string()).take(pa.array(what)) if len(what) else pa.array([], pa.string())
                     keep = b.column(0)[r].values.cast(want.field("keep").type)
-                    cols = [keep, pa.array(np.diff(first) - 1), ragged(hit[0], pa.array(hit[1])), ragged(who, names)]
-                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, want, strict=True)], schema=want)
+                    cols = [pa.array(np.full(n, b.column(6)[r].as_py())), pa.array(np.arange(n)), keep if whole else pa.nulls(n, keep.type), pa.array(np.diff(first) - 1), ragged(hit[0], pa.array(hit[1])), ragged(who, names)]
+                    made = pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(cols, want, strict=True)], schema=want)
+                    yield made if whole else made.take(pa.array(np.unique(hit[0])))
 
         return run
 
-    frames = [index.mapInArrow(over(spark.sparkContext.broadcast(q)), raw) for q in _chunks(found)]
+    frames = [index.mapInArrow(over(spark.sparkContext.broadcast(q), k == 0), raw) for k, q in enumerate(_chunks(found))]
     if len(frames) > 1:
         whole = reduce(DataFrame.unionByName, frames)
-        made = whole.groupBy("keep", "n_words").agg(F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        made = whole.groupBy("block", "doc").agg(F.first("keep", ignorenulls=True).alias("keep"), F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     else:
         made = frames[0]
     return made.select("keep", F.struct(F.col("n_words"), F.size("hits").cast("long").alias("n_hit"), F.array_sort("items").alias("items"), (F.size("hits") > 0).alias("contaminated")).alias("out"))

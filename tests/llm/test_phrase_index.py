@@ -54,6 +54,16 @@ def test_chunks_unite(spark, folder, rows, monkeypatch):
     assert rows(phrase_index.op8_decontaminate(spark, folder(docs, items))) == brute(docs, items)
 
 
+def test_chunks_keep_repeated_and_null_keys(spark, folder, rows, monkeypatch):
+    docs, items = sample()
+    items = [x for x in items if x[0] is not None]
+    docs += [(None, "of of of"), (None, "the b c"), (62, "one two"), (62, "X9 é")]
+    path = folder(docs, items)
+    whole = rows(phrase_index.op8_decontaminate(spark, path))
+    monkeypatch.setattr(phrase_index, "CHUNK", 40)
+    assert rows(phrase_index.op8_decontaminate(spark, path)) == whole == brute(docs, items)
+
+
 def test_sql_on_unique_keys(spark, folder, rows, duck):
     docs, items = sample()
     docs = [d for d in docs if d[0] not in (62, None)]
