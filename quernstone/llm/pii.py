@@ -1,7 +1,8 @@
 """Personal data: fixed base rules, and a skip-chain conditional random field over each document.
 
 Base rules find emails, IP addresses, cards and phone numbers. The field then labels the document's
-tokens that hold a digit or an at sign: tokens within base spans keep their label, the
+tokens that hold a digit or an at sign, and those without that repeat what comes before the at sign of
+one of its emails (jane.doe beside jane.doe@x.org): tokens within base spans keep their label, the
 others are free. Neighbouring tokens share a chain potential, tokens that are repeated or similar
 anywhere in the document (same normal form, same last seven digits, same local part of an
 email) a skip potential, and loopy sum-product passes labels along both, so that a number
@@ -42,6 +43,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TRIM = "\"'`.,;:!?<>[]{}()"
 _MARK = re.compile(r"[0-9@]")
 _BREAK = re.compile(r"\s|\Z")
+_WORD = re.compile(r"\S+")
 
 
 def emails(text: str):
@@ -109,7 +111,7 @@ def _shape(token: str) -> int:
 
 
 def tokens(text: str, spans):
-    """Tokens that hold a digit or an at sign: start, end, string, and the kind of the base span each meets (-1: free)."""
+    """Tokens that hold a digit or an at sign, or share a skip key with an entity that does: start, end, string, and the kind of the base span each meets (-1: free)."""
     out, k, end = [], 0, 0
     while m := _MARK.search(text, end):
         a, last = m.start(), end
@@ -126,7 +128,16 @@ def tokens(text: str, spans):
             k += 1
         kind = next((spans[j][1] for j in range(k, min(k + 4, len(spans))) if spans[j][0] < b and spans[j][2] > a), -1)
         out.append((a, b, s, kind))
-    return out
+    # a token without digit or at sign can only share keys that have none either
+    names = {key[2:] for t in out if t[3] >= 0 for key in _skip_keys(t[2]) if not _MARK.search(key)}
+    if not names:
+        return out
+    for m in _WORD.finditer(text):
+        s = m[0].strip(_TRIM)
+        if s.lower() in names and not _MARK.search(s):
+            a = m.start() + len(m[0]) - len(m[0].lstrip(_TRIM))
+            out.append((a, a + len(s), s, -1))
+    return sorted(out)
 
 
 def _skip_keys(s: str):

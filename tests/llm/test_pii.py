@@ -72,5 +72,13 @@ def test_stage_masks(spark, folder):
     assert got[2].text is None and got[3].text == "clean"
 
 
+def test_letters_only_repeats_of_an_entity(spark, folder):
+    text = "Write to jane.doe@x.org today, and more words follow here. As said (Jane.Doe) knows, not john.doe or jane."
+    docs = [(1, text), (2, text.replace("@x.org", ""))]
+    spans = {r.doc_id: r.spans for r in pii.op6_pii(spark, folder(docs)).collect()}
+    assert [text[int(a) : int(b)] for k, a, b in (x.split(":") for x in spans[1].split(",")) if k == "email"] == ["jane.doe@x.org", "Jane.Doe"]
+    assert spans[1].count(",") == 1 and spans[2] == ""
+
+
 def test_empty_table(spark, folder):
     assert pii.op6_pii(spark, folder()).count() == 0
