@@ -6,6 +6,11 @@ as shift2(a) * shift1(b) * c (element by element), a document or language is the
 the largest cosine with it. Bundling is linear, so a language is gathered as counts of its
 n-grams: at most 64**3 of them a language, whatever the corpus holds.
 
+``stage`` drops texts without a recognised language. What a clean text scores grows with its number of
+distinct n-grams, so the least score is learned from the labelled documents by that number: a third
+of the median score of those with as many or fewer, and never less than four standard deviations
+of the cosine of unrelated vectors.
+
 Edge cases: null or letterless text is ``und`` with score 0; one letter makes an n-gram
 with the word borders; equal cosines take the smaller language name; rows without
 lang don't train; with no training rows every text is ``und``.
@@ -25,6 +30,8 @@ from ._text import blocks, buffers
 
 SYMBOLS, GRAMS, DIMENSIONS, SEED = 64, 64**3, 1024, 7
 BLOCK = 1 << 20
+#: Least score: standard deviations of the cosine of unrelated vectors, and share of the median score of labelled documents.
+NOISE, MEDIAN_SHARE = 4 / DIMENSIONS**0.5, 1 / 3
 
 
 @lru_cache(1)
@@ -119,15 +126,16 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
 
 
 def classify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", keep=("doc_id",), flat: bool = True) -> DataFrame:
-    """The columns of keep, and out: struct of lang_pred and score (the cosine, 0 at least)."""
+    """The columns of keep, and out: struct of lang_pred, score (the cosine, 0 at least) and size (of the number of distinct n-grams, the logarithm to base 2, cut)."""
     names = sorted(prototypes)
     matrix = np.array([prototypes[k] for k in names], np.float32).reshape(len(names), DIMENSIONS).T
 
     def predict(data, offs):
-        langs, scores = [], []
+        langs, scores, sizes = [], [], []
         for i, j in blocks(offs, BLOCK):
             doc, gram, n = gram_counts(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
             pred, score = np.full(j - i, "und", object), np.zeros(j - i)
+            distinct = np.bincount(doc, minlength=j - i)
             if len(doc) and names:
                 grams, col = np.unique(gram, return_inverse=True)
                 bundle = np.zeros((j - i, DIMENSIONS), np.float32)
@@ -138,16 +146,28 @@ def classify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
                     counts[doc[part] - a, col[part]] = n[part]
                     bundle[a : a + 256] = counts @ vectors
                 length = np.linalg.norm(bundle, axis=1)
-                has = np.bincount(doc, minlength=j - i) > 0
+                has = distinct > 0
                 cos = np.round((bundle @ matrix) / np.maximum(length, 1e-9)[:, None], 6)
                 best = cos.argmax(axis=1)
                 pred[has] = np.array(names, object)[best[has]]
                 score[has] = np.clip(cos[np.arange(j - i), best][has], 0, 1)
             langs.extend(pred)
             scores.append(score)
-        return [pa.array(langs, pa.string()), np.concatenate(scores)]
+            sizes.append(np.frexp(np.maximum(distinct, 1))[1] - 1)
+        return [pa.array(langs, pa.string()), np.concatenate(scores), np.concatenate(sizes)]
+
+    return map_text(docs, predict, "lang_pred string, score double, size int", text, keep, flat)
+
 
-    return map_text(docs, predict, "lang_pred string, score double", text, keep, flat)
+def least_scores(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", lang: str = "lang") -> list[float]:
+    """The least score of a text with a language, by its size (see classify): from all rows with a language, gathered as counts of size and score in thousandths."""
+    made = classify(docs.where(quoted(lang).isNotNull()), prototypes, text, (lang,), flat=False).where("out.lang_pred <> 'und'")
+    found = made.groupBy(F.col("out.size").alias("size"), F.floor(F.col("out.score") * 1000).alias("score")).count().toPandas()
+    by_score = np.zeros((GRAMS.bit_length(), 1001), np.int64)
+    np.add.at(by_score, (found["size"].to_numpy(np.int64), found["score"].to_numpy(np.int64)), found["count"].to_numpy(np.int64))
+    below = by_score.cumsum(axis=0).cumsum(axis=1)  # of documents of that size or less, those up to that score
+    median = (2 * below < below[:, -1:]).sum(axis=1) / 1000
+    return np.maximum(NOISE, MEDIAN_SHARE * median).tolist()
 
 
 def held_out(key: str = "doc_id"):
@@ -160,8 +180,10 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", held_out().alias("held_out"), "out.lang_pred", "out.score")
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float = 0.02) -> DataFrame:
-    """Rows whose text has a language: not ``und``, and a cosine of least or more with its prototype."""
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float | None = None) -> DataFrame:
+    """Rows whose text has a language: not ``und``, and a cosine of least (None: by least_scores) or more with its prototype."""
     names = docs.columns
-    made = classify(docs, train(docs), keep=names, flat=False)
-    return unpacked(made.where((F.col("out.lang_pred") != "und") & (F.col("out.score") >= least)), names)
+    prototypes = train(docs)
+    made = classify(docs, prototypes, keep=names, flat=False)
+    enough = F.lit(least) if least is not None else F.element_at(F.array(*map(F.lit, least_scores(docs, prototypes))), F.col("out.size") + 1)
+    return unpacked(made.where((F.col("out.lang_pred") != "und") & (F.col("out.score") >= enough)), names)

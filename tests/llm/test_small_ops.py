@@ -1,5 +1,6 @@
 """Language identification, the WARC archive, and the pipeline as a whole."""
 
+import base64
 import random
 
 import corpus_pipeline
@@ -30,6 +31,18 @@ def test_no_training_rows(spark, folder):
     assert {r.lang_pred for r in langid.op3_langid(spark, folder([(1, "text", None, "s", 4)])).collect()} == {"und"}
 
 
+def test_language_stage_drops_gibberish_and_unlearned_scripts(spark, folder):
+    rng = random.Random(5)
+    syllables = {"en": ["th", "ing", "er", "an", "re"], "fr": ["eau", "é", "ment", "que", "oi"], "de": ["sch", "ung", "ä", "keit", "ei"]}
+    clean = [(i, words(rng, syllables[lang], rng.choice([3, 8, 40, 200])), lang, "s", 1) for i in range(200) for lang in [rng.choice(list(syllables))]]
+    of = lambda letters: lambda n: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(n // 5))
+    kinds = [of("abcdefghijklmnopqrstuvwxyz"), lambda n: base64.b64encode(rng.randbytes(n)).decode(), of([chr(c) for c in range(0x430, 0x450)]), of([chr(c) for c in range(0x4E00, 0x9FFF)])]
+    junk = [(1000 + 100 * k + i, kind(rng.choice([60, 300, 1500])), None, "s", 1) for k, kind in enumerate(kinds) for i in range(25)]
+    path = folder(clean + junk)
+    kept = {r.doc_id for r in langid.stage(spark, spark.read.parquet(f"{path}/documents.parquet"), path).collect()}
+    assert kept >= {r[0] for r in clean} and len(kept) <= len(clean) + 2
+
+
 def test_archive_round_trip(spark, folder, rows, duck, tmp_path):
     same = "<p>" + "x" * 120
     pages = [(5, "http://a/5", same), (3, "http://a/3", same), (9, "http://a/é\r\nx", same), (1, None, None), (2, "", ""), (4, "u", "short"), (6, "u", "short"), (8, "u", "WARC-Type: revisit\r\n" * 9)]
