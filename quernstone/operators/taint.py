@@ -55,12 +55,21 @@ def flows(assigns: DataFrame, calls: DataFrame, params: DataFrame, returns: Data
     return read.unionByName(down).unionByName(up).unionByName(globals_).distinct()
 
 
-def sinks(assigns: DataFrame, calls: DataFrame, patterns: list[str]) -> DataFrame:
-    """sink (its text), fn, path, line, var: what flows into writes and calls that match."""
-    any_of = lambda c: F.expr("false") if not patterns else F.greatest(*[c.rlike(p) for p in patterns], F.lit(False))
+def sinks(assigns: DataFrame, calls: DataFrame, patterns: list[str | dict]) -> DataFrame:
+    """sink (its text), fn, path, line, var: what flows into writes and calls that match.
+
+    A pattern is a regex, or has a regex and a value_arg: the number of the argument (from 0, or from -1 backwards) that calls
+    write. The last is taken where it names none, or one that the call doesn't have. The first pattern that matches counts.
+    """
+    patterns = [p if isinstance(p, dict) else {"regex": p} for p in patterns]
+    any_of = lambda c: F.expr("false") if not patterns else F.greatest(*[c.rlike(p["regex"]) for p in patterns], F.lit(False))
     written = assigns.withColumn("sink", F.concat_ws(" ", "lhs", "operator", "rhs")).where(any_of(F.col("lhs"))).select("sink", "function", "path", "line", F.explode("rhs_vars").alias("var"))
     text = F.concat("callee", F.lit("("), F.array_join("args", ", "), F.lit(")"))
-    called = calls.withColumn("sink", text).where(any_of(text)).select("sink", "function", "path", "line", F.explode(F.element_at("arg_vars", -1)).alias("var"))
+    at = F.lit(-1)
+    for p in reversed(patterns):
+        k = p.get("value_arg", -1)
+        at = F.when(text.rlike(p["regex"]), F.when(F.size("arg_vars") >= (k + 1 if k >= 0 else -k), k + 1 if k >= 0 else k).otherwise(-1)).otherwise(at)
+    called = calls.withColumn("sink", text).where(any_of(text)).select("sink", "function", "path", "line", F.explode(F.try_element_at("arg_vars", at)).alias("var"))
     return written.unionByName(called).select(F.substring("sink", 1, 100).alias("sink"), F.col("function").alias("fn"), "path", "line", _plain(F.col("var")).alias("var"))
 
 

@@ -54,7 +54,7 @@ class Code:
         spans = self.functions.select("file_id", F.col("name").alias("span_id"), F.col("line_start").alias("begin"), F.col("line_end").alias("end"))
         return intervals.innermost(points.withColumnRenamed("line", "at"), spans, "file_id").withColumnRenamed("at", "line").withColumnRenamed("span_id", "function")
 
-    def trace(self, sources: list[str] | None = None, sinks: list[str] | None = None, depth: int = 5, macro_sinks: bool = True) -> DataFrame:
+    def trace(self, sources: list[str] | None = None, sinks: list[str | dict] | None = None, depth: int = 5, macro_sinks: bool = True) -> DataFrame:
         """Dataflow paths from configuration fields to hardware writes; macros that write count as sinks unless sinks are given."""
         wanted = list(sinks or taint.SINKS)
         if macro_sinks and not sinks:

@@ -43,6 +43,15 @@ def test_dataflow(code):
     assert not code.trace(sources=[r"nothing->here"]).count()
 
 
+def test_sinks_name_their_value_argument(spark, tmp_path):
+    (tmp_path / "a.c").write_text("void f(struct s *cfg, int base) {\n  writel(cfg->gain, base);\n}\nvoid g(void) {\n  writel();\n}\n")
+    own = Code.index(spark, [str(tmp_path)])
+    found = lambda *sinks: pairs(own.trace(sinks=list(sinks)), "source", "function")
+    first = {"regex": r"\bwritel\s*\(", "value_arg": 0}
+    assert found(first) == found(first | {"value_arg": -2}) == found(first, first["regex"]) == {("cfg->gain", "f")}
+    assert found(first["regex"]) == found(first | {"value_arg": 7}) == found(first["regex"], first) == set()
+
+
 def test_specs_defaults_overrides(code):
     spec = {r.field: r for r in code.specs().where("struct = 'kiln_settings'").collect()}
     assert spec["mode"].enum_values == ["HEAT_OFF", "HEAT_SLOW", "HEAT_FAST"]
