@@ -3,8 +3,9 @@
 ``write_archive`` writes two Parquet tables below one folder: ``payloads`` (digest,
 payload), each distinct payload once whatever its number of records, and ``headers``
 (one row a record: key, digest, and the record's exact header bytes up to the payload).
-``records`` joins them, recomputing every digest from the bytes read; a mismatch raises.
-``record_bytes`` gives the original records byte for byte.
+``record_bytes`` joins them to the original records byte for byte, recomputing every digest
+from the bytes read; a mismatch, a missing payload or a header that names another digest raises.
+``records`` gives their columns.
 
 Edge cases: null payloads are empty; a null url is the empty URI; line breaks in a url
 are percent-encoded, as a header can't hold them. Rows that repeat a key and payload
@@ -52,24 +53,35 @@ def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str =
 
 
 def _verified(spark: SparkSession, path: str) -> DataFrame:
-    got = spark.read.parquet(f"{path}/payloads").withColumns({"actual": F.sha2("payload", 256), "n": F.octet_length("payload").cast("long")})
+    got = spark.read.parquet(f"{path}/payloads").withColumn("actual", F.sha2("payload", 256))
     return got.withColumn("actual", F.when(F.col("actual") == F.col("digest"), F.col("actual")).otherwise(F.raise_error(F.concat(F.lit("payload doesn't match its digest "), F.col("digest")))))
 
 
+def _whole(spark: SparkSession, path: str) -> DataFrame:
+    """Each header with its verified payload and its record: the bytes of both, the payload not in a revisit, and two line breaks."""
+    named = F.regexp_extract(F.decode("header", "UTF-8"), r"(?md)^WARC-Payload-Digest: (.*?)\r$", 1)
+    heads = spark.read.parquet(f"{path}/headers").withColumns({"named": named, "revisit": F.contains(F.decode("header", "UTF-8"), F.lit(CRLF + "WARC-Type: revisit" + CRLF))})
+    whole = heads.join(_verified(spark, path), "digest", "left")
+    bad = F.raise_error(F.concat(F.lit("no payload of the digest in the header: "), F.coalesce("named", F.lit("none")))).cast("boolean")
+    whole = whole.where(F.when(F.col("actual").isNotNull() & (F.col("named") == F.concat(F.lit("sha256:"), F.col("actual"))), True).otherwise(bad))
+    return whole.withColumn("record", F.concat("header", F.when(F.col("revisit"), F.lit(b"")).otherwise(F.col("payload")), F.lit(b"\r\n\r\n")))
+
+
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """key, url, payload_bytes, payload_digest, record_type, refers_to (the key as text), from the exact headers and the payloads read."""
-    text = F.decode("header", "UTF-8")
+    """key, url, payload_bytes, payload_digest, record_type, refers_to (the key as text), read from the original records; a revisit's payload is that which it refers to."""
+    size = F.octet_length("header")
+    text = F.decode(F.substring(F.col("record"), F.lit(1), size), "UTF-8")
+    body = F.when(F.col("revisit"), F.col("payload")).otherwise(F.substring(F.col("record"), size + 1, F.octet_length("record") - size - 4))
     field = lambda name: F.regexp_extract(text, rf"(?md)^{name}: (.*?)\r$", 1)
-    heads = spark.read.parquet(f"{path}/headers").select("key", "digest", field("WARC-Target-URI").alias("url"), field("WARC-Type").alias("record_type"), field("WARC-Payload-Digest").alias("named"), F.nullif(F.regexp_extract(text, r"(?md)^WARC-Refers-To: <urn:x-page:(.*?)>\r$", 1), F.lit("")).alias("refers_to"))
-    whole = heads.join(_verified(spark, path).select("digest", "actual", "n"), "digest")
-    return whole.where(F.col("named") == F.concat(F.lit("sha256:"), F.col("actual"))).select("key", "url", F.col("n").alias("payload_bytes"), F.col("actual").alias("payload_digest"), "record_type", "refers_to")
+    return _whole(spark, path).select(
+        "key", field("WARC-Target-URI").alias("url"), F.octet_length(body).cast("long").alias("payload_bytes"), F.sha2(body, 256).alias("payload_digest"), field("WARC-Type").alias("record_type"),
+        F.nullif(F.regexp_extract(text, r"(?md)^WARC-Refers-To: <urn:x-page:(.*?)>\r$", 1), F.lit("")).alias("refers_to"),
+    )
 
 
 def record_bytes(spark: SparkSession, path: str) -> DataFrame:
     """key and record: each original record byte for byte, ending in the two line breaks that part records."""
-    heads = spark.read.parquet(f"{path}/headers").withColumn("revisit", F.contains(F.decode("header", "UTF-8"), F.lit(CRLF + "WARC-Type: revisit" + CRLF)))
-    whole = heads.join(_verified(spark, path), "digest")
-    return whole.select("key", F.concat("header", F.when(F.col("revisit"), F.lit(b"")).otherwise(F.col("payload")), F.lit(b"\r\n\r\n")).alias("record"))
+    return _whole(spark, path).select("key", "record")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,6 +72,21 @@ def test_repeated_rows_and_damage(spark, folder, tmp_path):
     assert warc_store.op4_warc(spark, folder_of(spark, tmp_path)).count() == 0
 
 
+def test_missing_payloads_and_other_digests_raise(spark, folder, tmp_path):
+    path = folder(pages=[(1, "u", "y" * 150), (2, "u", "y" * 150), (3, "u", "z")])
+    store = warc_store.write_archive(spark.read.parquet(f"{path}/pages.parquet"), f"file://{tmp_path}/store")
+    payloads, headers = (spark.read.parquet(f"{store}/{t}") for t in ("payloads", "headers"))
+    other = "encode(regexp_replace(decode(header, 'UTF-8'), 'sha256:....', 'sha256:zzzz'), 'UTF-8')"
+    cases = {"a": (payloads.where("octet_length(payload) > 1"), headers), "b": (payloads.where("octet_length(payload) = 1"), headers.where("key > 1")), "c": (payloads, headers.selectExpr("key", "digest", f"if(key = 2, {other}, header) header"))}
+    for name, parts in cases.items():
+        for t, part in zip(("payloads", "headers"), parts, strict=True):
+            part.write.parquet(f"file://{tmp_path}/{name}/{t}")
+        for read in (warc_store.records, warc_store.record_bytes):
+            with pytest.raises(Exception, match="no payload of the digest"):
+                read(spark, f"file://{tmp_path}/{name}").collect()
+    assert warc_store.records(spark, store).count() == 3
+
+
 def folder_of(spark, tmp_path):
     spark.createDataFrame([], "page_id long, url string, html string").write.parquet(f"{tmp_path}/none/pages.parquet")
     return f"{tmp_path}/none"
