@@ -16,6 +16,7 @@ from ._text import buffers
 
 #: Rows of an Arrow batch; a batch of very long texts is cut by bytes too.
 BATCH_ROWS = 2000
+BATCH_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -30,6 +31,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 def tune(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 

@@ -1,62 +1,67 @@
 """Byte-level BPE: ranked merges folded in Spark over the byte arrays of distinct words.
 
-1. Documents are dealt to groups of about GROUP bytes and travel once, compressed.
-2. Each group names its distinct words (pieces of the split pattern); they are dealt to
-   buckets by their hash, so a word that all documents hold arrives once a group.
-3. Each bucket's distinct words are folded by Spark's higher-order functions: a word
-   is an array of bytes, the lowest-ranked neighbours merge until none has a rank. The ranks
-   are a literal: an array of small maps, found by CRC-32 of the piece.
-4. The ids go back to the groups that asked, in the order asked, and each group writes its
-   documents' ids and decodes them again by joining the binary pieces of the vocabulary.
+One narrow pass, without a shuffle, in three steps over blocks of about BLOCK bytes of whole documents:
+
+1. A block's texts are cut where white space begins (no piece of the split pattern crosses such a
+   place), its distinct segments are split into words, and the documents become arrays of word numbers.
+   Words that are pieces of the vocabulary have their rank as number; the others are listed.
+2. Spark's higher-order functions fold the ranked merges over each listed word, an array of byte
+   ids: the neighbours of lowest rank merge until none has a rank. The ranks of pairs of ids
+   are literals, a sparse table in three arrays.
+3. Numbers are replaced by ids, and the binary pieces of the vocabulary are joined again to decode.
+
+The blocks of a task share one numbering, so each word is folded once a task (or after KNOWN other
+words). Nothing is shared between tasks, so a block costs the same in a corpus of any size, a
+lost executor costs its own tasks, and no key can be hot.
 
 Nothing but the rank table (a fixed file) is known to all executors. Words of more than
 LONG bytes (a run of letters without a break, say) would cost the fold quadratic time; they
 are merged with a heap instead, with the same result.
 
-Edge cases: null and empty texts have no ids; repeated rows are encoded each by itself.
+Edge cases: null and empty texts have no ids; repeated rows are encoded each by itself; a document
+larger than a block is a block of its own; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 import heapq
 import json
 import re
-import zlib
-from collections import Counter
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
-import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._frames import arrow_schema, quoted, table, tune
-from ._text import buffers
+from ._text import SPACE, blocks, buffers
 
-GROUP = 24 << 20
+#: Bytes of text that share one list of distinct words.
+BLOCK = 16 << 20
 LONG = 200
-MAPS = 16384
-NONE = 2**31 - 1
+#: More than the places in a word; a power of two.
+SCALE = 256
+#: Words that the blocks of one task know of each other before they begin anew.
+KNOWN = 1_000_000
+#: Stands before and after a word's byte ids; no id and no part of a pair that merges.
+EDGE = 65_535
 RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
-#: public_tokenizers.PATTERN with its alternatives in another order: those that begin with letters or digits can't match where a contraction does.
-_PIECES = regex.compile(r""" ?\p{L}++| ?\p{N}++|'s|'t|'re|'ve|'m|'ll|'d| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+""")
-
-
+_PIECES = regex.compile(public_tokenizers.PATTERN)
 #: The same for ASCII text, where the faster standard module can tell the classes.
-_ASCII_PIECES = re.compile(r" ?[A-Za-z]++| ?[0-9]++|'(?:s|t|re|ve|m|ll|d)| ?[^\sA-Za-z0-9]++|\s+(?!\S)|\s+", re.A)
+_ASCII_PIECES = re.compile(public_tokenizers.PATTERN.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9").replace("?A-Za-z+", "?[A-Za-z]+").replace("?0-9+", "?[0-9]+").encode())
 
 
-def pieces(text: str) -> list[str]:
+def pieces(text: bytes) -> list[bytes]:
     """The words of a text, as public_tokenizers.PATTERN finds them."""
-    return _ASCII_PIECES.findall(text) if text.isascii() else _PIECES.findall(text)
+    return _ASCII_PIECES.findall(text) if text.isascii() else [p.encode() for p in _PIECES.findall(text.decode("utf-8", "replace"))]
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -67,55 +72,77 @@ def read_ranks(path: str) -> dict[bytes, int]:
 # --- the fold
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """An array of MAPS maps from pieces (hexadecimal) to ranks, folded to one literal by the optimizer."""
-    maps: list[dict[str, int]] = [{} for _ in range(MAPS)]
-    for piece, rank in ranks.items():
-        key = piece.hex().upper()
-        maps[zlib.crc32(key.encode()) % MAPS][key] = rank
-    return F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
-
-
-def fold(word: Column, ranks: dict[bytes, int]) -> Column:
-    """Ids of a word (binary, not empty)."""
+@lru_cache(1)
+def rank_tables(path: str) -> tuple[str, str, str]:
+    """The ranks of pairs of ids as three JSON arrays: where a left id's row begins, and at begin + right id the left id whose row has the place, and SCALE times the rank.
 
-    def ids(table_: Column) -> Column:
-        rank = lambda p: F.coalesce(F.element_at(F.get(table_, F.pmod(F.crc32(p.cast("binary")), F.lit(MAPS)).cast("int")), p), F.lit(NONE))
+    Rows are laid over one another where their places don't meet (first fit, longest rows first).
+    """
+    ranks, rows = read_ranks(path), {}
+    for piece, rank in ranks.items():
+        for k in range(1, len(piece)):
+            a, b = ranks.get(piece[:k]), ranks.get(piece[k:])
+            if a is not None and b is not None:
+                rows.setdefault(a, {})[b] = rank
+    taken, low, begin = np.zeros(1 << 20, bool), 0, [None] * (max(rows) + 1)
+    for a, row in sorted(rows.items(), key=lambda x: -len(x[1])):
+        rights = np.sort(np.fromiter(row, np.int64))
+        away = rights - rights[0]
+        while taken[low]:
+            low += 1
+        at, some = low, 32
+        while True:
+            free = ~taken[at : at + some]
+            for x in away[1:].tolist():
+                free &= ~taken[at + x : at + x + some]
+            if free.any():
+                at += int(free.argmax())
+                break
+            at, some = at + some, min(2 * some, 8192)
+        taken[at + away] = True
+        begin[a] = at - int(rights[0])
+    size = int(np.flatnonzero(taken)[-1]) + 1
+    owner, scaled = [None] * size, [None] * size
+    for a, row in rows.items():
+        for b, rank in row.items():
+            owner[begin[a] + b], scaled[begin[a] + b] = a, SCALE * rank
+    return json.dumps(begin), json.dumps(owner), json.dumps(scaled)
+
+
+def _let(value: Column, body) -> Column:
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def fold(words: Column, rank_file: str = RANK_FILE) -> Column:
+    """Ids of each word: words are arrays of the ids of two to LONG bytes, between two EDGEs; a piece's id is its rank."""
+    begin, owner, scaled = (F.from_json(F.lit(x), "array<int>") for x in rank_tables(rank_file))  # literals, by the optimizer
+
+    def ids(begin: Column, owner: Column, scaled: Column) -> Column:
+        def rank(a: Column, b: Column) -> Column:
+            at = F.get(begin, a) + b
+            return F.when(F.get(owner, at) == a, F.get(scaled, at))
+
+        def merged(s: Column, best: Column, at: Column) -> Column:
+            """The pieces at and at + 1 joined to one; the pairs at - 1 and at are new, those behind move up."""
+            p, r, rest = s["p"], s["r"], F.lit(LONG + 2)
+            new = F.array(rank(F.get(p, at - 1), best) + (at - 1), rank(best, F.get(p, at + 2)) + at)
+            behind = F.transform(F.slice(r, at + 3, rest), lambda x: x - 1)
+            pieces_ = F.flatten(F.array(F.slice(p, F.lit(1), at), F.array(best), F.slice(p, at + 3, rest)))
+            return F.struct(pieces_.alias("p"), F.flatten(F.array(F.slice(r, F.lit(1), at - 1), new, behind)).alias("r"))
 
         def step(s: Column, _: Column) -> Column:
-            def merged(best: Column) -> Column:
-                at = F.array_position(s["r"], best).cast("int")  # of the left neighbour, from 1
-                n = F.size(s["p"])
-                both = F.concat(F.get(s["p"], at - 1), F.get(s["p"], at))
+            # the least of ranks and, among equal ones, of places; aggregates over one element bind names without a copy
+            join = lambda s, low: F.aggregate(F.array(low.bitwiseAND(SCALE - 1)), s, lambda s, at: merged(s, F.shiftright(low, SCALE.bit_length() - 1), at))
+            return F.aggregate(F.array(F.array_min(s["r"])), s, lambda s, low: F.when(low.isNull(), s).otherwise(join(s, low)))
 
-                def joined(m: Column) -> Column:
-                    left = F.when(at > 1, F.array(rank(F.concat(F.get(s["p"], at - 2), m)))).otherwise(F.array().cast("array<int>"))
-                    right = F.when(at + 1 < n, F.array(rank(F.concat(m, F.get(s["p"], at + 1))))).otherwise(F.array().cast("array<int>"))
-                    pieces = F.concat(F.slice(s["p"], 1, at - 1), F.array(m), F.slice(s["p"], at + 2, n))
-                    after = F.concat(F.slice(s["r"], 1, F.greatest(at - 2, F.lit(0))), left, right, F.slice(s["r"], at + 2, n))
-                    return F.struct(pieces.alias("p"), after.alias("r"), F.lit(True).alias("go"))
+        def whole(w: Column) -> Column:
+            # p: pieces; r: for each pair SCALE * rank + place, null where it doesn't merge
+            start = F.struct(w.alias("p"), F.transform(w, lambda a, i: rank(a, F.get(w, i + 1)) + i).alias("r"))
+            return F.aggregate(F.sequence(F.lit(1), F.size(w) - 3), start, step, lambda s: F.slice(s["p"], F.lit(2), F.size(s["p"]) - 2))
 
-                return F.when(best < NONE, F.get(F.transform(F.array(both), joined), F.lit(0))).otherwise(F.struct(s["p"].alias("p"), s["r"].alias("r"), F.lit(False).alias("go")))
+        return F.transform(words, whole)
 
-            return F.when(s["go"] & (F.size(s["r"]) > 0), F.get(F.transform(F.array(F.array_min(s["r"])), merged), F.lit(0))).otherwise(s)
-
-        def whole(hexed: Column) -> Column:
-            n = F.octet_length(word)
-            pieces = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(hexed, 2 * i - 1, F.lit(2)))
-
-            def merges(p: Column) -> Column:
-                pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.concat(F.get(p, i - 1), F.get(p, i))))
-                start = F.struct(p.alias("p"), pairs.alias("r"), F.lit(True).alias("go"))
-                return F.aggregate(F.sequence(F.lit(1), n - 1), start, step, lambda s: F.transform(s["p"], rank))
-
-            def known(r: Column) -> Column:
-                return F.when((r < NONE) | (n < 2), F.array(r)).otherwise(F.get(F.transform(F.array(pieces), merges), F.lit(0)))
-
-            return F.get(F.transform(F.array(rank(hexed)), known), F.lit(0))
-
-        return F.get(F.transform(F.array(F.hex(word)), whole), F.lit(0))
-
-    return F.get(F.transform(F.array(rank_literal(ranks)), ids), F.lit(0))
+    return _let(begin, lambda a: _let(owner, lambda b: _let(scaled, lambda c: ids(a, b, c))))
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -152,198 +179,147 @@ def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-# --- groups of documents
-
-
-def _chunks(docs: DataFrame, groups: int, text: str, keep) -> DataFrame:
-    """g, docs, sizes, texts: the documents of a batch that go to one group, texts compressed together."""
-    row = F.struct(*[quoted(c).alias(f"c{i}") for i, c in enumerate(keep)])
-    source = docs.select(row.alias("keep"), F.coalesce(quoted(text).cast("binary"), F.lit(b"")).alias("text"), F.xxhash64(F.to_json(F.struct(*[quoted(c) for c in keep if c != text])), quoted(text)).alias("h"))
-    schema = T.StructType([T.StructField("g", T.IntegerType()), T.StructField("docs", T.ArrayType(source.schema["keep"].dataType)), T.StructField("sizes", T.BinaryType()), T.StructField("texts", T.BinaryType())])
-    want = arrow_schema(schema)
-
-    def run(batches):
-        seen: Counter = Counter()
-        pack = zstandard.ZstdCompressor(level=3)
-        for b in batches:
-            data, offs = buffers(b.column(1))
-            h = b.column(2).to_numpy(zero_copy_only=False).copy()
-            for k, x in enumerate(h.tolist()):  # repeated rows are dealt out one by one
-                if seen[x]:
-                    h[k] += seen[x]
-                seen[x] += 1
-            g = h % groups
-            order = np.argsort(g, kind="stable")
-            cuts = np.flatnonzero(np.concatenate([[True], g[order][1:] != g[order][:-1]])) if len(g) else []
-            raw = memoryview(data)
-            for at in np.split(order, cuts[1:]) if len(g) else []:
-                cell = b.column(0).take(pa.array(at)).cast(want.field("docs").type.value_type)
-                texts = b"".join(raw[offs[k] : offs[k + 1]] for k in at)
-                yield pa.RecordBatch.from_arrays([pa.array([g[at[0]]], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), cell).cast(want.field("docs").type), pa.array([np.diff(offs)[at].astype(np.int32).tobytes()]), pa.array([pack.compress(texts)])], schema=want)
-
-    return source.mapInArrow(run, schema)
-
-
-def _texts(chunk_sizes, chunk_texts):
-    """The texts of a group's chunks, in order."""
-    unpack = zstandard.ZstdDecompressor()
-    for sizes, raw in zip(chunk_sizes.to_pylist(), chunk_texts.to_pylist(), strict=True):
-        data, at = unpack.decompress(raw), 0
-        for n in np.frombuffer(sizes, np.int32).tolist():
-            yield data[at : at + n].decode("utf-8", "replace")
-            at += n
-
-
-def _letters(s: str) -> bool:
-    """Whether s is letters only, by a test that needs no table newer than Latin Extended-B."""
-    return s.isalpha() and (s.isascii() or max(s) < "\u0250")
-
-
-def _after_space(part: str) -> list[str]:
-    """Pieces of a part with a space before it."""
-    if _letters(part):
-        return [" " + part]
-    if part[-1] in ".,;:!?" and _letters(part[:-1]):
-        return [" " + part[:-1], part[-1]]
-    return pieces(" " + part)
-
-
-def _no_cycles() -> None:
-    """Switch off the search for cyclic garbage: these functions hold hundreds of thousands of small lists and make no cycles."""
-    gc.disable()
-
-
-def _split(texts: list[str]):
-    """For each text: its parts between single spaces, whose pieces don't depend on each other (None: where white space is mixed, or nothing is), and the pieces of all distinct parts with a space before them."""
-    split = [t.split(" ") for t in texts]
-    distinct: set[str] = set()
-    for p in split:
-        distinct.update(p)
-    mixed = {p for p in distinct if not p or p[0].isspace() or p[-1].isspace()}
-    alone = [None if not mixed.isdisjoint(p) else p for p in split] if mixed else split
-    return alone, {p: _after_space(p) for p in distinct - mixed}
-
-
-def _words(texts: list[str], alone, after) -> set[str]:
-    """Distinct words of texts."""
-    words: set[str] = set()
-    for t, p in zip(texts, alone, strict=True):
-        words.update(pieces(p[0] if p else t))
-    for found in after.values():
-        words.update(found)
-    return words
-
-
-def _dealt(words, buckets: int) -> dict[int, list[str]]:
-    """Words by bucket, in order (that of code points, which is that of bytes too)."""
-    out: dict[int, list[str]] = {}
-    for w in sorted(words):
-        out.setdefault(zlib.crc32(w.encode()) % buckets, []).append(w)
-    return out
-
-
-def _packed(words: list[str]) -> bytes:
-    words = [w.encode() for w in words]
-    return zstandard.ZstdCompressor(level=3).compress(np.array([len(words), *map(len, words)], np.int32).tobytes() + b"".join(words))
-
-
-def _unpacked(raw: bytes) -> list[bytes]:
-    data = zstandard.ZstdDecompressor().decompress(raw)
-    n = int.from_bytes(data[:4], "little")
-    ends = np.cumsum(np.frombuffer(data, np.int32, n, 4), dtype=np.int64) + 4 + 4 * n
-    return [data[a:b] for a, b in zip([4 + 4 * n, *ends[:-1].tolist()], ends.tolist(), strict=True)] if n else []
+# --- blocks of documents
 
 
 @lru_cache(1)
 def _vocabulary(path: str):
-    """Bytes of all pieces back to back, and their borders by id, to decode."""
+    """Ranks by piece, pieces by rank, and the id of each byte."""
     ranks = read_ranks(path)
-    pieces = [b""] * (max(ranks.values()) + 1)
+    by_id = [b""] * (max(ranks.values()) + 1)
     for piece, rank in ranks.items():
-        pieces[rank] = piece
-    return np.frombuffer(b"".join(pieces), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in pieces])])
-
-
-def decode(ids: np.ndarray, rank_bytes: np.ndarray, borders: np.ndarray) -> bytes:
-    """The pieces of ids joined."""
-    size = borders[ids + 1] - borders[ids]
-    ends = np.cumsum(size)
-    return rank_bytes[np.arange(ends[-1] if len(ends) else 0) + np.repeat(borders[ids] - (ends - size), size)].tobytes()
+        by_id[rank] = piece
+    return ranks, by_id, np.array([ranks[bytes([b])] for b in range(256)], np.int32)
+
+
+#: White space of more than one byte, as the pattern's class has it.
+_WIDE = {c.encode() for c in "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"}
+
+
+def segments(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Starts of segments: at each document, and wherever ASCII white space follows something else."""
+    if not len(data):
+        return np.zeros(0, np.int64)
+    space = SPACE[data]
+    cut = np.zeros(len(data), bool)
+    cut[1:] = space[1:] & ~space[:-1]
+    after = np.flatnonzero(cut[1:] & (data[:-1] >= 128)) + 1  # what ends there may be white space too
+    if len(after):
+        raw = data.tobytes()
+        cut[[k for k in after.tolist() if raw[max(k - 2, 0) : k] in _WIDE or raw[max(k - 3, 0) : k] in _WIDE]] = False
+    cut[offs[:-1][np.diff(offs) > 0]] = True
+    return np.flatnonzero(cut)
+
+
+def numbered(data: np.ndarray, offs: np.ndarray, path: str, listed: dict[bytes, int]):
+    """Word numbers of all documents and each document's first; words beyond the vocabulary are numbered on in listed."""
+    ranks, by_id, _ = _vocabulary(path)
+    cut = segments(data, offs)
+    borders = np.append(cut, len(data)).astype(np.int64 if len(data) >= 2**31 else np.int32)
+    kind = pa.large_binary() if borders.dtype == np.int64 else pa.binary()
+    found = pa.Array.from_buffers(kind, len(cut), [None, pa.py_buffer(borders), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
+    flat: list[int] = []
+    ends: list[int] = []
+    base = len(by_id)
+    for s in found.dictionary.to_pylist():
+        for w in pieces(s):
+            number = ranks.get(w)
+            if number is None:
+                if len(w) > LONG:
+                    flat += merge_long(w, ranks)
+                    continue
+                number = base + listed.setdefault(w, len(listed))
+            flat.append(number)
+        ends.append(len(flat))
+    numbers, ends_ = np.array(flat, np.int32), np.array(ends, np.int64)
+    size = np.diff(ends_, prepend=0)
+    out, total = gathered(found.indices.to_numpy(), numbers, ends_ - size, size)
+    return out, total[np.searchsorted(cut, offs)]
+
+
+def gathered(which: np.ndarray, values: np.ndarray, starts: np.ndarray, size: np.ndarray):
+    """The ranges of values that which names, joined, and the borders between them."""
+    n = size[which]
+    borders = np.concatenate([[0], np.cumsum(n)])
+    return values[np.repeat(starts[which] - borders[:-1], n) + np.arange(borders[-1])], borders
 
 
 def encode(docs: DataFrame, rank_file: str = RANK_FILE, text: str = "text", keep=("doc_id",), with_ids: bool = True) -> DataFrame:
     """keep (struct of fields c0, c1, ..) and out: n_tokens, ids (little-endian unsigned 32-bit, null unless with_ids), ids_sha256, decoded_sha256."""
-    spark = tune(docs.sparkSession)
-    ranks = read_ranks(rank_file)
-    total = docs.select(F.coalesce(F.sum(F.octet_length(quoted(text)).cast("long")), F.lit(0))).first()[0]
-    groups = max(1, -(-total // GROUP))
-    chunks = _chunks(docs, groups, text, keep)
-
-    def ask(part: pa.Table) -> pa.Table:
-        _no_cycles()
-        g = part.column("g")[0].as_py()
-        texts = list(_texts(part.column("sizes"), part.column("texts")))
-        dealt = _dealt(_words(texts, *_split(texts)), groups)
-        return pa.table({"bucket": pa.array(list(dealt), pa.int32()), "g": pa.array([g] * len(dealt), pa.int32()), "words": pa.array([_packed(w) for w in dealt.values()], pa.binary())})
-
-    asked = chunks.groupBy("g").applyInArrow(ask, "bucket int, g int, words binary")
-
-    def distinct(part: pa.Table) -> pa.Table:
-        _no_cycles()
-        words = set()
-        for raw in part.column("words").to_pylist():
-            words.update(_unpacked(raw))
-        words = sorted(words)
-        long = [merge_long(w, ranks) if len(w) > LONG else None for w in words]
-        return pa.table({"bucket": pa.array([part.column("bucket")[0].as_py()] * len(words), pa.int32()), "word": pa.array(words, pa.binary()), "long": pa.array(long, pa.list_(pa.int32()))})
-
-    words = asked.groupBy("bucket").applyInArrow(distinct, "bucket int, word binary, long array<int>")
-    folded = words.select("bucket", "word", F.when(F.col("long").isNotNull(), F.col("long")).otherwise(fold(F.col("word"), ranks)).alias("ids"))
-
-    def answer(asks: pa.Table, known: pa.Table) -> pa.Table:
-        _no_cycles()
-        ids = known.column("ids").combine_chunks()
-        borders = ids.offsets.to_numpy().astype(np.int64)
-        values = ids.values.to_numpy().astype(np.int32)
-        number = {w: k for k, w in enumerate(known.column("word").to_pylist())}
-        out = []
-        for raw in asks.column("words").to_pylist():
-            at = np.array([number[w] for w in _unpacked(raw)], np.int64)
-            n = borders[at + 1] - borders[at]
-            flat = values[np.repeat(borders[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-            out.append(zstandard.ZstdCompressor(level=1).compress(n.astype(np.int32).tobytes() + flat.astype(np.int32).tobytes()))
-        return pa.table({"g": asks.column("g"), "bucket": asks.column("bucket"), "n": pa.array([int.from_bytes(zstandard.ZstdDecompressor().decompress(r)[:4], "little") for r in asks.column("words").to_pylist()], pa.int32()), "ids": pa.array(out, pa.binary())})
-
-    answers = asked.groupBy("bucket").cogroup(folded.groupBy("bucket")).applyInArrow(answer, "g int, bucket int, n int, ids binary")
+    tune(docs.sparkSession)
+    row = F.struct(*[quoted(c).alias(f"c{i}") for i, c in enumerate(keep)])
+    source = docs.select(row.alias("keep"), F.coalesce(quoted(text).cast("binary"), F.lit(b"")).alias("text"))
+    kept = source.schema["keep"].dataType
+    schema = T.StructType([T.StructField("docs", T.ArrayType(kept)), T.StructField("first", T.BinaryType()), T.StructField("numbers", T.BinaryType()), T.StructField("before", T.IntegerType()), T.StructField("words", T.ArrayType(T.ArrayType(T.IntegerType())))])
+    want = arrow_schema(schema)
 
+    def block(listed, rows, data, offs):
+        before = len(listed)
+        numbers, first = numbered(data, offs, rank_file, listed)
+        words = list(islice(listed, before, None))
+        size = np.array([len(w) for w in words], np.int64)
+        ends = np.cumsum(size + 2)
+        ids = np.full(int(ends[-1]) if len(ends) else 0, EDGE, np.int32)
+        inner = np.ones(len(ids), bool)
+        inner[ends - 1] = inner[ends - size - 2] = False
+        ids[inner] = _vocabulary(rank_file)[2][np.frombuffer(b"".join(words), np.uint8)]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids))
+        cells = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows.cast(want.field("docs").type.value_type))
+        return pa.RecordBatch.from_arrays([cells.cast(want.field("docs").type), pa.array([first.astype(np.int64).tobytes()]), pa.array([numbers.tobytes()]), pa.array([before], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(lists)], pa.int32()), lists).cast(want.field("words").type)], schema=want)
+
+    def split(batches):
+        held, size, listed = [], 0, {}  # (rows, data, offs) of less than a block; the words that this task has listed
+        for b in batches:
+            data, offs = buffers(b.column(1))
+            for i, j in blocks(offs, BLOCK):
+                held.append((b.column(0).slice(i, j - i), data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]))
+                size += int(offs[j] - offs[i])
+                if size >= BLOCK // 2:
+                    listed = {} if len(listed) >= KNOWN else listed
+                    yield block(listed, *_joined(held))
+                    held, size = [], 0
+        if held:
+            yield block(listed, *_joined(held))
+
+    folded = source.mapInArrow(split, schema).select("docs", "first", "numbers", "before", fold(F.col("words"), rank_file).alias("ids"))
     out = T._parse_datatype_string("n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string")
-    schema = T.StructType([T.StructField("keep", chunks.schema["docs"].dataType.elementType), T.StructField("out", out)])
-    want = arrow_schema(schema)
+    made = T.StructType([T.StructField("keep", kept), T.StructField("out", out)])
+    target = arrow_schema(made)
 
-    def write(part: pa.Table, got: pa.Table) -> pa.Table:
-        _no_cycles()
-        rank_bytes, borders = _vocabulary(rank_file)
-        texts = list(_texts(part.column("sizes"), part.column("texts")))
-        alone, found = _split(texts)
-        dealt = _dealt(_words(texts, alone, found), groups)
-        ids_of: dict[str, bytes] = {}
-        for bucket, n, raw in zip(got.column("bucket").to_pylist(), got.column("n").to_pylist(), got.column("ids").to_pylist(), strict=True):
-            data = zstandard.ZstdDecompressor().decompress(raw)
-            ends = np.cumsum(np.frombuffer(data, np.int32, n), dtype=np.int64) * 4 + 4 * n
-            for w, a, b in zip(dealt[bucket], [4 * n, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                ids_of[w] = data[a:b]
-        after = {p: b"".join([ids_of[w] for w in x]) for p, x in found.items()}
-        first = lambda p: b"".join([ids_of[w] for w in pieces(p)])
-        cols: list[list] = [[], [], [], []]
-        for t, p in zip(texts, alone, strict=True):
-            ids = first(p[0]) + b"".join(map(after.__getitem__, p[1:])) if p else first(t)
-            back = decode(np.frombuffer(ids, np.uint32).astype(np.int64), rank_bytes, borders)
-            for c, x in zip(cols, (len(ids) // 4, ids if with_ids else None, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()), strict=True):
-                c.append(x)
-        rows = pa.concat_arrays([c.flatten() for c in part.column("docs").chunks]).cast(want.field("keep").type)
-        return pa.Table.from_arrays([rows, pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, want.field("out").type, strict=True)], fields=list(want.field("out").type))], schema=want)
-
-    return chunks.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(write, schema)
+    def write(batches):
+        _, by_id, _ = _vocabulary(rank_file)
+        single = np.arange(len(by_id), dtype=np.int32)
+        for b in batches:
+            for r in range(b.num_rows):
+                if b.column(3)[r].as_py() == 0:  # the numbers begin anew
+                    values, ends = single, single + 1
+                lists = b.column(4)[r].values
+                ends = np.concatenate([ends, lists.offsets[1:].to_numpy() - lists.offsets[0].as_py() + len(values)])
+                values = np.concatenate([values, lists.flatten().to_numpy().astype(np.int32)])
+                size = np.diff(ends, prepend=0)
+                starts = ends - size
+                first = np.frombuffer(b.column(1)[r].as_buffer(), np.int64)
+                numbers = np.frombuffer(b.column(2)[r].as_buffer(), np.int32)
+                cols: list[list] = [[], [], [], []]
+                for i, j in blocks(first, 1 << 16):
+                    tokens, at = gathered(numbers[first[i] : first[j]], values, starts, size)
+                    for p, q in zip(at[first[i:j] - first[i]].tolist(), at[first[i + 1 : j + 1] - first[i]].tolist(), strict=True):
+                        ids = tokens[p:q].astype("<u4").tobytes()
+                        back = b"".join(map(by_id.__getitem__, tokens[p:q].tolist()))
+                        for c, x in zip(cols, (q - p, ids if with_ids else None, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()), strict=True):
+                            c.append(x)
+                rows = b.column(0)[r].values.cast(target.field("keep").type)
+                yield pa.RecordBatch.from_arrays([rows, pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, target.field("out").type, strict=True)], fields=list(target.field("out").type))], schema=target)
+
+    return folded.mapInArrow(write, made)
+
+
+def _joined(held):
+    """Rows, bytes and borders of several runs of documents as one."""
+    if len(held) == 1:
+        return held[0]
+    sizes = np.concatenate([np.diff(o) for _, _, o in held])
+    return pa.concat_arrays([r for r, _, _ in held]), np.concatenate([d for _, d, _ in held]), np.concatenate([[0], np.cumsum(sizes)])
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,6 +25,7 @@ length stays. Keys must be integers.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._frames import arrow_schema, quoted, table, tune
-from ._text import MIX1, blocks, mix, spans_hash
-from .byte_bpe import _chunks
+from ._text import MIX1, blocks, buffers, mix, spans_hash
 
 GROUP = 6 << 20
 LENGTH, GRAM = 50, 20
@@ -159,6 +159,38 @@ SPAN = (np.uint32, np.uint32, np.uint32)
 PIECE = (np.uint32, np.int64, np.uint32, np.uint32, np.uint32, np.uint8)
 
 
+# --- groups of documents
+
+
+def _chunks(docs: DataFrame, groups: int, text: str, keep) -> DataFrame:
+    """g, docs, sizes, texts: the documents of a batch that go to one group, texts compressed together."""
+    row = F.struct(*[quoted(c).alias(f"c{i}") for i, c in enumerate(keep)])
+    source = docs.select(row.alias("keep"), F.coalesce(quoted(text).cast("binary"), F.lit(b"")).alias("text"), F.xxhash64(F.to_json(F.struct(*[quoted(c) for c in keep if c != text])), quoted(text)).alias("h"))
+    schema = T.StructType([T.StructField("g", T.IntegerType()), T.StructField("docs", T.ArrayType(source.schema["keep"].dataType)), T.StructField("sizes", T.BinaryType()), T.StructField("texts", T.BinaryType())])
+    want = arrow_schema(schema)
+
+    def run(batches):
+        seen: Counter = Counter()
+        pack = zstandard.ZstdCompressor(level=3)
+        for b in batches:
+            data, offs = buffers(b.column(1))
+            h = b.column(2).to_numpy(zero_copy_only=False).copy()
+            for k, x in enumerate(h.tolist()):  # repeated rows are dealt out one by one
+                if seen[x]:
+                    h[k] += seen[x]
+                seen[x] += 1
+            g = h % groups
+            order = np.argsort(g, kind="stable")
+            cuts = np.flatnonzero(np.concatenate([[True], g[order][1:] != g[order][:-1]])) if len(g) else []
+            raw = memoryview(data)
+            for at in np.split(order, cuts[1:]) if len(g) else []:
+                cell = b.column(0).take(pa.array(at)).cast(want.field("docs").type.value_type)
+                texts = b"".join(raw[offs[k] : offs[k + 1]] for k in at)
+                yield pa.RecordBatch.from_arrays([pa.array([g[at[0]]], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(at)], pa.int32()), cell).cast(want.field("docs").type), pa.array([np.diff(offs)[at].astype(np.int32).tobytes()]), pa.array([pack.compress(texts)])], schema=want)
+
+    return source.mapInArrow(run, schema)
+
+
 # --- suffixes of a bucket
 
 

@@ -28,7 +28,8 @@ def samples():
 
 
 def test_against_the_library(spark, folder, reference, monkeypatch):
-    monkeypatch.setattr(B, "GROUP", 1500)  # several groups and buckets
+    monkeypatch.setattr(B, "BLOCK", 600)  # several blocks, and numbers that begin anew
+    monkeypatch.setattr(B, "KNOWN", 40)
     texts = samples()
     texts += texts[-2:]
     path = folder(list(enumerate(texts)) + [(5, texts[5]), (5, texts[5]), (None, "no key"), (None, None)])
@@ -51,10 +52,22 @@ def test_pieces_as_the_pattern_gives_them():
     import regex
 
     for t in samples():
-        assert B._PIECES.findall(t or "") == B.pieces(t or "") == regex.findall(public_tokenizers.PATTERN, t or "")
+        assert B.pieces((t or "").encode()) == [p.encode() for p in regex.findall(public_tokenizers.PATTERN, t or "")]
     for c in range(128):
         t = f"a{chr(c)}b {chr(c)} {chr(c)}{chr(c)}1 'll{chr(c)}"
-        assert B.pieces(t) == regex.findall(public_tokenizers.PATTERN, t)
+        assert B.pieces(t.encode()) == [p.encode() for p in regex.findall(public_tokenizers.PATTERN, t)]
+
+
+def test_segments_cut_between_pieces_only():
+    import regex
+
+    texts = [t or "" for t in samples()] + [f"a{c} b {c}c{c}{c} " for c in "\x1c\x85\xa0\u1680\u2003\u200a\u2028\u202f\u205f\u3000\u200b\ufeff"]
+    raw = [t.encode() for t in texts]
+    offs = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    cut = [*B.segments(data, offs).tolist(), len(data)]
+    got = [w for a, b in zip(cut[:-1], cut[1:], strict=True) for w in B.pieces(data[a:b].tobytes())]
+    assert got == [p.encode() for t in texts for p in regex.findall(public_tokenizers.PATTERN, t)]
 
 
 def test_empty_table_and_stage(spark, folder, reference):
