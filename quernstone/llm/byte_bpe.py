@@ -1,25 +1,25 @@
 """Byte-level BPE: ranked merges folded in Spark over the byte arrays of distinct words.
 
-One narrow pass, without a shuffle, in three steps over blocks of about BLOCK bytes of whole documents:
-
-1. A block's texts are cut where white space begins (no piece of the split pattern crosses such a
-   place), its distinct segments are split into words, and the documents become arrays of word numbers.
-   Words that are pieces of the vocabulary have their rank as number; the others are listed.
-2. Spark's higher-order functions fold the ranked merges over each listed word, an array of byte
-   ids: the neighbours of lowest rank merge until none has a rank. The ranks of pairs of ids
-   are literals, a sparse table in three arrays.
-3. Numbers are replaced by ids, and the binary pieces of the vocabulary are joined again to decode.
-
-The blocks of a task share one numbering, so each word is folded once a task (or after KNOWN other
-words). Nothing is shared between tasks, so a block costs the same in a corpus of any size, a
-lost executor costs its own tasks, and no key can be hot.
+1. Each task gathers its documents to groups of about GROUP bytes. A group's texts are cut where white
+   space begins (no piece of the split pattern crosses such a place), its distinct segments are
+   split into words, and the documents become arrays of word numbers. Words that are pieces of the
+   vocabulary have their rank as number; the others are listed once a group and dealt to buckets by hash.
+2. Each bucket's distinct words become one row, and Spark's higher-order functions fold the ranked
+   merges over each word, an array of byte ids: the neighbours of lowest rank merge until
+   none has a rank. The ranks of pairs of ids are literals, a sparse table in three arrays.
+3. Each group gets the ids of its listed words back, replaces numbers by ids, and joins the binary
+   pieces of the vocabulary again to decode.
+
+Groups and their cells of words travel compressed, once. There are never more cells than words that
+groups list, so what is moved grows with the corpus; frequent words are mostly pieces of the
+vocabulary and don't travel. A word that all groups list costs its bucket a number a group.
 
 Nothing but the rank table (a fixed file) is known to all executors. Words of more than
 LONG bytes (a run of letters without a break, say) would cost the fold quadratic time; they
 are merged with a heap instead, with the same result.
 
 Edge cases: null and empty texts have no ids; repeated rows are encoded each by itself; a document
-larger than a block is a block of its own; an empty table gives no rows.
+larger than a group is a group of its own; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,26 +30,25 @@ import heapq
 import json
 import re
 from functools import lru_cache
-from itertools import islice
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._frames import arrow_schema, quoted, table, tune
-from ._text import SPACE, blocks, buffers
+from ._text import SPACE, blocks, buffers, spans_hash
 
-#: Bytes of text that share one list of distinct words.
-BLOCK = 16 << 20
+#: Bytes of text that share one list of words, that are numbered at once, and that a bucket of words stands for.
+GROUP, BLOCK, BUCKET = 24 << 20, 8 << 20, 8 << 20
 LONG = 200
 #: More than the places in a word; a power of two.
 SCALE = 256
-#: Words that the blocks of one task know of each other before they begin anew.
-KNOWN = 1_000_000
 #: Stands before and after a word's byte ids; no id and no part of a pair that merges.
 EDGE = 65_535
 RANK_FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -244,82 +243,152 @@ def gathered(which: np.ndarray, values: np.ndarray, starts: np.ndarray, size: np
     return values[np.repeat(starts[which] - borders[:-1], n) + np.arange(borders[-1])], borders
 
 
+def _packed(*arrays: np.ndarray) -> bytes:
+    raw = [np.ascontiguousarray(x).tobytes() for x in arrays]
+    return zstandard.ZstdCompressor(level=1).compress(np.array([len(r) for r in raw], np.int64).tobytes() + b"".join(raw))
+
+
+def _unpacked(raw: bytes, *kinds) -> list[np.ndarray]:
+    data, at, out = zstandard.ZstdDecompressor().decompress(raw), 8 * len(kinds), []
+    for n, kind in zip(np.frombuffer(data, np.int64, len(kinds)).tolist(), kinds, strict=True):
+        out.append(np.frombuffer(data, kind, n // np.dtype(kind).itemsize, at))
+        at += n
+    return out
+
+
+def _binary(sizes: np.ndarray, data: np.ndarray) -> pa.Array:
+    borders = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(borders.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def _edged(words: pa.Array, byte_ids: np.ndarray) -> pa.ListArray:
+    """The byte ids of each word between two EDGEs."""
+    data, offs = buffers(words)
+    size = np.diff(offs)
+    ends = np.cumsum(size + 2)
+    ids = np.full(int(ends[-1]) if len(ends) else 0, EDGE, np.int32)
+    inner = np.ones(len(ids), bool)
+    inner[ends - 1] = inner[ends - size - 2] = False
+    ids[inner] = byte_ids[data]
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids))
+
+
 def encode(docs: DataFrame, rank_file: str = RANK_FILE, text: str = "text", keep=("doc_id",), with_ids: bool = True) -> DataFrame:
     """keep (struct of fields c0, c1, ..) and out: n_tokens, ids (little-endian unsigned 32-bit, null unless with_ids), ids_sha256, decoded_sha256."""
     tune(docs.sparkSession)
+    total = docs.select(F.coalesce(F.sum(F.octet_length(quoted(text)).cast("long")), F.lit(0))).first()[0]
+    buckets = 1 + total // BUCKET
     row = F.struct(*[quoted(c).alias(f"c{i}") for i, c in enumerate(keep)])
     source = docs.select(row.alias("keep"), F.coalesce(quoted(text).cast("binary"), F.lit(b"")).alias("text"))
     kept = source.schema["keep"].dataType
-    schema = T.StructType([T.StructField("docs", T.ArrayType(kept)), T.StructField("first", T.BinaryType()), T.StructField("numbers", T.BinaryType()), T.StructField("before", T.IntegerType()), T.StructField("words", T.ArrayType(T.ArrayType(T.IntegerType())))])
+    cells = T._parse_datatype_string("array<struct<bucket bigint, words binary>>")
+    schema = T.StructType([T.StructField("g", T.LongType()), T.StructField("docs", T.ArrayType(kept)), T.StructField("numbers", T.BinaryType()), T.StructField("cells", cells)])
     want = arrow_schema(schema)
-
-    def block(listed, rows, data, offs):
-        before = len(listed)
-        numbers, first = numbered(data, offs, rank_file, listed)
-        words = list(islice(listed, before, None))
-        size = np.array([len(w) for w in words], np.int64)
-        ends = np.cumsum(size + 2)
-        ids = np.full(int(ends[-1]) if len(ends) else 0, EDGE, np.int32)
-        inner = np.ones(len(ids), bool)
-        inner[ends - 1] = inner[ends - size - 2] = False
-        ids[inner] = _vocabulary(rank_file)[2][np.frombuffer(b"".join(words), np.uint8)]
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids))
-        cells = pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows.cast(want.field("docs").type.value_type))
-        return pa.RecordBatch.from_arrays([cells.cast(want.field("docs").type), pa.array([first.astype(np.int64).tobytes()]), pa.array([numbers.tobytes()]), pa.array([before], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(lists)], pa.int32()), lists).cast(want.field("words").type)], schema=want)
+    kind = np.dtype(np.uint16 if len(read_ranks(rank_file)) <= 65536 else np.uint32)
+
+    def group(g, held):
+        listed: dict[bytes, int] = {}
+        parts, firsts, before = [], [np.zeros(1, np.int64)], 0
+        for _, data, offs in held:
+            numbers, first = numbered(data, offs, rank_file, listed)
+            parts.append(numbers)
+            firsts.append(first[1:] + before)
+            before += len(numbers)
+        numbers = np.concatenate(parts)
+        words = pa.array(list(listed), pa.binary())
+        data, offs = buffers(words)
+        bucket = (spans_hash(data, offs[:-1], offs[1:]) % np.uint64(buckets)).astype(np.int64) if len(words) else np.zeros(0, np.int64)
+        order = np.argsort(bucket, kind="stable")  # words are numbered by bucket
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        base = len(_vocabulary(rank_file)[1])
+        beyond = numbers >= base
+        numbers[beyond] = place[numbers[beyond] - base] + base
+        words = words.take(pa.array(order))
+        data, offs = buffers(words)
+        there, cut = np.unique(bucket[order], return_index=True)
+        cut = [*cut.tolist(), len(order)]
+        packed = [_packed(np.diff(offs[i : j + 1]).astype(np.uint8), data[offs[i] : offs[j]]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+        rows = pa.concat_arrays([r for r, _, _ in held]).cast(want.field("docs").type.value_type)
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        told = pa.StructArray.from_arrays([pa.array(there, pa.int64()), pa.array(packed, pa.binary())], fields=list(want.field("cells").type.value_type))
+        return pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), one(rows).cast(want.field("docs").type), pa.array([_packed(np.concatenate(firsts), numbers)], pa.binary()), one(told).cast(want.field("cells").type)], schema=want)
 
     def split(batches):
-        held, size, listed = [], 0, {}  # (rows, data, offs) of less than a block; the words that this task has listed
+        g = TaskContext.get().partitionId() << 32  # of one stage, so no two groups share a number
+        held, size = [], 0
         for b in batches:
             data, offs = buffers(b.column(1))
             for i, j in blocks(offs, BLOCK):
                 held.append((b.column(0).slice(i, j - i), data[offs[i] : offs[j]], offs[i : j + 1] - offs[i]))
                 size += int(offs[j] - offs[i])
-                if size >= BLOCK // 2:
-                    listed = {} if len(listed) >= KNOWN else listed
-                    yield block(listed, *_joined(held))
-                    held, size = [], 0
+                if size >= GROUP:
+                    yield group(g, held)
+                    g, held, size = g + 1, [], 0
         if held:
-            yield block(listed, *_joined(held))
+            yield group(g, held)
+
+    groups = source.mapInArrow(split, schema)
+
+    def tell(part: pa.Table) -> pa.Table:
+        found = part.column("cells").combine_chunks().flatten()
+        g = part.column("g")[0].as_py()
+        return pa.table({"bucket": found.field(0), "g": pa.array([g] * len(found), pa.int64()), "words": found.field(1)})
+
+    def distinct(part: pa.Table) -> pa.Table:
+        """A bucket as one row: its distinct words, and which of them each group asked for."""
+        cells_ = [_unpacked(x, np.uint8, np.uint8) for x in part.column("words").to_pylist()]
+        found = pa.concat_arrays([_binary(n, data) for n, data in cells_]).dictionary_encode()
+        at = np.split(found.indices.to_numpy().astype(np.int32), np.cumsum([len(n) for n, _ in cells_])[:-1])
+        asks = pa.StructArray.from_arrays([part.column("g").combine_chunks(), pa.array([x.tobytes() for x in at], pa.binary())], names=["g", "at"])
+        one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        return pa.table({"bucket": part.column("bucket").slice(0, 1), "asks": one(asks), "words": one(_edged(found.dictionary, _vocabulary(rank_file)[2]))})
+
+    def answer(batches):
+        for b in batches:
+            for r in range(b.num_rows):
+                lists = b.column(2)[r].values
+                ids, borders = lists.flatten().to_numpy().astype(kind), lists.offsets.to_numpy().astype(np.int64)
+                starts, size = borders[:-1] - borders[0], np.diff(borders)
+                asks = b.column(1)[r].values
+                packed = []
+                for raw in asks.field(1):
+                    at = np.frombuffer(raw.as_buffer(), np.int32)
+                    packed.append(_packed(size[at].astype(np.uint8), gathered(at, ids, starts, size)[0]))
+                bucket = b.column(0)[r].as_py()
+                yield pa.RecordBatch.from_arrays([asks.field(0), pa.array([bucket] * len(packed), pa.int64()), pa.array(packed, pa.binary())], names=["g", "bucket", "ids"])
+
+    told = groups.groupBy("g").applyInArrow(tell, "bucket bigint, g bigint, words binary")
+    folded = told.groupBy("bucket").applyInArrow(distinct, "bucket bigint, asks array<struct<g bigint, at binary>>, words array<array<int>>").select("bucket", "asks", fold(F.col("words"), rank_file).alias("ids"))
+    answers = folded.mapInArrow(answer, "g bigint, bucket bigint, ids binary")
 
-    folded = source.mapInArrow(split, schema).select("docs", "first", "numbers", "before", fold(F.col("words"), rank_file).alias("ids"))
     out = T._parse_datatype_string("n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string")
     made = T.StructType([T.StructField("keep", kept), T.StructField("out", out)])
     target = arrow_schema(made)
 
-    def write(batches):
-        _, by_id, _ = _vocabulary(rank_file)
-        single = np.arange(len(by_id), dtype=np.int32)
-        for b in batches:
-            for r in range(b.num_rows):
-                if b.column(3)[r].as_py() == 0:  # the numbers begin anew
-                    values, ends = single, single + 1
-                lists = b.column(4)[r].values
-                ends = np.concatenate([ends, lists.offsets[1:].to_numpy() - lists.offsets[0].as_py() + len(values)])
-                values = np.concatenate([values, lists.flatten().to_numpy().astype(np.int32)])
-                size = np.diff(ends, prepend=0)
-                starts = ends - size
-                first = np.frombuffer(b.column(1)[r].as_buffer(), np.int64)
-                numbers = np.frombuffer(b.column(2)[r].as_buffer(), np.int32)
-                cols: list[list] = [[], [], [], []]
-                for i, j in blocks(first, 1 << 16):
-                    tokens, at = gathered(numbers[first[i] : first[j]], values, starts, size)
-                    for p, q in zip(at[first[i:j] - first[i]].tolist(), at[first[i + 1 : j + 1] - first[i]].tolist(), strict=True):
-                        ids = tokens[p:q].astype("<u4").tobytes()
-                        back = b"".join(map(by_id.__getitem__, tokens[p:q].tolist()))
-                        for c, x in zip(cols, (q - p, ids if with_ids else None, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()), strict=True):
-                            c.append(x)
-                rows = b.column(0)[r].values.cast(target.field("keep").type)
-                yield pa.RecordBatch.from_arrays([rows, pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, target.field("out").type, strict=True)], fields=list(target.field("out").type))], schema=target)
-
-    return folded.mapInArrow(write, made)
-
-
-def _joined(held):
-    """Rows, bytes and borders of several runs of documents as one."""
-    if len(held) == 1:
-        return held[0]
-    sizes = np.concatenate([np.diff(o) for _, _, o in held])
-    return pa.concat_arrays([r for r, _, _ in held]), np.concatenate([d for _, d, _ in held]), np.concatenate([[0], np.cumsum(sizes)])
+    def write(part: pa.Table, got: pa.Table) -> pa.Table:
+        if not part.num_rows:
+            return target.empty_table()
+        by_id = _vocabulary(rank_file)[1]
+        own = np.arange(len(by_id), dtype=kind)
+        cells_ = [_unpacked(x, np.uint8, kind) for x in got.sort_by("bucket").column("ids").to_pylist()]
+        values = np.concatenate([own, *[x for _, x in cells_]])
+        size = np.concatenate([np.ones(len(own), np.int64), *[n.astype(np.int64) for n, _ in cells_]])
+        starts = np.cumsum(size) - size
+        first, numbers = _unpacked(part.column("numbers")[0].as_py(), np.int64, np.int32)
+        cols: list[list] = [[], [], [], []]
+        for i, j in blocks(first, 1 << 16):
+            tokens, at = gathered(numbers[first[i] : first[j]], values, starts, size)
+            raw, words = tokens.astype("<u4"), tokens.tolist()
+            for p, q in zip(at[first[i:j] - first[i]].tolist(), at[first[i + 1 : j + 1] - first[i]].tolist(), strict=True):
+                ids = raw[p:q].tobytes()
+                back = b"".join(map(by_id.__getitem__, words[p:q]))
+                for c, x in zip(cols, (q - p, ids if with_ids else None, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()), strict=True):
+                    c.append(x)
+        rows = part.column("docs").combine_chunks().flatten().cast(target.field("keep").type)
+        return pa.Table.from_arrays([rows, pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, target.field("out").type, strict=True)], fields=list(target.field("out").type))], schema=target)
+
+    return groups.groupBy("g").cogroup(answers.groupBy("g")).applyInArrow(write, made)
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

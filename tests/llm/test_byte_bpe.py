@@ -28,8 +28,9 @@ def samples():
 
 
 def test_against_the_library(spark, folder, reference, monkeypatch):
-    monkeypatch.setattr(B, "BLOCK", 600)  # several blocks, and numbers that begin anew
-    monkeypatch.setattr(B, "KNOWN", 40)
+    monkeypatch.setattr(B, "GROUP", 1500)  # several groups and buckets
+    monkeypatch.setattr(B, "BUCKET", 900)
+    monkeypatch.setattr(B, "BLOCK", 400)
     texts = samples()
     texts += texts[-2:]
     path = folder(list(enumerate(texts)) + [(5, texts[5]), (5, texts[5]), (None, "no key"), (None, None)])
