@@ -29,6 +29,7 @@ import hashlib
 import heapq
 import json
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -45,7 +46,7 @@ from ._frames import arrow_schema, quoted, table, tune
 from ._text import SPACE, blocks, buffers, spans_hash
 
 #: Bytes of text that share one list of words, that are numbered at once, and that a bucket of words stands for.
-GROUP, BLOCK, BUCKET = 24 << 20, 8 << 20, 8 << 20
+GROUP, BLOCK, BUCKET = 12 << 20, 4 << 20, 8 << 20
 LONG = 200
 #: More than the places in a word; a power of two.
 SCALE = 256
@@ -217,20 +218,19 @@ def numbered(data: np.ndarray, offs: np.ndarray, path: str, listed: dict[bytes,
     borders = np.append(cut, len(data)).astype(np.int64 if len(data) >= 2**31 else np.int32)
     kind = pa.large_binary() if borders.dtype == np.int64 else pa.binary()
     found = pa.Array.from_buffers(kind, len(cut), [None, pa.py_buffer(borders), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-    flat: list[int] = []
-    ends: list[int] = []
+    flat, ends = array("i"), array("q")
     base = len(by_id)
     for s in found.dictionary.to_pylist():
         for w in pieces(s):
             number = ranks.get(w)
             if number is None:
                 if len(w) > LONG:
-                    flat += merge_long(w, ranks)
+                    flat.extend(merge_long(w, ranks))
                     continue
                 number = base + listed.setdefault(w, len(listed))
             flat.append(number)
         ends.append(len(flat))
-    numbers, ends_ = np.array(flat, np.int32), np.array(ends, np.int64)
+    numbers, ends_ = np.frombuffer(flat, np.int32), np.frombuffer(ends, np.int64)
     size = np.diff(ends_, prepend=0)
     out, total = gathered(found.indices.to_numpy(), numbers, ends_ - size, size)
     return out, total[np.searchsorted(cut, offs)]
