@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -20,8 +21,10 @@ BATCH_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, which is set only where it is unset."""
+    """A new folder that driver and executors share: below spark.checkpoint.dir, which is set only where it is unset and the master local."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="quernstone-")
         spark.conf.set("spark.checkpoint.dir", root)
@@ -35,6 +38,14 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def release() -> None:
+    """Give memory that a step of a Python worker is done with back to the system: idle workers live on beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written below the shared folder and read again: its lineage ends there and a lost executor costs nothing."""
     path = shared_dir(df.sparkSession, name)

@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._frames import arrow_schema, quoted, table, tune
+from ._frames import arrow_schema, quoted, release, table, tune
 from ._text import SPACE, blocks, buffers, spans_hash
 
 #: Bytes of text that share one list of words, that are numbered at once, and that a bucket of words stands for.
@@ -325,8 +325,11 @@ def encode(docs: DataFrame, rank_file: str = RANK_FILE, text: str = "text", keep
                 if size >= GROUP:
                     yield group(g, held)
                     g, held, size = g + 1, [], 0
+                    release()
         if held:
             yield group(g, held)
+        del held
+        release()
 
     groups = source.mapInArrow(split, schema)
 
@@ -342,6 +345,7 @@ def encode(docs: DataFrame, rank_file: str = RANK_FILE, text: str = "text", keep
         at = np.split(found.indices.to_numpy().astype(np.int32), np.cumsum([len(n) for n, _ in cells_])[:-1])
         asks = pa.StructArray.from_arrays([part.column("g").combine_chunks(), pa.array([x.tobytes() for x in at], pa.binary())], names=["g", "at"])
         one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        release()
         return pa.table({"bucket": part.column("bucket").slice(0, 1), "asks": one(asks), "words": one(_edged(found.dictionary, _vocabulary(rank_file)[2]))})
 
     def answer(batches):
@@ -357,6 +361,7 @@ def encode(docs: DataFrame, rank_file: str = RANK_FILE, text: str = "text", keep
                     packed.append(_packed(size[at].astype(np.uint8), gathered(at, ids, starts, size)[0]))
                 bucket = b.column(0)[r].as_py()
                 yield pa.RecordBatch.from_arrays([asks.field(0), pa.array([bucket] * len(packed), pa.int64()), pa.array(packed, pa.binary())], names=["g", "bucket", "ids"])
+        release()
 
     told = groups.groupBy("g").applyInArrow(tell, "bucket bigint, g bigint, words binary")
     folded = told.groupBy("bucket").applyInArrow(distinct, "bucket bigint, asks array<struct<g bigint, at binary>>, words array<array<int>>").select("bucket", "asks", fold(F.col("words"), rank_file).alias("ids"))
@@ -385,6 +390,8 @@ def encode(docs: DataFrame, rank_file: str = RANK_FILE, text: str = "text", keep
                 back = b"".join(map(by_id.__getitem__, words[p:q]))
                 for c, x in zip(cols, (q - p, ids if with_ids else None, hashlib.sha256(ids).hexdigest(), hashlib.sha256(back).hexdigest()), strict=True):
                     c.append(x)
+        del values, numbers
+        release()
         rows = part.column("docs").combine_chunks().flatten().cast(target.field("keep").type)
         return pa.Table.from_arrays([rows, pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(cols, target.field("out").type, strict=True)], fields=list(target.field("out").type))], schema=target)
 
