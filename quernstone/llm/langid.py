@@ -25,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._frames import map_text, quoted, table, tune, unpacked
+from ._frames import map_text, quoted, stored, table, tune, unpacked
 from ._text import blocks, buffers
 
 SYMBOLS, GRAMS, DIMENSIONS, SEED = 64, 64**3, 1024, 7
+#: Languages whose n-gram counts (2 MB each) a task holds at a time.
+OPEN = 16
 BLOCK = 1 << 20
 #: Least score: standard deviations of the cosine of unrelated vectors, and share of the median score of labelled documents.
 NOISE, MEDIAN_SHARE = 4 / DIMENSIONS**0.5, 1 / 3
@@ -93,34 +95,49 @@ def lower_points() -> np.ndarray:
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
-    """Language prototypes: the bundle of all n-grams of all rows with a language and a text."""
+    """Language prototypes: the bundle of all n-grams of all rows with a language and a text.
+
+    A task counts n-grams of at most OPEN languages at a time and sends each language's bundle, DIMENSIONS integers; the
+    driver gets their sums, 8 KB a language.
+    """
     tune(docs.sparkSession)
     rows = docs.select(quoted(lang).cast("string").alias("lang"), quoted(text).cast("binary").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
 
+    def bundled(sums):
+        for name, total in sums.items():
+            at, vector = np.flatnonzero(total), np.zeros(DIMENSIONS)
+            for i in range(0, len(at), 4096):
+                vector += total[at[i : i + 4096]].astype(np.float64) @ bind(at[i : i + 4096])
+            yield name, np.rint(vector).astype(np.int64)
+
+    def sent(sums):
+        for name, vector in bundled(sums):
+            yield pa.RecordBatch.from_arrays([pa.array([name] * DIMENSIONS, pa.string()), pa.array(np.arange(DIMENSIONS)), pa.array(vector)], names=["lang", "d", "n"])
+
     def count(batches):
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             data, offs = buffers(b.column(1))
-            langs = b.column(0).to_pylist()
-            names = sorted(set(langs))
-            number = np.array([names.index(x) for x in langs], np.int64)
+            names, number = np.unique(np.array(b.column(0).to_pylist(), object).astype(str), return_inverse=True)
             for i, j in blocks(offs, BLOCK):
                 doc, gram, n = gram_counts(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 k = number[i:j][doc]
-                for m in np.unique(k):
-                    sums.setdefault(names[m], np.zeros(GRAMS, np.int64))
-                    sums[names[m]] += np.bincount(gram[k == m], n[k == m], GRAMS).astype(np.int64)
-        for name, total in sums.items():
-            at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["lang", "gram", "n"])
-
-    found = rows.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
+                order = np.argsort(k, kind="stable")
+                cut = np.flatnonzero(np.diff(k[order], prepend=-1)) if len(k) else []
+                for part in np.split(order, cut[1:]) if len(order) else []:
+                    name = str(names[k[part[0]]])
+                    if name not in sums and len(sums) >= OPEN:
+                        yield from sent(sums)
+                        sums = {}
+                    sums.setdefault(name, np.zeros(GRAMS, np.int64))
+                    np.add.at(sums[name], gram[part], n[part])
+        yield from sent(sums)
+
+    cells = rows.mapInArrow(count, "lang string, d long, n long").groupBy("lang", "d").agg(F.sum("n").alias("n"))
+    found = cells.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("d", "n"))).alias("vector")).select("lang", F.col("vector.n").alias("vector")).toPandas()
     made = {}
-    for name, part in found.groupby("lang"):
-        total = np.zeros(DIMENSIONS)
-        for i in range(0, len(part), 4096):
-            g, n = part["gram"].to_numpy()[i : i + 4096], part["n"].to_numpy()[i : i + 4096]
-            total += n.astype(np.float64) @ bind(g)
+    for name, vector in zip(found["lang"], found["vector"], strict=True):
+        total = np.asarray(vector, np.float64)
         made[str(name)] = total / (np.linalg.norm(total) or 1.0)
     return made
 
@@ -159,10 +176,9 @@ def classify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
     return map_text(docs, predict, "lang_pred string, score double, size int", text, keep, flat)
 
 
-def least_scores(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", lang: str = "lang") -> list[float]:
-    """The least score of a text with a language, by its size (see classify): from all rows with a language, gathered as counts of size and score in thousandths."""
-    made = classify(docs.where(quoted(lang).isNotNull()), prototypes, text, (lang,), flat=False).where("out.lang_pred <> 'und'")
-    found = made.groupBy(F.col("out.size").alias("size"), F.floor(F.col("out.score") * 1000).alias("score")).count().toPandas()
+def least_scores(made: DataFrame) -> list[float]:
+    """The least score of a text with a language, by its size: from the classified rows (out, see classify) of texts that have a language, gathered as counts of size and score in thousandths."""
+    found = made.where("out.lang_pred <> 'und'").groupBy(F.col("out.size").alias("size"), F.floor(F.col("out.score") * 1000).alias("score")).count().toPandas()
     by_score = np.zeros((GRAMS.bit_length(), 1001), np.int64)
     np.add.at(by_score, (found["size"].to_numpy(np.int64), found["score"].to_numpy(np.int64)), found["count"].to_numpy(np.int64))
     below = by_score.cumsum(axis=0).cumsum(axis=1)  # of documents of that size or less, those up to that score
@@ -181,9 +197,13 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, least: float | None = None) -> DataFrame:
-    """Rows whose text has a language: not ``und``, and a cosine of least (None: by least_scores) or more with its prototype."""
+    """Rows whose text has a language: not ``und``, and a cosine of least (None: by least_scores) or more with its prototype.
+
+    Null, empty and letterless texts go; equal cosines take the smaller name, so ties decide nothing here; repeated rows are
+    judged alike; an empty table gives none, one without languages neither. Columns of any name come out as they were.
+    """
     names = docs.columns
-    prototypes = train(docs)
-    made = classify(docs, prototypes, keep=names, flat=False)
-    enough = F.lit(least) if least is not None else F.element_at(F.array(*map(F.lit, least_scores(docs, prototypes))), F.col("out.size") + 1)
+    made = stored(classify(docs, train(docs), keep=names, flat=False), "classified")
+    labelled = made.where(F.col(f"keep.c{names.index('lang')}").isNotNull())
+    enough = F.lit(least) if least is not None else F.element_at(F.array(*map(F.lit, least_scores(labelled))), F.col("out.size") + 1)
     return unpacked(made.where((F.col("out.lang_pred") != "und") & (F.col("out.score") >= enough)), names)

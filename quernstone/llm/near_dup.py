@@ -25,6 +25,8 @@ doc_id are documents of their own.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -47,12 +49,12 @@ def _sets(data, offs, k: int):
     """Distinct shingle hashes of each document, ascending, and their borders."""
     starts, ends, first = word_spans(data, offs, SPACE)
     h, at, _ = shingles(spans_hash(data, starts, ends, LOWER), first, k)
-    own = np.repeat(np.arange(len(at) - 1), np.diff(at))
-    order = np.lexsort((h, own))
-    h, own = h[order], own[order]
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (own[1:] != own[:-1])]) if len(h) else np.zeros(0, bool)
-    h, own = h[new], own[new]
-    return h, np.searchsorted(own, np.arange(len(at)))
+    for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        h[i:j].sort()
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    new[at[:-1][np.diff(at) > 0]] = True
+    return h[new], np.concatenate([[0], np.cumsum(new)])[at]
 
 
 def _names(h: np.ndarray, at: np.ndarray) -> list[bytes]:
@@ -65,6 +67,12 @@ def _names(h: np.ndarray, at: np.ndarray) -> list[bytes]:
     return [row.tobytes() for row in both]
 
 
+@lru_cache(4096)
+def _probe(step: int) -> np.ndarray:
+    """For each bucket the one that it borrows from at a step, if that is filled."""
+    return (mix(np.arange(REGISTERS, dtype=np.uint64) * np.uint64(1000003) + np.uint64(step)) % np.uint64(REGISTERS)).astype(np.int64)
+
+
 def registers(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     """HyperMinHash registers of each set, one row a document; those of empty sets are 0."""
     n = len(at) - 1
@@ -82,8 +90,7 @@ def registers(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     todo = np.flatnonzero(~full & np.repeat(np.diff(at) > 0, REGISTERS))
     step = 1
     while len(todo):
-        bucket = (todo % REGISTERS).astype(np.uint64)
-        ask = todo - todo % REGISTERS + (mix(bucket * np.uint64(1000003) + np.uint64(step)) % np.uint64(REGISTERS)).astype(np.int64)
+        ask = (todo & ~(REGISTERS - 1)) + _probe(step)[todo & (REGISTERS - 1)]
         ok = full[ask]
         out[todo[ok]] = out[ask[ok]]
         todo = todo[~ok]
@@ -135,6 +142,20 @@ def sketch(docs: DataFrame, k: int = 4, text: str = "text", keep=("doc_id",), fl
     return map_text(docs, run, "name binary, n_shingles long, registers binary", text, keep, flat)
 
 
+def named(docs: DataFrame, k: int, text: str = "text", keep=("doc_id",)) -> DataFrame:
+    """keep (struct), and out: the name of each document's shingle set, and n, its size, as sketch() has them."""
+
+    def run(data, offs):
+        names, sizes = [], []
+        for i, j in blocks(offs, 1 << 18):
+            h, at = _sets(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], k)
+            names += _names(h, at)
+            sizes.append(np.diff(at))
+        return [pa.array(names, pa.binary()), np.concatenate(sizes)]
+
+    return map_text(docs, run, "name binary, n long", text, keep, flat=False)
+
+
 def _matrix(column) -> np.ndarray:
     raw = b"".join(column.to_pylist())
     return np.frombuffer(raw, np.uint8).reshape(-1, REGISTERS)
@@ -300,7 +321,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, k: int, text: str, key: str)
 def grouped(spark: SparkSession, docs: DataFrame, k: int = 4, threshold: float = 0.8, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """rows (key as c0, name, n_shingles: one a document) and classes (name, doc: smallest key, id, component: smallest key of its component, lead: name of the class that stands for the component)."""
     tune(spark)
-    rows = stored(sketch(docs, k, text, (key,)).select(F.col(key).alias("c0"), "out.*"), "sketches")
+    rows = stored(sketch(docs, k, text, (key,)).select(quoted(key).alias("c0"), "out.*"), "sketches")
     classes = stored(
         rows.where("n_shingles > 0").groupBy("name").agg(F.min("c0").alias("doc"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")).withColumn("id", F.monotonically_increasing_id()), "classes"
     )
@@ -329,11 +350,15 @@ def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: the one with the smallest doc_id (and of rows that repeat it, one). Documents without words stay."""
+    """One document of each component: the one with the smallest doc_id (and of rows that repeat it, one).
+
+    Documents without words, null texts among them, all stay; a null doc_id counts as larger than others; an empty table stays
+    empty. Columns of any name come out as they were.
+    """
     names = docs.columns
     _, classes = grouped(spark, docs, k=5)
     stay = classes.where(F.col("name") == F.col("stands")).select(F.col("name").alias("stay_name"), F.col("doc").alias("stay_doc"))
-    own = sketch(docs, 5, keep=names, flat=False).select("keep", F.col("out.name").alias("name"), F.col("out.n_shingles").alias("n"))
+    own = named(docs, 5, keep=names).select("keep", F.col("out.name").alias("name"), F.col("out.n").alias("n"))
     doc = F.col(f"keep.c{names.index('doc_id')}")
     found = own.where("n > 0").join(stay, (F.col("name") == F.col("stay_name")) & doc.eqNullSafe(F.col("stay_doc")))
     one = found.groupBy("name").agg(F.first("keep").alias("keep")).select("keep").unionByName(own.where("n = 0").select("keep"))
