@@ -1,23 +1,26 @@
 """Main text of web pages, with site templates removed.
 
-Pages are parsed into a tree. Every element subtree has a hash (tag, attributes, text,
-children); Spark counts on how many pages of a host each occurs, and subtrees that
-recur on many of them are template. A page's text is that of its article (its main, or its
-body where it has none), without template subtrees and without what its markup
-names as something else: navigation, headers, footers, sidebars, adverts, notices, forms,
-comments, scripts and styles.
+Pages are parsed into a tree. Every element subtree has a hash (tag, attributes, text, children); a subtree
+all of whose text is that of LINKS links or more also has a shape (tags, classes and ids, runs of equal
+children as one), so that menus recur whose entries differ from page to page. Spark counts on how many
+pages of a host each hash and shape occurs, and subtrees that recur on many of them are template:
+they are cut first, wherever they stand. Of what is left, a page's text is that of its
+articles (its mains, or its body where it has none), without what its markup names as something else:
+navigation, headers, footers, sidebars, adverts, notices, forms, comments, scripts and styles.
 
 The count needed doesn't grow with the host, and pages with the same text count once, so that copies of a
-page don't make its content template. Templates are always deleted, whatever they take of a page.
+page don't make its content template. Templates are always cut, whatever they take of a page; only an article or
+main itself, what encloses one, and plain content elements within it (articles may share a passage) are never template.
+A class names something else only as a whole name (no-sidebar and notice-board-history don't), and an article
+within an element of such a class is taken where the page has no other.
 
 The hot host: subtrees are pre-aggregated in each task and keyed by (host, hash), each with at most
-as many hashes of page texts as make it template. Lists hold only subtrees that the text of some page
-would include. They are broadcast behind a size check, beyond it they are joined by host, where
-adaptive execution splits a hot host's partition.
+as many hashes of page texts as make it template. Lists are broadcast behind a size check, beyond it they are joined
+by host, where adaptive execution splits a hot host's partition.
 
 Edge cases: null or empty html gives empty text; unclosed and stray tags are handled as
 browsers do in the main; text outside any element counts; rows without a url form a
-host of their own.
+host of their own; repeated rows are pages of their own and count once; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,6 +38,8 @@ from ._frames import arrow_schema, quoted, stored, table, tune
 
 #: Pages of a host, different in text, from which on a recurring subtree is template.
 LEAST_PAGES = 8
+#: Links from which on a subtree of nothing else has a shape.
+LINKS = 3
 #: Templates (host, hash pairs of 16 bytes or so) up to which they are broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -43,15 +48,16 @@ _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp", "noembed", "noframes")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body br button canvas caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td textarea tfoot th thead title tr ul".split())
-_DROPPED = frozenset("applet aside audio button canvas datalist dialog embed fieldset footer form frame frameset head header iframe input label math menu nav noembed noframes noscript object optgroup option script search select style svg template textarea title video".split())
+_DROPPED = frozenset("applet aside audio button canvas datalist dialog embed fieldset footer form frame frameset head header iframe input label menu nav noembed noframes noscript object optgroup option script search select style svg template textarea title video".split())
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation note search toolbar".split())
-#: Words of class and id that name what isn't main text.
-_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|breadcrumbs?|comments?|comment-?list|commentary|cookies?|consent|disclaimer|disqus|footer|foot|footnav|gdpr|header|masthead|menu|menus|modal|nav|navbar|navigation|newsletter|notices?|pager|pagination|popup|promos?|promoted|recommended|related|replies|respond|share|sharing|sidebars?|signup|skip|social|sponsor\w*|subscribe|subscription|tags|teasers?|toolbar|widgets?|site-?header|site-?footer|side-?bar|login|reader-?comments)(?:$|[\s_-])",
-    re.I,
-)
+_KINDS = "ads?|advert\\w*|adsense|banner|breadcrumbs?|comments?|commentary|cookies?|consent|disclaimer|disqus|footer|footnav|gdpr|header|masthead|menus?|modal|nav|navbar|navigation|newsletter|notices?|pager|pagination|popup|promos?|promoted|recommended|related|replies|respond|share|sharing|sidebars?|side-?bar|signup|skip|social|sponsor\\w*|subscribe|subscription|tags|teasers?|toolbar|widgets?|login"
+_BEFORE = "site|page|main|global|top|bottom|left|right|primary|secondary|reader|user|blog|js|header|footer|cookie|nav|share|social|ad"
+_AFTER = "wrapper|wrap|container|box|area|section|block|bar|list|inner|outer|links?|items?|form|buttons?|banner|notice|menu|nav|[0-9]+"
+#: Whole names of class and id that name what isn't main text: a kind, with a place before and a container behind it.
+_NAMES = re.compile(rf"(?:(?:{_BEFORE})[_-])*(?:{_KINDS})(?:[_-]?(?:{_AFTER}))*", re.I)
 #: Of these, those that tell that an article element isn't the page's own article.
-_OTHER = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|comments?|promos?|promoted|recommended|related|replies|reply|sponsor\w*|teasers?)(?:$|[\s_-])", re.I)
+_OTHER = re.compile(rf"(?:(?:{_BEFORE})[_-])*(?:ads?|advert\w*|comments?|promos?|promoted|recommended|related|replies|reply|sponsor\w*|teasers?)(?:[_-]?(?:{_AFTER}))*", re.I)
+_HEADINGS = frozenset(("h1", "h2", "hgroup"))
 #: Content elements that, without attributes, are never template within an article: articles may share a passage.
 _PLAIN = frozenset("a b blockquote br code dd dl dt em figcaption h1 h2 h3 h4 h5 h6 i li ol p pre q s small span strong sub sup table tbody td th tr u ul".split())
 #: Elements that a start tag closes when they are open (nearest first, not beyond these borders).
@@ -61,10 +67,13 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children", "hash", "size", "role")
+    __slots__ = ("tag", "attrs", "children", "hash", "shape", "size", "free", "links", "holds")
 
     def __init__(self, tag, attrs=""):
-        self.tag, self.attrs, self.children, self.hash, self.size, self.role = tag, attrs, [], b"", 0, None
+        self.tag, self.attrs, self.children, self.hash, self.shape = tag, attrs, [], b"", b""
+        # pieces of text, those outside links, links, whether an article or main is within
+        self.size = self.free = self.links = 0
+        self.holds = False
 
 
 def parse(page: str) -> Node:
@@ -135,29 +144,73 @@ def _walk(root: Node):
     return reversed(order)
 
 
-def hashed(root: Node, least: int = 1) -> set[int]:
-    """Set the subtree hashes of all nodes; those of elements with text are returned as integers."""
+def _number(digest: bytes) -> int:
+    return int.from_bytes(digest, "little", signed=True)
+
+
+def hashed(root: Node) -> set[int]:
+    """Set the subtree hashes and shapes of all nodes; those of elements with text that may be template are returned as integers."""
     found = set()
     for node in _walk(root):
         h = blake2b(f"{node.tag}\0{node.attrs}\0".encode("utf-8", "surrogatepass"), digest_size=8)
-        size = 0
+        named = sorted(f"{m[1].lower()}={next((x for x in m.groups()[1:] if x is not None), '')}" for m in _ATTRIBUTE.finditer(node.attrs) if m[1].lower() in ("class", "id", "role")) if node.attrs else ()
+        shape = blake2b(f"\3{node.tag}\0{' '.join(named)}\0".encode("utf-8", "surrogatepass"), digest_size=8)
+        node.size = node.free = node.links = 0
+        node.holds, last = node.tag in ("article", "main"), None
         for c in node.children:
             if isinstance(c, Node):
                 h.update(b"\1" + c.hash)
-                size += c.size
+                if c.shape != last:
+                    shape.update(b"\1" + c.shape)
+                    last = c.shape
+                node.size += c.size
+                node.free += c.free
+                node.links += c.links
+                node.holds = node.holds or c.holds
             else:
                 h.update(b"\2" + c.encode("utf-8", "surrogatepass"))
-                size += not c.isspace()
-        node.hash, node.size = h.digest(), size
-        if size >= least and node.tag and node.tag not in ("html", "body", "article", "main"):
-            found.add(int.from_bytes(node.hash, "little", signed=True))
+                node.size += not c.isspace()
+                node.free += not c.isspace()
+        if node.tag == "a":
+            node.links, node.free = node.links + 1, 0
+        node.hash, node.shape = h.digest(), shape.digest()
+        if node.size and node.tag and not node.holds and node.tag not in ("html", "body"):
+            found.add(_number(node.hash))
+            if node.links >= LINKS and not node.free:
+                found.add(_number(node.shape))
     return found
 
 
-def _dropped(node: Node, inside: bool) -> bool:
-    """Whether the markup names the node as something else than main text; inside: within the article."""
+def cut(root: Node, template: frozenset) -> int:
+    """Take the template subtrees (of a hashed tree) out of a page; their number. A block leaves a border in its place."""
+    inside_all, n = not root.holds, 0
+    stack = [(root, inside_all)]
+    while stack:
+        node, inside = stack.pop()
+        kept = []
+        for c in node.children:
+            if isinstance(c, Node):
+                plain = inside and not c.attrs and c.tag in _PLAIN
+                if not (plain or c.holds or c.tag in ("", "html", "body")) and (_number(c.hash) in template or c.links >= LINKS and not c.free and _number(c.shape) in template):
+                    n += 1
+                    if c.tag in _BLOCK:
+                        kept.append(Node("br"))
+                    continue
+                stack.append((c, inside or c.tag in ("article", "main")))
+            kept.append(c)
+        node.children = kept
+    return n
+
+
+def _headed(node: Node) -> bool:
+    """Whether a heading is within, at most two elements deep."""
+    return any(isinstance(c, Node) and (c.tag in _HEADINGS or any(isinstance(d, Node) and d.tag in _HEADINGS for d in c.children)) for c in node.children)
+
+
+def _dropped(node: Node, inside: bool, named: bool = True) -> bool:
+    """Whether the markup names the node as something else than main text; inside: within the article; named: class and id count."""
     if node.tag in _DROPPED:
-        return not (node.tag == "header" and inside and any(isinstance(c, Node) and c.tag in ("h1", "h2", "hgroup") for c in node.children))
+        return not (node.tag == "header" and inside and _headed(node))
     if not node.attrs:
         return False
     for m in _ATTRIBUTE.finditer(node.attrs):
@@ -166,39 +219,48 @@ def _dropped(node: Node, inside: bool) -> bool:
             return True
         if name == "role" and value.lower() in _ROLES:
             return True
-        if name in ("class", "id") and _NAMES.search(value) and node.tag not in ("body", "html", "main", "h1") and (node.tag != "article" or _OTHER.search(value)):
-            return True
+        if named and name in ("class", "id") and node.tag not in ("body", "html", "main", "h1"):
+            words = _OTHER if node.tag == "article" else _NAMES
+            if any(words.fullmatch(w) for w in value.split()) and not (inside and _headed(node) and "header" in value.lower()):
+                return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
     return False
 
 
 def _roots(root: Node) -> list[Node]:
-    """The page's articles (outermost), else its main, else the whole."""
-    articles, mains, stack = [], [], [(root, False)]
-    while stack:
-        node, inside = stack.pop()
-        for c in reversed(node.children):
-            if isinstance(c, Node) and not _dropped(c, inside):
-                role = re.search(r"role\s*=\s*[\"']?(article|main)", c.attrs, re.I) if c.attrs else None
-                if c.tag == "article" or role and role[1].lower() == "article":
-                    articles.append(c)
-                else:
-                    if c.tag == "main" or role:
-                        mains.append(c)
-                    stack.append((c, inside))
-    order = {id(n): k for k, n in enumerate(_walk(root))}
-    articles.sort(key=lambda n: order[id(n)])
-    return articles or mains[:1] or [root]
+    """The page's articles (outermost, in page order), else its mains, else the whole."""
+    for named in (True, False):  # where classes leave none, they name the site's frame, not something beside the article
+        articles, mains = [], []
+        stack: list = [(root, False)]
+        while stack:
+            node, in_main = stack.pop()
+            if node is not root:
+                role = re.search(r"role\s*=\s*[\"']?(article|main)", node.attrs, re.I) if node.attrs else None
+                is_article = node.tag == "article" or role is not None and role[1].lower() == "article"
+                if _dropped(node, False, named or is_article):
+                    continue
+                if is_article:
+                    articles.append(node)
+                    continue
+                if (node.tag == "main" or role is not None) and not in_main:
+                    mains.append(node)
+                    in_main = True
+            stack.extend((c, in_main) for c in reversed(node.children) if isinstance(c, Node))
+        if articles or mains:
+            break
+    return articles or mains or [root]
 
 
 def extract(root: Node, template: frozenset = frozenset()) -> str:
-    """The main text of a parsed (and, for a template, hashed) page, without its template subtrees."""
-    return _extract(root, template)
+    """The main text of a parsed page, without its template subtrees."""
+    if template:
+        hashed(root)
+        cut(root, template)
+    return _text(root)
 
 
-def _extract(root: Node, template: frozenset, asked: set | None = None) -> str:
-    """asked takes the hashes of all subtrees that a template could delete."""
+def _text(root: Node) -> str:
     pieces: list[str] = []
     border = "\0"
     for top in _roots(root):
@@ -207,17 +269,13 @@ def _extract(root: Node, template: frozenset, asked: set | None = None) -> str:
         while stack:
             c = stack.pop()
             if isinstance(c, str):
-                pieces.append(c if c is border else _html.unescape(c).replace(border, "�") if "&" in c else c.replace(border, "�"))
+                pieces.append(c if c is border else _html.unescape(c).replace(border, "\ufffd") if "&" in c else c.replace(border, "\ufffd"))
                 continue
-            plain = top.tag and not c.attrs and c.tag in _PLAIN
-            if c is not top and (_dropped(c, top.tag != "") or template and not plain and c.hash and int.from_bytes(c.hash, "little", signed=True) in template):
+            if c is not top and _dropped(c, top.tag != ""):
                 if c.tag in _BLOCK:
                     pieces.append(border)
                 continue
-            if asked is not None and c is not top and not plain and c.size:
-                asked.add(int.from_bytes(c.hash, "little", signed=True))
-            block = c.tag in _BLOCK
-            if block:
+            if c.tag in _BLOCK:
                 pieces.append(border)
                 stack.append(border)
             stack.extend(reversed(c.children))
@@ -230,7 +288,7 @@ def host(url: str = "url"):
 
 
 def templates(pages: DataFrame, url: str = "url", html: str = "html", least_pages: int = LEAST_PAGES) -> DataFrame:
-    """host, hashes: the subtrees on at least least_pages pages of the host that differ in text, where a text would include them."""
+    """host, hashes: the hashes and shapes of subtrees on at least least_pages pages of the host that differ in text."""
     tune(pages.sparkSession)
     source = pages.select(host(url).alias("host"), F.coalesce(quoted(html), F.lit("")).alias("html"))
 
@@ -239,33 +297,32 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html", least_page
             seen: dict = {}
             for h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 root = parse(text)
-                found, asked = hashed(root), set()
-                page = int.from_bytes(blake2b(_extract(root, frozenset(), asked).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+                found = hashed(root)
+                page = _number(blake2b(_text(root).encode("utf-8", "surrogatepass"), digest_size=8).digest())
                 for x in found:
-                    of, was = seen.get((h, x), (frozenset(), False))
-                    if len(of) < least_pages and page not in of:
-                        of = of | {page}
-                    seen[h, x] = of, was or x in asked
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int64()), pa.array([list(v[0]) for v in seen.values()], pa.list_(pa.int64())), pa.array([v[1] for v in seen.values()], pa.bool_())], names=["host", "hash", "of", "asked"])
+                    of = seen.setdefault((h, x), set())
+                    if len(of) < least_pages:
+                        of.add(page)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int64()), pa.array([sorted(v) for v in seen.values()], pa.list_(pa.int64()))], names=["host", "hash", "of"])
 
     # a batch names least_pages different texts or all that it has, so together they name as many where there are
-    counts = source.mapInArrow(count, "host string, hash long, of array<long>, asked boolean").groupBy("host", "hash").agg(F.array_distinct(F.flatten(F.collect_list("of"))).alias("of"), F.max("asked").alias("asked"))
-    return stored(counts.where(F.col("asked") & (F.size("of") >= least_pages)).groupBy("host").agg(F.collect_set("hash").alias("hashes")), "templates")
+    counts = source.mapInArrow(count, "host string, hash long, of array<long>").groupBy("host", "hash").agg(F.array_distinct(F.flatten(F.collect_list("of"))).alias("of"))
+    return stored(counts.where(F.size("of") >= least_pages).groupBy("host").agg(F.collect_set("hash").alias("hashes")), "templates")
 
 
 def main_text(pages: DataFrame, found: DataFrame, url: str = "url", html: str = "html", keep=("page_id", "url")) -> DataFrame:
-    """The columns of keep, and out (text, n_chars)."""
+    """The columns of keep, and out (text, n_chars, n_template: template subtrees cut)."""
     tune(pages.sparkSession)
     small = found.select(F.coalesce(F.sum(F.size("hashes") + 1), F.lit(0))).first()[0] <= BROADCAST_ROWS
     source = pages.select(F.struct(*[quoted(c).alias(f"c{i}") for i, c in enumerate(keep)]).alias("keep"), host(url).alias("host"), F.coalesce(quoted(html), F.lit("")).alias("html"))
     source = source.join(F.broadcast(found) if small else found, "host", "left").select("keep", "html", "hashes")
-    schema = T.StructType([source.schema["keep"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
+    schema = T.StructType([source.schema["keep"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_template", T.LongType())])
     want = arrow_schema(schema)
 
     def run(batches):
         last, template = None, frozenset()
         for b in batches:
-            out = []
+            out, gone = [], []
             lists = b.column(2)
             for k, text in enumerate(b.column(1).to_pylist()):
                 cell = lists[k]
@@ -274,12 +331,13 @@ def main_text(pages: DataFrame, found: DataFrame, url: str = "url", html: str =
                 root = parse(text)
                 if template:
                     hashed(root)
-                out.append(extract(root, template))
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(want.field("keep").type), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], schema=want)
+                gone.append(cut(root, template) if template else 0)
+                out.append(_text(root))
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(want.field("keep").type), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64()), pa.array(gone, pa.int64())], schema=want)
 
-    return source.mapInArrow(run, schema).select(*[F.col(f"keep.c{i}").alias(c) for i, c in enumerate(keep)], F.struct("text", "n_chars").alias("out"))
+    return source.mapInArrow(run, schema).select(*[F.col(f"keep.c{i}").alias(c) for i, c in enumerate(keep)], F.struct("text", "n_chars", "n_template").alias("out"))
 
 
 def op2_site_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return main_text(pages, templates(pages)).select("page_id", "url", "out.text", "out.n_chars")
+    return main_text(pages, templates(pages)).select("page_id", "url", "out.text", "out.n_chars", "out.n_template")

@@ -1,3 +1,5 @@
+import random
+
 from quernstone.llm import site_text as S
 
 
@@ -23,6 +25,85 @@ def test_odd_input():
     assert text("a < b and <c") in ("a < b and <c", "a < b and")
 
 
+def test_classes_are_whole_names():
+    assert text('<div class="site no-sidebar"><article><p>In</p></article></div>') == "In"
+    assert text('<article><p class="notice-board-history">Boards</p><p class="cookie-notice">c</p><div class="site-footer x">f</div></article>') == "Boards"
+    assert text('<article><div class="article-header"><h1>Head</h1></div><div class="header"><h2>Sub</h2></div><p>x</p></article>') == "Head Sub x"
+    assert text('<div class="sidebar"><article><p>only one</p></article></div>') == "only one"
+    assert text('<div class="comments"><article>c</article></div><article>a</article>') == "a"
+    assert text('<div class="comments"><article class="comment">c</article></div><p>a</p>') == "a"
+
+
+def test_all_mains_in_page_order_and_formulas():
+    assert text("<main><p>one</p></main><nav>n</nav><main>two<main>three</main></main>") == "one two three"
+    assert text("<article>let <math><mi>x</mi></math> be</article>") == "let x be"
+    assert text('<div role="main"><p>a</p></div><article>b</article><article>c</article>') == "b c"
+
+
+def test_menus_recur_by_shape(spark, folder):
+    menu = lambda i: '<div class="jump">' + "".join(f'<a href="/{i}/{k}">go {i} {k}</a> ' for k in range(3 + i % 4)) + "</div>"
+    rows = [(i, f"https://h.example/{i}", f"<body><article>{menu(i)}<p>Own words {i}.</p></article></body>") for i in range(12)]
+    got = {r.page_id: (r.text, r.n_template) for r in S.op2_site_text(spark, folder(pages=rows)).collect()}
+    assert got == {i: (f"Own words {i}.", 1) for i in range(12)}
+
+
+def brute(rows, least=8):
+    """Texts by page, with templates counted in dictionaries and pages walked by recursion."""
+    trees = [S.parse(h or "") for _, _, h in rows]
+    hosts = [(u or "").split("//")[-1].split("/")[0] for _, u, _ in rows]
+    own = [S.extract(S.parse(h or "")) for _, _, h in rows]
+    seen = {}
+
+    def visit(node, at):
+        for c in node.children:
+            if isinstance(c, S.Node):
+                visit(c, at)
+        for x in S.hashed(node) if node.tag == "" else ():
+            seen.setdefault((hosts[at], x), set()).add(own[at])
+
+    for k, tree in enumerate(trees):
+        visit(tree, k)
+    out = []
+    for k, tree in enumerate(trees):
+        template = {x for (h, x), texts in seen.items() if h == hosts[k] and len(texts) >= least}
+
+        def prune(node, inside):
+            kept = []
+            for c in node.children:
+                if isinstance(c, str):
+                    kept.append(c)
+                    continue
+                number = {int.from_bytes(c.hash, "little", signed=True)}
+                if c.links >= S.LINKS and c.free == 0:
+                    number.add(int.from_bytes(c.shape, "little", signed=True))
+                if number & template and not c.holds and not (inside and not c.attrs and c.tag in S._PLAIN):
+                    kept.append(S.Node("br"))
+                    continue
+                prune(c, inside or c.tag in ("article", "main"))
+                kept.append(c)
+            node.children = kept
+
+        prune(tree, not tree.holds)
+        out.append(S.extract(tree))
+    return out
+
+
+def test_against_brute_force(spark, folder):
+    rng = random.Random(3)
+    boxes = [f'<div class="b{k}"><p>Box {k}</p><ul><li>x{k}</ul></div>' for k in range(4)] + ['<section><h3>See</h3><a href="/a">a</a><a href="/b">b</a><a href="/c">c</a></section>', '<p>Shared passage of many pages.</p>', '<footer>(c) h</footer>']
+    rows = []
+    for i in range(150):
+        parts = [f"<p>Own {rng.randint(0, 60)}</p>", *rng.sample(boxes, rng.randint(0, 3)), '<div class="menu-x">' + "".join(f"<a>{rng.randint(0, 9)}</a>" for _ in range(rng.randint(2, 6))) + "</div>"]
+        rng.shuffle(parts)
+        inner = "".join(parts)
+        rows.append((i, f"https://h{rng.randint(0, 3)}.example/{i}", rng.choice([f"<article>{inner}</article>", f"<main>{inner}</main>", inner, f"{boxes[0]}<article>{inner}</article>{boxes[6]}"])))
+    rows += [rows[5], (None, None, "<p>none</p>"), (200, None, None), (201, "https://h0.example/e", "")]
+    got = S.op2_site_text(spark, folder(pages=rows)).collect()
+    want = brute(rows)
+    assert sorted((str(r.page_id), r.text) for r in got) == sorted((str(p), t) for (p, _, _), t in zip(rows, want))
+    assert sum(t != S.extract(S.parse(h or "")) for (_, _, h), t in zip(rows, want)) > 30  # pages that templates change
+
+
 def test_templates_go_by_host(spark, folder):
     box = '<div data-x="1"><p>Same box on all pages of this place.</p></div>'
     rows = [(i, f"https://h.example/{i}", f"<body><article><p>Own words {i} and more of them here, enough to be most of it.</p>{box}</article></body>") for i in range(20)]
