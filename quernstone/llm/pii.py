@@ -1,20 +1,22 @@
 """Personal data: fixed base rules, and a skip-chain conditional random field over each document.
 
-Base rules find emails, IP addresses, cards and phone numbers. The field then labels the document's
-tokens that hold a digit or an at sign, and those without that repeat what comes before the at sign of
-one of its emails (jane.doe beside jane.doe@x.org): tokens within base spans keep their label, the
-others are free. Neighbouring tokens share a chain potential, tokens that are repeated or similar
-anywhere in the document (same normal form, same last seven digits, same local part of an
-email) a skip potential, and loopy sum-product passes labels along both, so that a number
-or name which is personal data once is so throughout its document.
-
-Training is piecewise and closed-form: label counts by token shape (4096 classes) and by
-neighbouring labels, over all documents, never a sample. What is gathered is bounded
-by the number of classes. The skip weight and the prior against free tokens are parameters; with
-theirs neither a shape nor a neighbour alone makes a token personal data.
-
-Edge cases: null and empty texts have no spans; positions are code points; runs of any length
-are scanned in linear time; repeated rows are handled each by itself.
+Base rules find emails, IP addresses, cards and phone numbers. The field's nodes are these entities and the free tokens that
+hold a digit or an at sign, and those without that repeat what comes before the at sign of one of the document's emails
+(jane.doe beside jane.doe@x.org). Entities keep their label; free tokens take one of five: a kind, or none. A free token has a
+potential for its shape, neighbours share a chain potential, and tokens that are repeated or similar anywhere in the document
+(same normal form, same last seven digits, same local part of an email) a skip potential; loopy sum-product passes labels
+along both. So a number or name which is personal data once is so throughout its document, and a token whose shape is mostly
+personal data is so on its own evidence.
+
+Training is piecewise and in closed form, over all documents, never a sample: by shape (4096 classes) the logarithm of the odds
+that a token of that shape lies within an entity of a kind rather than in none; by pair of neighbouring labels the logarithm of
+how much more often they meet than by chance; by sort of skip key the logarithm of the odds that two entities which share one
+are of the same kind. No weight is set by hand; counts are smoothed so that few documents decide little (PRIOR) and many no
+more than an error in a thousand allows (FLOOR). What is gathered is bounded by the number of classes.
+
+Edge cases: null and empty texts have no spans; positions are code points; runs of any length are scanned in linear time;
+repeated rows are handled each by itself; of equally likely labels none comes before kinds, and kinds in the order of KINDS;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +35,13 @@ from ._text import buffers
 
 KINDS = ("email", "ip", "card", "phone")
 SHAPES = 4096
-SKIP_WEIGHT, FREE_PRIOR, SHAPE_CAP, CHAIN_CAP, PASSES = 4.0, 3.0, 0.4, 0.4, 8
+PASSES = 8
+#: Counts that stand for what is known before any document: pairs of neighbours that meet by chance, agreeing entities of a key.
+PRIOR_CHAIN, PRIOR_SKIP = 20.0, 30.0
+#: Share of errors that counts never rule out: of a shape's label, of a skip key's agreement.
+FLOOR_SHAPE, FLOOR_SKIP = 1e-3, 5e-4
+#: Sorts of skip keys: repeated normal form, same last seven digits, same local part.
+SORTS = "tdl"
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -111,7 +119,7 @@ def _shape(token: str) -> int:
 
 
 def tokens(text: str, spans):
-    """Tokens that hold a digit or an at sign, or share a skip key with an entity that does: start, end, string, and the kind of the base span each meets (-1: free)."""
+    """Tokens that hold a digit or an at sign, or share a skip key with an entity that does: start, end, string, the kind of the first base span that each meets (-1: free), and that span's number (-1)."""
     out, k, end = [], 0, 0
     while m := _MARK.search(text, end):
         a, last = m.start(), end
@@ -126,8 +134,11 @@ def tokens(text: str, spans):
         b = a + len(s)
         while k < len(spans) and spans[k][2] <= a:
             k += 1
-        kind = next((spans[j][1] for j in range(k, min(k + 4, len(spans))) if spans[j][0] < b and spans[j][2] > a), -1)
-        out.append((a, b, s, kind))
+        j = k
+        while j < len(spans) and spans[j][0] < b and spans[j][2] <= a:
+            j += 1
+        met = j < len(spans) and spans[j][0] < b
+        out.append((a, b, s, spans[j][1] if met else -1, j if met else -1))
     # a token without digit or at sign can only share keys that have none either
     names = {key[2:] for t in out if t[3] >= 0 for key in _skip_keys(t[2]) if not _MARK.search(key)}
     if not names:
@@ -136,7 +147,7 @@ def tokens(text: str, spans):
         s = m[0].strip(_TRIM)
         if s.lower() in names and not _MARK.search(s):
             a = m.start() + len(m[0]) - len(m[0].lstrip(_TRIM))
-            out.append((a, a + len(s), s, -1))
+            out.append((a, a + len(s), s, -1, -1))
     return sorted(out)
 
 
@@ -152,43 +163,86 @@ def _skip_keys(s: str):
         yield "l:" + local
 
 
+def nodes(toks):
+    """The tokens as nodes, those of one base span joined: start, end, kind, its tokens' strings."""
+    out = []
+    for a, b, s, kind, span in toks:
+        if span >= 0 and out and out[-1][4] == span:
+            out[-1][1] = b
+            out[-1][3].append(s)
+        else:
+            out.append([a, b, kind, [s], span])
+    return out
+
+
+def _node_keys(node):
+    """An entity of several tokens (a phone number in groups) shares keys as a whole too."""
+    whole = "".join(node[3])
+    return dict.fromkeys(key for s in ([*node[3], whole] if len(node[3]) > 1 else node[3]) for key in _skip_keys(s))
+
+
 def _chained(a, b) -> bool:
-    """Tokens count as neighbours where at most one short word lies between them."""
+    """Nodes count as neighbours where at most one short word lies between them."""
     return b[0] - a[1] <= 12
 
 
+CHAIN_AT, SKIP_AT, COUNTS = 5 * SHAPES, 5 * SHAPES + 25, 5 * SHAPES + 25 + 2 * len(SORTS)
+
+
+def counted(text: str, total: np.ndarray) -> None:
+    """Add a document's counts: labels by shape, pairs of neighbouring labels, and by sort of key pairs of entities of one kind and of two."""
+    toks = tokens(text, base_spans(text))
+    for t in toks:
+        total[(t[3] + 1) * SHAPES + _shape(t[2])] += 1
+    last, first = None, {}
+    for node in nodes(toks):
+        if last and _chained(last, node):
+            total[CHAIN_AT + 5 * (last[2] + 1) + node[2] + 1] += 1
+        last = node
+        if node[2] >= 0:
+            for key in _node_keys(node):
+                kind = first.setdefault(key, node)
+                if kind is not node:
+                    total[SKIP_AT + 2 * SORTS.index(key[0]) + (kind[2] != node[2])] += 1
+
+
+def potentials(total: np.ndarray):
+    """Shape (SHAPES, 5), chain (5, 5) and skip potentials (a sort each, 5, 5) from counts. Label 0 is no entity."""
+    by_shape = total[:CHAIN_AT].reshape(5, SHAPES).T.astype(float)
+    free = by_shape[:, :1]
+    shape = np.log((by_shape + 0.1 + FLOOR_SHAPE * free) / (free + 0.9 + FLOOR_SHAPE * by_shape))
+    shape[:, 0] = 0
+    near = total[CHAIN_AT:SKIP_AT].reshape(5, 5).astype(float)
+    rows, cols = near.sum(axis=1) + 1, near.sum(axis=0) + 1
+    chance = rows[:, None] * cols[None, :] / (rows.sum() * cols.sum())
+    near = near + PRIOR_CHAIN * chance
+    chain = np.log(near / (near.sum() * chance))
+    same, other = total[SKIP_AT:COUNTS].reshape(len(SORTS), 2).T.astype(float)
+    agree = np.log((same + PRIOR_SKIP) / (other + 0.5 + FLOOR_SKIP * same))
+    skip = agree[:, None, None] * np.diag([0.0, 1, 1, 1, 1])[None]
+    return shape, chain, skip
+
+
 def train(docs: DataFrame, text: str = "text"):
-    """Shape potentials (SHAPES, 5) and chain potentials (5, 5): logarithms of counts over all documents, capped. Label 0 is no entity."""
+    """The potentials, from counts over all documents."""
     tune(docs.sparkSession)
 
     def count(batches):
-        total = np.zeros(5 * SHAPES + 25, np.int64)
+        total = np.zeros(COUNTS, np.int64)
         for b in batches:
             data, offs = buffers(b.column(0))
             raw = data.tobytes()
             for i, j in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
                 t = raw[i:j].decode("utf-8", "replace")
-                spans = base_spans(t)
-                if spans or _MARK.search(t):
-                    last = None
-                    for tok in tokens(t, spans):
-                        total[(tok[3] + 1) * SHAPES + _shape(tok[2])] += 1
-                        if last and _chained(last, tok):
-                            total[5 * SHAPES + 5 * (last[3] + 1) + tok[3] + 1] += 1
-                        last = tok
+                if _MARK.search(t):
+                    counted(t, total)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["k", "n"])
 
     found = docs.select(quoted(text).cast("binary").alias("text")).mapInArrow(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
-    total = np.zeros(5 * SHAPES + 25)
+    total = np.zeros(COUNTS, np.int64)
     total[found["k"].to_numpy(np.int64)] = found["n"].to_numpy()
-    by_shape = total[: 5 * SHAPES].reshape(5, SHAPES).T
-    near = total[5 * SHAPES :].reshape(5, 5) + 0.5
-    odds = np.log((by_shape + 0.1) / (by_shape.sum(axis=1, keepdims=True) - by_shape + 0.4))
-    shape = np.clip(odds, -SHAPE_CAP, SHAPE_CAP)
-    shape[:, 0] = 0
-    mutual = np.log(near * near.sum() / (near.sum(axis=1, keepdims=True) * near.sum(axis=0, keepdims=True)))
-    return shape, np.clip(mutual, -CHAIN_CAP, CHAIN_CAP)
+    return potentials(total)
 
 
 def marginals(unary: np.ndarray, edges: np.ndarray, kinds: np.ndarray, potentials: np.ndarray, passes: int = PASSES) -> np.ndarray:
@@ -212,44 +266,57 @@ def marginals(unary: np.ndarray, edges: np.ndarray, kinds: np.ndarray, potential
     return p / p.sum(axis=1, keepdims=True)
 
 
-def label(toks, shape: np.ndarray, chain: np.ndarray):
-    """Spans that the field adds to a document's base spans: (start, kind, end)."""
-    free = [k for k, t in enumerate(toks) if t[3] < 0]
-    if not free or len(free) == len(toks):
-        return []  # nothing to label, or no entity to agree with
-    unary = np.zeros((len(toks), 5))
-    for k, t in enumerate(toks):
-        if t[3] < 0:
-            unary[k] = shape[_shape(t[2])]
-            unary[k, 1:] -= FREE_PRIOR
+def field(toks, model):
+    """A document's nodes, their unary potentials, edges, and each edge's table: 0 chain, then a sort of skip key each."""
+    shape, _, _ = model
+    found = nodes(toks)
+    unary = np.zeros((len(found), 5))
+    for k, node in enumerate(found):
+        if node[2] < 0:
+            unary[k] = shape[_shape(node[3][0])]
         else:
             unary[k] = -1e3
-            unary[k, t[3] + 1] = 0
+            unary[k, node[2] + 1] = 0
     hub: dict[str, int] = {}
-    for k, t in enumerate(toks):  # an entity is the hub of its tokens, else the first of them
-        for key in _skip_keys(t[2]):
-            if key not in hub or t[3] >= 0 > toks[hub[key]][3]:
+    keys = [_node_keys(node) for node in found]
+    for k, node in enumerate(found):  # an entity is the hub of its keys, else the first node
+        for key in keys[k]:
+            if key not in hub or node[2] >= 0 > found[hub[key]][2]:
                 hub[key] = k
-    skip = {(min(k, h), max(k, h)) for k in free for key in _skip_keys(toks[k][2]) if (h := hub[key]) != k}
-    if not skip:
+    skip: dict[tuple[int, int], int] = {}  # two nodes share one potential, that of their first key's sort
+    for k, node in enumerate(found):
+        if node[2] < 0:
+            for key in keys[k]:
+                if (h := hub[key]) != k:
+                    skip.setdefault((min(k, h), max(k, h)), 1 + SORTS.index(key[0]))
+    near = [(k, k + 1) for k in range(len(found) - 1) if _chained(found[k], found[k + 1])]
+    edges = np.array([*skip, *near], np.int64).reshape(-1, 2)
+    return found, unary, edges, np.array([*skip.values(), *[0] * len(near)], np.int64)
+
+
+def label(toks, model):
+    """Spans that the field adds to a document's base spans: (start, kind, end)."""
+    if all(t[3] >= 0 for t in toks):
         return []
-    near = [(k, k + 1) for k in range(len(toks) - 1) if _chained(toks[k], toks[k + 1])]
-    edges = np.array(sorted(skip) + near, np.int64).reshape(-1, 2)
-    agree = np.diag([0.0] + [SKIP_WEIGHT] * 4)
-    p = marginals(unary, edges, np.array([0] * len(skip) + [1] * len(near)), np.stack([agree, chain]))
+    found, unary, edges, kinds = field(toks, model)
+    free = [k for k, node in enumerate(found) if node[2] < 0]
+    most = max(0.0, model[1].max() - model[1].min())
+    if not (kinds > 0).any() and unary[free, 1:].max() + 2 * most < 0:
+        return []  # no message could turn a node
+    p = marginals(unary, edges, kinds, np.concatenate([model[1][None], model[2]]))
     best = p.argmax(axis=1)
-    return [(toks[k][0], int(best[k]) - 1, toks[k][1]) for k in free if best[k] and p[k, best[k]] >= 0.5]
+    return [(found[k][0], int(best[k]) - 1, found[k][1]) for k in free if best[k] and p[k, best[k]] >= 0.5]
 
 
 def _joined(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
 
-def _all_spans(text: str, shape, chain):
+def _all_spans(text: str, model):
+    if not _MARK.search(text):
+        return [], []
     base = base_spans(text)
-    if not base:
-        return base, base
-    return base, sorted(base + label(tokens(text, base), shape, chain))
+    return base, sorted(base + label(tokens(text, base), model))
 
 
 def masked(text: str, spans) -> str:
@@ -264,14 +331,13 @@ def masked(text: str, spans) -> str:
 
 def find(docs: DataFrame, model, text: str = "text", keep=("doc_id",), flat: bool = True, mask: bool = False) -> DataFrame:
     """The columns of keep, and out: counts of base spans, base_sha256, spans, and (with mask) masked, null where nothing is to mask."""
-    shape, chain = model
 
     def run(data, offs):
         raw = data.tobytes()
         cols: list[list] = [[] for _ in range(7)]
         for i, j in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
             t = raw[i:j].decode("utf-8", "replace")
-            base, spans = _all_spans(t, shape, chain)
+            base, spans = _all_spans(t, model)
             counts = [sum(s[1] == k for s in base) for k in range(4)]
             for c, x in zip(cols, [*counts, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans), masked(t, spans) if mask and spans else None], strict=True):
                 c.append(x)
@@ -286,7 +352,11 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data masked; n_chars follows the text where the table has it."""
+    """All documents, personal data masked; n_chars follows the text where the table has it.
+
+    Null and empty texts stay as they are; repeated rows are masked alike; spans that meet are masked as one; an empty table
+    stays empty. Columns of any name come out as they were.
+    """
     names = docs.columns
     made = find(docs, train(docs), keep=names, flat=False, mask=True)
     column = {c: F.col(f"keep.c{i}") for i, c in enumerate(names)}
