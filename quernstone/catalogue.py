@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import code, queries
+from .plans import code, model, queries
 
-QUERIES = queries.QUERIES | code.QUERIES
-ORACLES = dict(queries.ORACLES)
+QUERIES = queries.QUERIES | model.QUERIES | code.QUERIES
+ORACLES = queries.ORACLES | model.ORACLES

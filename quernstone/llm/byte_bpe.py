@@ -245,7 +245,7 @@ def gathered(which: np.ndarray, values: np.ndarray, starts: np.ndarray, size: np
 
 def _packed(*arrays: np.ndarray) -> bytes:
     raw = [np.ascontiguousarray(x).tobytes() for x in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(np.array([len(r) for r in raw], np.int64).tobytes() + b"".join(raw))
+    return zstandard.ZstdCompressor(level=3).compress(np.array([len(r) for r in raw], np.int64).tobytes() + b"".join(raw))
 
 
 def _unpacked(raw: bytes, *kinds) -> list[np.ndarray]:
@@ -312,7 +312,7 @@ def encode(docs: DataFrame, rank_file: str = RANK_FILE, text: str = "text", keep
         rows = pa.concat_arrays([r for r, _, _ in held]).cast(want.field("docs").type.value_type)
         one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
         told = pa.StructArray.from_arrays([pa.array(there, pa.int64()), pa.array(packed, pa.binary())], fields=list(want.field("cells").type.value_type))
-        return pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), one(rows).cast(want.field("docs").type), pa.array([_packed(np.concatenate(firsts), numbers)], pa.binary()), one(told).cast(want.field("cells").type)], schema=want)
+        return pa.RecordBatch.from_arrays([pa.array([g], pa.int64()), one(rows).cast(want.field("docs").type), pa.array([_packed(np.concatenate(firsts), numbers.view(np.uint8).reshape(-1, 4).T)], pa.binary()), one(told).cast(want.field("cells").type)], schema=want)
 
     def split(batches):
         g = TaskContext.get().partitionId() << 32  # of one stage, so no two groups share a number
@@ -380,7 +380,8 @@ def encode(docs: DataFrame, rank_file: str = RANK_FILE, text: str = "text", keep
         values = np.concatenate([own, *[x for _, x in cells_]])
         size = np.concatenate([np.ones(len(own), np.int64), *[n.astype(np.int64) for n, _ in cells_]])
         starts = np.cumsum(size) - size
-        first, numbers = _unpacked(part.column("numbers")[0].as_py(), np.int64, np.int32)
+        first, planes = _unpacked(part.column("numbers")[0].as_py(), np.int64, np.uint8)
+        numbers = np.ascontiguousarray(planes.reshape(4, -1).T).view(np.int32).reshape(-1)
         cols: list[list] = [[], [], [], []]
         for i, j in blocks(first, 1 << 16):
             tokens, at = gathered(numbers[first[i] : first[j]], values, starts, size)

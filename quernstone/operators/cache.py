@@ -27,7 +27,11 @@ def cached(spark: SparkSession, root: str, key: str, fingerprint: str, make) ->
     return spark.read.parquet(path)
 
 
+def pattern_key(patterns: list[dict]) -> str:
+    return hashlib.sha256(json.dumps(patterns, sort_keys=True).encode()).hexdigest()
+
+
 def to_scan(files: DataFrame, state: DataFrame, patterns: list[dict]) -> DataFrame:
     """Files whose content or pattern set was not scanned yet; state: file_id, file_hash, patterns."""
-    now = files.withColumn("patterns", F.lit(hashlib.sha256(json.dumps(patterns, sort_keys=True).encode()).hexdigest()))
+    now = files.withColumn("patterns", F.lit(pattern_key(patterns)))
     return now.join(state.select("file_id", "file_hash", "patterns"), ["file_id", "file_hash", "patterns"], "left_anti")

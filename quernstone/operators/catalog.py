@@ -60,16 +60,28 @@ def stats(counted: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [df.agg(F.count("*").alias("n")).select(F.lit(k).alias("name"), "n") for k, df in counted.items()])
 
 
-def fingerprint(rows: DataFrame, key: str, digest: str, parts: int = 256) -> DataFrame:
-    """fingerprint: SHA-256 over the rows' "key:digest" lines, in two levels.
+def store_stats(files: DataFrame, symbols: DataFrame, calls: DataFrame, sources: DataFrame, usages: DataFrame, paths: DataFrame) -> DataFrame:
+    """name, n: the nine counts of a store, each table read once."""
+    kinds = {"symbols": F.count("*"), "functions": F.count_if(F.col("kind").isin("FUNCTION", "METHOD", "CONSTRUCTOR")), "classes": F.count_if(F.col("kind").isin("CLASS", "STRUCT"))}
+    keys = {"config_keys": F.count_distinct("config_key"), "sources": F.count("*")}
+    one = lambda df, counted: df.agg(*[c.alias(k) for k, c in counted.items()]).select(F.inline(F.array(*[F.struct(F.lit(k).alias("name"), F.col(k).alias("n")) for k in counted])))
+    rest = stats({"files": files, "calls": calls, "usages": usages, "dataflow_paths": paths})
+    return rest.unionByName(one(symbols, kinds)).unionByName(one(sources, keys))
 
-    Lines are joined in key order within each of parts residues of their hash, and the parts' digests in their
-    order, so no task holds all rows.
+
+def fingerprint(rows: DataFrame, key: str, digest: str, width: int = 4096) -> DataFrame:
+    """fingerprint: SHA-256 over the rows' "key:digest" lines in key order, by a tree of digests.
+
+    A node's children are those whose keys (not negative) agree but for the last factor of width, so no array is longer
+    than width, however many rows there are; a level is one aggregation.
     """
-    line = F.concat(F.col(key).cast("string"), F.lit(":"), digest, F.lit("\n"))
-    part = F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(parts))
-    level = rows.select(part.alias("part"), F.col(key).alias("k"), line.alias("line")).groupBy("part").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "").cast("binary"), 256).alias("d"))
-    return level.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "d"))), lambda x: x["d"]), "\n").cast("binary"), 256).alias("fingerprint"))
+    level = rows.select(F.col(key).cast("long").alias("k"), F.concat(F.col(key).cast("string"), F.lit(":"), digest).alias("d"))
+    reach = 1
+    while reach < 2**63:
+        reach *= width
+        listed = F.transform(F.array_sort(F.collect_list(F.struct("k", "d"))), lambda x: x["d"])
+        level = level.groupBy(F.expr(f"k div {width}").alias("k")).agg(F.sha2(F.array_join(listed, "\n").cast("binary"), 256).alias("d"))
+    return level.select(F.col("d").alias("fingerprint"))
 
 
 def changed(files: DataFrame, state: DataFrame, keys: list[str]) -> DataFrame:

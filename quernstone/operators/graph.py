@@ -12,12 +12,17 @@ import tempfile
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .catalog import find_by_name
+
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in the folder of spark.checkpoint.dir (a temporary one only where that is unset)."""
+    """df with its lineage cut in the folder of spark.checkpoint.dir; where that is unset, only a local master gets a folder of its own."""
     spark = df.sparkSession
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quernstone-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quernstone-"))
     return df.checkpoint()
 
 
@@ -84,6 +89,12 @@ def can_reach(edges: DataFrame, src, dst) -> bool:
         front = front.join(step, front["id"] == step["src"]).select(F.col("dst").alias("id")).distinct()
 
 
+def within(edges: DataFrame, targets: DataFrame, length: int) -> DataFrame:
+    """id, left: nodes that reach one of the targets (id) in at most length edges, and the fewest they need."""
+    near = reach(reversed_(edges), targets, length).groupBy("id").agg(F.min("hops").alias("left"))
+    return checkpointed(near.join(targets.select("id").distinct(), "id", "left_anti").unionByName(targets.select("id", F.lit(0).alias("left")).distinct()))
+
+
 def paths(edges: DataFrame, starts: DataFrame, length: int, fan_out: int | None = None, order: Column | None = None, simple_only: bool = True) -> DataFrame:
     """path (array): all paths of 1 to length edges from the starts (id); simple ones only, or with repeats.
 
@@ -99,16 +110,56 @@ def paths(edges: DataFrame, starts: DataFrame, length: int, fan_out: int | None
         nxt = front.join(step, F.element_at("path", -1) == F.col("src"))
         if simple_only:
             nxt = nxt.where(~F.array_contains("path", F.col("dst")))
-        front = nxt.select(F.concat("path", F.array("dst")).alias("path"))
+        front = checkpointed(nxt.select(F.concat("path", F.array("dst")).alias("path")))
         found = front if found is None else found.unionByName(front)
     return found
 
 
+def paths_between(edges: DataFrame, starts: DataFrame, targets: DataFrame, cutoff: int = 15, most: int | None = 20) -> DataFrame:
+    """path: simple paths of 1 to cutoff edges from the starts (id) to the targets (id), the most shortest, ties by path.
+
+    Only edges that still reach a target within what is left of cutoff are followed.
+    """
+    step = checkpointed(simple(edges).join(within(edges, targets, cutoff).select(F.col("id").alias("dst"), "left"), "dst"))
+    front = starts.select(F.array("id").alias("path")).distinct()
+    goal = targets.select(F.col("id").alias("goal")).distinct()
+    found = None
+    for n in range(1, cutoff + 1):
+        nxt = front.join(step, F.element_at("path", -1) == F.col("src")).where((F.col("left") <= cutoff - n) & ~F.array_contains("path", F.col("dst")))
+        front = checkpointed(nxt.select(F.concat("path", F.array("dst")).alias("path")))
+        if front.isEmpty():
+            break
+        here = front.join(goal, F.element_at("path", -1) == F.col("goal"), "left_semi")
+        found = here if found is None else found.unionByName(here)
+    if found is None:
+        found = front.limit(0)
+    return found.orderBy(F.size("path"), "path").limit(most) if most else found
+
+
 def all_paths(edges: DataFrame, src, dst, cutoff: int = 15, most: int | None = 20) -> DataFrame:
     """Simple paths from src to dst of at most cutoff edges; the most shortest, ties by path."""
-    start = edges.sparkSession.createDataFrame([(src,)], f"id {edges.schema['src'].dataType.simpleString()}")
-    found = paths(edges.where(F.col("src") != F.lit(dst)), start, cutoff).where(F.element_at("path", -1) == F.lit(dst))
-    return found.orderBy(F.size("path"), "path").limit(most) if most else found
+    one = lambda x: edges.sparkSession.createDataFrame([(x,)], f"id {edges.schema['src'].dataType.simpleString()}")
+    return paths_between(edges.where(F.col("src") != F.lit(dst)), one(src), one(dst), cutoff, most)
+
+
+def trace_path(edges: DataFrame, symbols: DataFrame, src: str, dst: str, cutoff: int = 15, most: int | None = 10) -> DataFrame:
+    """path: simple paths from any symbol that src names to any that dst names (exact names before others, five each)."""
+    starts, targets = (find_by_name(symbols, name).select("id") for name in (src, dst))
+    return paths_between(edges, starts, targets, cutoff, most)
+
+
+def who(edges: DataFrame, symbols: DataFrame, text: str, direction: str = "callers", depth: int = 1) -> DataFrame:
+    """start, id, hops: callers or callees of the first symbol that a name means."""
+    start = find_by_name(symbols, text, 1).select("id")
+    return reach(reversed_(edges) if direction == "callers" else edges, start, depth)
+
+
+def trace_config(usages: DataFrame, edges: DataFrame, key: str, depth: int = 6, most: int | None = 30) -> tuple[DataFrame, DataFrame]:
+    """Of a configuration key: id and role (direct: a function that uses it, affected: one that such a function calls within depth), and call chains from the direct ones."""
+    direct = checkpointed(usages.where((F.col("config_key") == key) & F.col("symbol_id").isNotNull()).select(F.col("symbol_id").alias("id")).distinct())
+    below = reach(edges, direct, depth).select("id").distinct().join(direct, "id", "left_anti")
+    roles = direct.withColumn("role", F.lit("direct")).unionByName(below.withColumn("role", F.lit("affected")))
+    return roles, chains(edges, direct, depth, most=most)
 
 
 def shortest_paths(edges: DataFrame, src) -> DataFrame:
@@ -132,7 +183,7 @@ def tree(edges: DataFrame, root, depth: int = 4, breadth: int = 8) -> DataFrame:
     found = front
     for _ in range(depth):
         nxt = front.where("NOT repeats").join(step, F.element_at("path", -1) == F.col("src"))
-        front = nxt.select(F.concat("path", F.array("dst")).alias("path"), F.array_contains("path", F.col("dst")).alias("repeats"))
+        front = checkpointed(nxt.select(F.concat("path", F.array("dst")).alias("path"), F.array_contains("path", F.col("dst")).alias("repeats")))
         found = found.unionByName(front)
     n = F.size("path")
     return found.select(F.element_at("path", -1).alias("node"), F.when(n > 1, F.element_at("path", -2)).alias("parent"), (n - 1).alias("depth"), "path", "repeats")
@@ -155,7 +206,7 @@ def cycles(edges: DataFrame, length: int = 6) -> DataFrame:
     found = front.where(F.element_at("path", 1) == F.col("next")).select("path")
     front = front.where(F.element_at("path", 1) < F.col("next"))
     for _ in range(length - 1):
-        nxt = front.join(step, F.col("next") == F.col("src")).where("dst >= path[0]").select(F.concat("path", F.array("next")).alias("path"), F.col("dst").alias("next"))
+        nxt = checkpointed(front.join(step, F.col("next") == F.col("src")).where("dst >= path[0]").select(F.concat("path", F.array("next")).alias("path"), F.col("dst").alias("next")))
         found = found.unionByName(nxt.where("next = path[0]").select("path"))
         front = nxt.where(~F.array_contains("path", F.col("next")))
     return found

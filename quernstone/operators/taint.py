@@ -97,6 +97,11 @@ def trace(found: DataFrame, edges: DataFrame, sources: list[str], depth: int = 5
     return hit.select(F.col("var").alias("source"), "sink", F.col("fn").alias("function"), "path", "line", "steps", (F.size("steps") - 1).alias("hops"))
 
 
+def by_sink(paths: DataFrame) -> DataFrame:
+    """sink, paths: the distinct paths of each sink, in order."""
+    return paths.groupBy("sink").agg(F.array_sort(F.collect_set("path")).alias("paths"))
+
+
 def chain(steps: Column, sink: Column) -> Column:
     """A path as text, from the source to the sink."""
     return F.concat(F.array_join(F.reverse(steps), " -> "), F.lit(" => "), sink)

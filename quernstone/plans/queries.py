@@ -139,21 +139,6 @@ def get_callers(spark, d):
     return catalog.neighbours(calls, symbols, "callee_id", "caller_id", "inner").select("call_id", "caller_id", F.col("other_name").alias("caller"))
 
 
-@query("SELECT c_custkey AS caller_id, o_orderkey AS callee_id FROM customer LEFT JOIN orders ON o_custkey = c_custkey")
-def get_callees(spark, d):
-    return read(spark, d, "customer").join(read(spark, d, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left").select(F.col("c_custkey").alias("caller_id"), F.col("o_orderkey").alias("callee_id"))
-
-
-@query("SELECT n_name AS class, r_name AS base FROM nation LEFT JOIN region ON n_regionkey = r_regionkey")
-def base_classes(spark, d):
-    return read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left").select(F.col("n_name").alias("class"), F.col("r_name").alias("base"))
-
-
-@query("SELECT r_name AS base, count(*) AS derived FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
-def derived_classes(spark, d):
-    return read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy(F.col("r_name").alias("base")).agg(F.count("*").alias("derived"))
-
-
 def _symbols(spark, d):
     return read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.concat_ws("::", "p_brand", "p_name").alias("qualified_name"), F.col("p_type").alias("kind"))
 
@@ -208,11 +193,6 @@ def incremental_skip(spark, d):
     return catalog.changed(docs, docs.join(read(spark, d, "labels").select("doc_id"), "doc_id", "left_semi"), ["doc_id", "file_hash"]).select("doc_id")
 
 
-@query(None)
-def project_fingerprint(spark, d):
-    return catalog.fingerprint(file_hash(spark, d), "doc_id", F.col("file_hash"))
-
-
 # --- scan, intervals, resolution
 
 _PATTERNS = [{"name": "link", "regex": r'href="([^"]+)"'}, {"name": "class", "regex": r'class="([^"]+)"'}, {"name": "any", "regex": r'[a-z]+="([^"]+)"'}]
@@ -243,7 +223,7 @@ def classify_usage(spark, d):
     return patterns.lines(read(spark, d, "pages"), "page_id", "html").select("page_id", "line", patterns.usage(F.col("content")).alias("usage"))
 
 
-_MINUTE = "epoch(ts)::BIGINT // 60"
+_MINUTE = "epoch_us(ts) // 60000000"
 
 
 @query(f"WITH s AS (SELECT user_id, event_id AS span_id, {_MINUTE} AS a, {_MINUTE} + floor(value)::BIGINT AS b FROM events), p AS (SELECT user_id, event_id, {_MINUTE} AS x FROM events) SELECT p.event_id, (SELECT s.span_id FROM s WHERE s.user_id = p.user_id AND s.a <= p.x AND s.b >= p.x ORDER BY s.b - s.a, s.span_id LIMIT 1) AS span_id FROM p")
@@ -322,25 +302,3 @@ def find_config_by_field(spark, d):
     return p.groupBy(F.col("p_name").alias("name")).agg(F.count("*").alias("n")).join(first, "name").select("name", "config", "n")
 
 
-@query("SELECT r_name AS struct, 'menu \"' || r_name || '\"' || chr(10) || string_agg('config ' || upper(regexp_replace(n_name, '[^A-Za-z0-9]', '_', 'g')) || chr(10) || '    int' || chr(10) || '    default ' || n_nationkey, chr(10) ORDER BY n_nationkey) || chr(10) || 'endmenu' AS text FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
-def kconfig_text(spark, d):
-    rows = read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    block = F.concat(F.lit("config "), kconfig_symbol(F.col("n_name")), F.lit("\n    int\n    default "), F.col("n_nationkey").cast("string"))
-    return configdeps.menus(rows.select(F.col("r_name").alias("struct"), F.col("n_nationkey").alias("ord"), block.alias("block")))
-
-
-@query("SELECT n_regionkey AS src, string_agg(n_name || ':' || n_nationkey, ' -> ' ORDER BY n_nationkey) AS chain FROM nation GROUP BY n_regionkey")
-def format_chain(spark, d):
-    steps = F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.concat(x["n_name"], F.lit(":"), x["n_nationkey"].cast("string")))
-    return read(spark, d, "nation").groupBy(F.col("n_regionkey").alias("src")).agg(F.array_join(steps, " -> ").alias("chain"))
-
-
-@query("SELECT relation, count(*) AS n FROM (SELECT o_orderpriority AS relation FROM orders) GROUP BY relation")
-def dependency_breakdown(spark, d):
-    return read(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("relation")).agg(F.count("*").alias("n"))
-
-
-@query("SELECT l_suppkey AS sink, string_agg(DISTINCT l_shipmode, '|' ORDER BY l_shipmode) AS paths FROM (SELECT l_suppkey, l_returnflag || l_linestatus AS l_shipmode FROM lineitem) GROUP BY l_suppkey")
-def paths_by_sink(spark, d):
-    li = read(spark, d, "lineitem").select(F.col("l_suppkey").alias("sink"), F.concat("l_returnflag", "l_linestatus").alias("path"))
-    return li.groupBy("sink").agg(F.array_join(F.array_sort(F.collect_set("path")), "|").alias("paths"))
