@@ -29,7 +29,6 @@ import hashlib
 import heapq
 import json
 import re
-from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -211,6 +210,38 @@ def segments(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+def split_all(found: pa.Array):
+    """(numbers, words, words in each) for classes of segments: the words of all that the class holds, in order.
+
+    Segments from ASCII white space to something else are split as one text, as no word crosses the place where two of them
+    meet. Lengths say where each ends; should a word cross after all, or a text be no UTF-8, its class is split one by one.
+    """
+    if not len(found):
+        return
+    data, offs = buffers(found)
+    first, last = data[offs[:-1]], data[offs[1:] - 1]
+    plain = np.add.reduceat(data >= 128, offs[:-1], dtype=np.int64) == 0
+    whole = SPACE[first] & ~SPACE[last]
+    doubtful = np.flatnonzero(whole & (last >= 128))
+    wide = tuple(_WIDE)
+    whole[[k for k in doubtful.tolist() if found[k].as_py().endswith(wide)]] = False
+    for mask, joined in ((whole & plain, True), (whole & ~plain, True), (~whole, False)):
+        which = np.flatnonzero(mask)
+        if not len(which):
+            continue
+        part = found.take(pa.array(which))
+        if joined:
+            raw, ends = buffers(part)
+            words = pieces(raw.tobytes())
+            borders = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+            at = np.searchsorted(borders, ends[1:])
+            if borders[-1] == ends[-1] and (borders[at] == ends[1:]).all():
+                yield which, words, np.diff(at, prepend=-1)
+                continue
+        each = [pieces(x) for x in part.to_pylist()]
+        yield which, [w for x in each for w in x], np.array([len(x) for x in each], np.int64)
+
+
 def numbered(data: np.ndarray, offs: np.ndarray, path: str, listed: dict[bytes, int]):
     """Word numbers of all documents and each document's first; words beyond the vocabulary are numbered on in listed."""
     ranks, by_id, _ = _vocabulary(path)
@@ -218,21 +249,29 @@ def numbered(data: np.ndarray, offs: np.ndarray, path: str, listed: dict[bytes,
     borders = np.append(cut, len(data)).astype(np.int64 if len(data) >= 2**31 else np.int32)
     kind = pa.large_binary() if borders.dtype == np.int64 else pa.binary()
     found = pa.Array.from_buffers(kind, len(cut), [None, pa.py_buffer(borders), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
-    flat, ends = array("i"), array("q")
-    base = len(by_id)
-    for s in found.dictionary.to_pylist():
-        for w in pieces(s):
-            number = ranks.get(w)
+    numbers, starts, size = [], np.zeros(len(found.dictionary), np.int64), np.zeros(len(found.dictionary), np.int64)
+    before, base = 0, len(by_id)
+    for which, words, count in split_all(found.dictionary):
+        flat = list(map(ranks.get, words))
+        long = []
+        for k, number in enumerate(flat):
             if number is None:
-                if len(w) > LONG:
-                    flat.extend(merge_long(w, ranks))
-                    continue
-                number = base + listed.setdefault(w, len(listed))
-            flat.append(number)
-        ends.append(len(flat))
-    numbers, ends_ = np.frombuffer(flat, np.int32), np.frombuffer(ends, np.int64)
-    size = np.diff(ends_, prepend=0)
-    out, total = gathered(found.indices.to_numpy(), numbers, ends_ - size, size)
+                if len(words[k]) > LONG:
+                    long.append(k)
+                else:
+                    flat[k] = base + listed.setdefault(words[k], len(listed))
+        if long:
+            per = np.ones(len(words), np.int64)
+            for k in long:
+                flat[k] = merge_long(words[k], ranks)
+                per[k] = len(flat[k])
+            flat = [x for y in flat for x in (y if isinstance(y, list) else (y,))]
+            count = np.diff(np.append(0, np.cumsum(per))[np.append(0, np.cumsum(count))])
+        starts[which], size[which] = before + np.cumsum(count) - count, count
+        numbers.append(np.array(flat, np.int32))
+        before += len(flat)
+    numbers = np.concatenate([np.zeros(0, np.int32), *numbers])
+    out, total = gathered(found.indices.to_numpy(), numbers, starts, size)
     return out, total[np.searchsorted(cut, offs)]
 
 
