@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _CONTROL = r"\b(if|while|for|switch|else|elif)\b|\?"
@@ -17,13 +16,14 @@ def lines(texts: DataFrame, key: str, text: str) -> DataFrame:
     return texts.where(F.col(text).isNotNull()).select(F.col(key), F.posexplode(parts).alias("line", "content")).withColumn("line", F.col("line") + 1)
 
 
-def valid(patterns: list[dict]) -> list[dict]:
-    """Patterns that compile, their key_group checked: one that the regex doesn't have reads the whole match."""
+def valid(spark: SparkSession, patterns: list[dict]) -> list[dict]:
+    """Patterns that compile in the dialect that runs them (Java's), their key_group checked: one that the regex doesn't have reads the whole match."""
+    dialect = spark._jvm.java.util.regex
     out = []
     for p in patterns:
         try:
-            groups = re.compile(p["regex"]).groups
-        except re.error:
+            groups = dialect.Pattern.compile(p["regex"]).matcher("").groupCount()
+        except IllegalArgumentException:
             continue
         out.append(p | {"key_group": p.get("key_group", 1) if p.get("key_group", 1) <= groups else 0})
     return out
@@ -32,7 +32,7 @@ def valid(patterns: list[dict]) -> list[dict]:
 def scan(texts_lines: DataFrame, patterns: list[dict], key: str) -> DataFrame:
     """key, line, content, pattern, ord, config_key: every match of every pattern in each line that isn't blank or a comment."""
     body = texts_lines.where(~F.col("content").rlike(r"^\s*(//.*)?$"))
-    each = [F.transform(F.regexp_extract_all("content", F.lit(p["regex"]), F.lit(p["key_group"])), _hit(p["name"], i)) for i, p in enumerate(valid(patterns))]
+    each = [F.transform(F.regexp_extract_all("content", F.lit(p["regex"]), F.lit(p["key_group"])), _hit(p["name"], i)) for i, p in enumerate(valid(texts_lines.sparkSession, patterns))]
     return body.withColumn("hit", F.explode(F.flatten(F.array(*each)))).select(key, "line", "content", "hit.*")
 
 

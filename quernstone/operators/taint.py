@@ -4,7 +4,7 @@ The relational form: variables of functions are states, each rule is an equi-joi
 state to what it was computed from, and a bounded frontier search follows them. Order within a function
 is not used, so the result is a superset of a flow-sensitive search; each state keeps its smallest path.
 
-Rules: assignment (with aliases and prefixes of written structures), copy, return descent, parameter ascent with
+Rules: assignment (with aliases), copy, return descent, parameter ascent with
 indirect calls through bound pointers and tables, and globals.
 """
 
@@ -39,19 +39,23 @@ def call_edges(calls: DataFrame, assigns: DataFrame, tables: DataFrame, function
     return direct.drop("via").unionByName(asked.join(pointers, "via").drop("via")).distinct()
 
 
-def flows(assigns: DataFrame, calls: DataFrame, params: DataFrame, returns: DataFrame, tables: DataFrame, functions: DataFrame) -> DataFrame:
-    """fn, var -> from_fn, from_var by rule: what each variable was computed from."""
+def flows(assigns: DataFrame, calls: DataFrame, params: DataFrame, returns: DataFrame, tables: DataFrame, functions: DataFrame, declared: DataFrame) -> DataFrame:
+    """fn, var -> from_fn, from_var by rule: what each variable was computed from.
+
+    Names that a function declares (declared: function, name) or has as parameters are its own; others join as globals.
+    """
     a = assigns.select(F.col("function").alias("fn"), _plain(F.col("lhs")).alias("var"), "rhs_vars", "rhs_call", "transform")
     read = a.select("fn", "var", F.col("fn").alias("from_fn"), F.explode("rhs_vars").alias("from_var"), F.when(F.col("transform").rlike("mem|bcopy"), "copy").otherwise("assign").alias("rule")).withColumn("from_var", _plain(F.col("from_var")))
     edges = call_edges(calls, assigns, tables, functions)
     down = a.where("rhs_call <> ''").withColumn("target", F.regexp_extract("rhs_call", r"(\w+)$", 1)).join(returns.select(F.col("function").alias("target"), F.explode("vars").alias("from_var")), "target").select("fn", "var", F.col("target").alias("from_fn"), _plain(F.col("from_var")).alias("from_var"), F.lit("return").alias("rule"))
     args = edges.select(F.col("function").alias("from_fn"), F.col("target").alias("fn"), F.posexplode("arg_vars").alias("idx", "vs")).select("from_fn", "fn", "idx", F.explode("vs").alias("from_var"))
     up = args.join(params.select(F.col("function").alias("fn"), "idx", F.col("name").alias("var")), ["fn", "idx"]).select("fn", "var", "from_fn", _plain(F.col("from_var")).alias("from_var"), F.lit("param").alias("rule"))
-    local = a.select("fn", "var").unionByName(params.select(F.col("function").alias("fn"), F.col("name").alias("var"))).distinct()
+    own = declared.select(F.col("function").alias("fn"), F.col("name").alias("var")).unionByName(params.select(F.col("function").alias("fn"), F.col("name").alias("var"))).distinct()
     passed = calls.select(F.col("function").alias("fn"), F.explode(F.flatten("arg_vars")).alias("var")).withColumn("var", _plain(F.col("var")))
     uses = read.select(F.col("from_fn").alias("fn"), F.col("from_var").alias("var")).unionByName(passed).distinct()
-    free = uses.where(F.col("var").rlike(r"^\w+$")).join(local, ["fn", "var"], "left_anti")
-    globals_ = free.join(a.select(F.col("fn").alias("from_fn"), "var").distinct(), "var").where("fn <> from_fn").select("fn", "var", "from_fn", F.col("var").alias("from_var"), F.lit("global").alias("rule"))
+    free = uses.where(F.col("var").rlike(r"^\w+$")).join(a.select("fn", "var").unionByName(own).distinct(), ["fn", "var"], "left_anti")
+    writers = a.select("fn", "var").distinct().join(own, ["fn", "var"], "left_anti").select(F.col("fn").alias("from_fn"), "var")
+    globals_ = free.join(writers, "var").where("fn <> from_fn").select("fn", "var", "from_fn", F.col("var").alias("from_var"), F.lit("global").alias("rule"))
     return read.unionByName(down).unionByName(up).unionByName(globals_).distinct()
 
 

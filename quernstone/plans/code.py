@@ -59,7 +59,7 @@ class Code:
         wanted = list(sinks or taint.SINKS)
         if macro_sinks and not sinks:
             wanted += [rf"\b{r['macro']}\s*\(" for r in self.macros.where("writes").select("macro").distinct().orderBy("macro").collect()]
-        edges = taint.flows(self.assignments, self.calls, self.params, self.returns, self.tables, self.functions)
+        edges = taint.flows(self.assignments, self.calls, self.params, self.returns, self.tables, self.functions, self.locals)
         return taint.trace(taint.sinks(self.assignments, self.calls, wanted), edges, sources or taint.SOURCES, depth)
 
     def specs(self) -> DataFrame:

@@ -20,7 +20,8 @@ FILES = "file_id bigint, root string, path string, file_hash string, line_count
 
 def collect(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
     """file_id, root, path (relative to the longest root that holds it), content, file_hash, line_count."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(list(roots))
+    named = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in x) for x in SUFFIXES) + "}"  # other files are never opened
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", named).load(list(roots))
     plain = lambda p: "/" + p.split("://", 1)[-1].removeprefix("file:").strip("/") + "/"
     full = F.regexp_replace("path", "^[a-z]+:(//)?(?=/)", "")
     owner = F.array_max(F.filter(F.array(*[F.struct(F.lit(len(plain(r))).alias("n"), F.lit(plain(r)).alias("root")) for r in roots]), lambda r: F.startswith(full, r["root"])))
