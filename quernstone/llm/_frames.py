@@ -83,6 +83,7 @@ def map_text(df: DataFrame, fn: Callable, out: str, text: str = "text", keep: Se
             data, offs = buffers(b.column(1))
             cols = [pa.array(c, type=f.type) if not isinstance(c, pa.Array) else c.cast(f.type) for c, f in zip(fn(data, offs), want.field("out").type, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(want.field("keep").type), pa.StructArray.from_arrays(cols, fields=list(want.field("out").type))], schema=want)
+        release()
 
     made = source.mapInArrow(run, schema)
     if not flat:

@@ -25,13 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._frames import map_text, quoted, stored, table, tune, unpacked
+from ._frames import map_text, quoted, release, stored, table, tune, unpacked
 from ._text import blocks, buffers
 
 SYMBOLS, GRAMS, DIMENSIONS, SEED = 64, 64**3, 1024, 7
 #: Languages whose n-gram counts (2 MB each) a task holds at a time.
 OPEN = 16
 BLOCK = 1 << 20
+#: N-grams whose vectors (4 KB each) are held at a time.
+CHUNK = 4096
 #: Least score: standard deviations of the cosine of unrelated vectors, and share of the median score of labelled documents.
 NOISE, MEDIAN_SHARE = 4 / DIMENSIONS**0.5, 1 / 3
 
@@ -106,8 +108,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
     def bundled(sums):
         for name, total in sums.items():
             at, vector = np.flatnonzero(total), np.zeros(DIMENSIONS)
-            for i in range(0, len(at), 4096):
-                vector += total[at[i : i + 4096]].astype(np.float64) @ bind(at[i : i + 4096])
+            for i in range(0, len(at), CHUNK):
+                vector += total[at[i : i + CHUNK]].astype(np.float64) @ bind(at[i : i + CHUNK])
             yield name, np.rint(vector).astype(np.int64)
 
     def sent(sums):
@@ -132,6 +134,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
                     sums.setdefault(name, np.zeros(GRAMS, np.int64))
                     np.add.at(sums[name], gram[part], n[part])
         yield from sent(sums)
+        del sums
+        release()
 
     cells = rows.mapInArrow(count, "lang string, d long, n long").groupBy("lang", "d").agg(F.sum("n").alias("n"))
     found = cells.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("d", "n"))).alias("vector")).select("lang", F.col("vector.n").alias("vector")).toPandas()
@@ -156,12 +160,14 @@ def classify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "te
             if len(doc) and names:
                 grams, col = np.unique(gram, return_inverse=True)
                 bundle = np.zeros((j - i, DIMENSIONS), np.float32)
-                vectors = bind(grams)
-                for a in range(0, j - i, 256):
-                    part = (doc >= a) & (doc < a + 256)
-                    counts = np.zeros((min(256, j - i - a), len(grams)), np.float32)
-                    counts[doc[part] - a, col[part]] = n[part]
-                    bundle[a : a + 256] = counts @ vectors
+                for a in range(0, len(grams), CHUNK):
+                    part = (col >= a) & (col < a + CHUNK)
+                    vectors, inside, who, count = bind(grams[a : a + CHUNK]), col[part] - a, doc[part], n[part]
+                    for d in range(0, j - i, 256):
+                        p, q = np.searchsorted(who, (d, d + 256))
+                        counts = np.zeros((min(256, j - i - d), len(vectors)), np.float32)
+                        counts[who[p:q] - d, inside[p:q]] = count[p:q]
+                        bundle[d : d + 256] += counts @ vectors
                 length = np.linalg.norm(bundle, axis=1)
                 has = distinct > 0
                 cos = np.round((bundle @ matrix) / np.maximum(length, 1e-9)[:, None], 6)
