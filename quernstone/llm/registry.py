@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import block_max, byte_bpe, langid, license_scan, near_dup, phrase_index, pii, repetition, site_text, suffix_dedup, token_count, warc_store
+from . import block_max, byte_bpe, centroids, langid, license_scan, near_dup, phrase_index, pii, repetition, site_text, suffix_dedup, token_count, warc_store
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontaminate": phrase_index.op8_decontaminate,
     "op9_near_dup": near_dup.op9_near_dup,
     "op10_license_scan": license_scan.op10_license_scan,
+    "op11_exponion": centroids.op11_exponion,
     "op12_token_count": token_count.op12_token_count,
     "op13_block_max": block_max.op13_block_max,
 }
@@ -24,5 +25,6 @@ ORACLES = {
     "op8_decontaminate": phrase_index.OP8_SQL,
     "op9_near_dup": near_dup.OP9_SQL,
     "op10_license_scan": license_scan.OP10_SQL,
+    "op11_exponion": centroids.OP11_SQL,
     "op13_block_max": block_max.OP13_SQL,
 }
