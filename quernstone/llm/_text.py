@@ -25,20 +25,23 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 NOT_ALNUM = np.ones(256, bool)
 NOT_ALNUM[48:58] = NOT_ALNUM[65:91] = NOT_ALNUM[97:123] = NOT_ALNUM[128:] = False
 
+#: Powers that are kept; a worker that once met a long text would hold as many for good otherwise.
+KEPT = 1 << 18
 _powers = {}
 
 
 def powers(n: int, base: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
-        have = np.full(size, base, np.uint64)
-        have[0] = 1
+    if base not in _powers:
+        made = np.full(KEPT, base, np.uint64)
+        made[0] = 1
         with np.errstate(over="ignore"):
-            have = np.multiply.accumulate(have)
-        _powers[base] = have
-    return have[:n]
+            _powers[base] = np.multiply.accumulate(made)
+    if n <= KEPT:
+        return _powers[base][:n]
+    step, far = pow(base, KEPT, 2**64), np.ones(-(-n // KEPT), np.uint64)
+    far[1:] = step
+    return np.multiply.outer(np.multiply.accumulate(far), _powers[base]).reshape(-1)[:n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
