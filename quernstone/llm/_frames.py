@@ -17,7 +17,7 @@ from ._text import buffers
 
 #: Rows of an Arrow batch; a batch of very long texts is cut by bytes too.
 BATCH_ROWS = 2000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -46,6 +46,16 @@ def release() -> None:
         trim(0)
 
 
+def lean(run: Callable) -> Callable:
+    """A function over batches that gives memory back when it has seen the last one."""
+
+    def lean_run(batches):
+        yield from run(batches)
+        release()
+
+    return lean_run
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written below the shared folder and read again: its lineage ends there and a lost executor costs nothing."""
     path = shared_dir(df.sparkSession, name)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._frames import map_text, quoted, stored, table, tune, unpacked
+from ._frames import lean, map_text, quoted, stored, table, tune, unpacked
 from ._text import LOWER, SPACE, blocks, mix, shingles, spans_hash, word_spans
 
 REGISTERS, BITS = 1024, 10
@@ -67,7 +67,7 @@ def _names(h: np.ndarray, at: np.ndarray) -> list[bytes]:
     return [row.tobytes() for row in both]
 
 
-@lru_cache(4096)
+@lru_cache(256)
 def _probe(step: int) -> np.ndarray:
     """For each bucket the one that it borrows from at a step, if that is filled."""
     return (mix(np.arange(REGISTERS, dtype=np.uint64) * np.uint64(1000003) + np.uint64(step)) % np.uint64(REGISTERS)).astype(np.int64)
@@ -172,7 +172,7 @@ def bands(classes: DataFrame) -> DataFrame:
             keys = mix((m * powers(ROWS, BASE)).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), BANDS)))], names=["key", "id"])
 
-    return classes.select("id", "registers").mapInArrow(run, "key long, id long")
+    return classes.select("id", "registers").mapInArrow(lean(run), "key long, id long")
 
 
 def _passing(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
@@ -186,7 +186,7 @@ def _passing(pairs: DataFrame, classes: DataFrame, threshold: float) -> DataFram
                 ok = _plausible(_matrix(t["r_a"]), _matrix(t["r_b"]), t["n_a"].to_numpy(), t["n_b"].to_numpy(), threshold)
                 yield pa.RecordBatch.from_arrays([t["a"], t["b"]], names=["a", "b"]).filter(pa.array(ok))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lean(run), "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -206,7 +206,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame
                 ok[k] = 100 * common >= percent * (len(x) + len(y) - common)
             yield pa.RecordBatch.from_arrays([t["a"], t["b"]], names=["a", "b"]).filter(pa.array(ok))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(lean(run), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -283,7 +283,7 @@ def _between(members: DataFrame, classes: DataFrame, threshold: float) -> DataFr
             if out_a:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(lean(run), "a long, b long")
 
 
 def _last(batches):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._frames import arrow_schema, quoted, shared_dir, table, tune, unpacked
+from ._frames import arrow_schema, lean, quoted, shared_dir, table, tune, unpacked
 from ._text import LOWER, NOT_ALNUM, blocks, buffers, shingles, spans_hash, word_spans
 
 BLOCK = 4 << 20
@@ -64,7 +64,7 @@ def build(docs: DataFrame, path: str, text: str = "text", keep=("doc_id",)) -> D
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), cell).cast(want.field("docs").type), *[pa.array([x.tobytes()], f.type) for x, f in zip(row[1:], list(want)[1:5], strict=True)], pa.array([bits], pa.int32()), pa.array([block], pa.int64())], schema=want)
                 block += 1
 
-    source.mapInArrow(run, schema).write.parquet(path)
+    source.mapInArrow(lean(run), schema).write.parquet(path)
     return docs.sparkSession.read.schema(schema).parquet(path)
 
 
@@ -84,7 +84,7 @@ def windows(items: DataFrame, k: int, text: str = "text", key: str = "item_id")
                 terms = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(words[np.repeat(pos, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).take(pa.array(own)), pa.array(h.view(np.int64)), terms], names=["item", "window", "terms"])
 
-    return source.mapInArrow(run, "item string, window long, terms array<long>").groupBy("window").agg(F.first("terms").alias("terms"), F.array_sort(F.collect_set("item")).alias("items"))
+    return source.mapInArrow(lean(run), "item string, window long, terms array<long>").groupBy("window").agg(F.first("terms").alias("terms"), F.array_sort(F.collect_set("item")).alias("items"))
 
 
 class Query:
