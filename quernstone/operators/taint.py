@@ -1,11 +1,4 @@
-"""Backward dataflow: from sinks (writes that match a pattern) to the sources that reach them.
-
-The relational form: variables of functions are states, each rule is an equi-join that makes edges from a
-state to what it was computed from, and a bounded frontier search follows them. Order within a function
-is not used, so the result is a superset of a flow-sensitive search; each state keeps its smallest path.
-
-Rules: assignment (with aliases), copy, return descent, parameter ascent with
-indirect calls through bound pointers and tables, and globals.
+"""Sinks, chains and specifications of backward dataflow; the trace itself is in ``backward``.
 """
 
 from __future__ import annotations
@@ -13,8 +6,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .graph import checkpointed
-
 SOURCES = [r"\b(cfg|config|settings|params)(->|\.)\w+"]
 SINKS = [r"\bregs?(->|\.)\w+", r"\bWRITE_REG\s*\("]
 
@@ -23,82 +14,26 @@ def base(v: Column) -> Column:
     return F.regexp_extract(v, r"^\**([A-Za-z_]\w*)", 1)
 
 
-def _plain(v: Column) -> Column:
+def plain(v: Column) -> Column:
     return F.regexp_replace(v, r"^\*+|\[[^\]]*\]", "")
 
 
-def call_edges(calls: DataFrame, assigns: DataFrame, tables: DataFrame, functions: DataFrame) -> DataFrame:
-    """calls with target: the callee itself, or the functions that a pointer, table or member of that name holds."""
-    known = functions.select(F.col("name").alias("target")).distinct()
-    bound = assigns.join(known, assigns["rhs"] == known["target"]).select(F.regexp_extract("lhs", r"(\w+)(\[[^\]]*\])?$", 1).alias("via"), "target")
-    entries = tables.select(F.explode(F.array("array_name", "member")).alias("via"), F.col("callee").alias("target")).where("via <> ''").join(known, "target", "left_semi")
-    pointers = bound.unionByName(entries).distinct()
-    name = F.regexp_extract("callee", r"(\w+)(\[[^\]]*\])?$", 1)
-    asked = calls.withColumn("via", name)
-    direct = asked.join(known, asked["via"] == known["target"])
-    return direct.drop("via").unionByName(asked.join(pointers, "via").drop("via")).distinct()
-
-
-def flows(assigns: DataFrame, calls: DataFrame, params: DataFrame, returns: DataFrame, tables: DataFrame, functions: DataFrame, declared: DataFrame) -> DataFrame:
-    """fn, var -> from_fn, from_var by rule: what each variable was computed from.
-
-    Names that a function declares (declared: function, name) or has as parameters are its own; others join as globals.
-    """
-    a = assigns.select(F.col("function").alias("fn"), _plain(F.col("lhs")).alias("var"), "rhs_vars", "rhs_call", "transform")
-    read = a.select("fn", "var", F.col("fn").alias("from_fn"), F.explode("rhs_vars").alias("from_var"), F.when(F.col("transform").rlike("mem|bcopy"), "copy").otherwise("assign").alias("rule")).withColumn("from_var", _plain(F.col("from_var")))
-    edges = call_edges(calls, assigns, tables, functions)
-    down = a.where("rhs_call <> ''").withColumn("target", F.regexp_extract("rhs_call", r"(\w+)$", 1)).join(returns.select(F.col("function").alias("target"), F.explode("vars").alias("from_var")), "target").select("fn", "var", F.col("target").alias("from_fn"), _plain(F.col("from_var")).alias("from_var"), F.lit("return").alias("rule"))
-    args = edges.select(F.col("function").alias("from_fn"), F.col("target").alias("fn"), F.posexplode("arg_vars").alias("idx", "vs")).select("from_fn", "fn", "idx", F.explode("vs").alias("from_var"))
-    up = args.join(params.select(F.col("function").alias("fn"), "idx", F.col("name").alias("var")), ["fn", "idx"]).select("fn", "var", "from_fn", _plain(F.col("from_var")).alias("from_var"), F.lit("param").alias("rule"))
-    own = declared.select(F.col("function").alias("fn"), F.col("name").alias("var")).unionByName(params.select(F.col("function").alias("fn"), F.col("name").alias("var"))).distinct()
-    passed = calls.select(F.col("function").alias("fn"), F.explode(F.flatten("arg_vars")).alias("var")).withColumn("var", _plain(F.col("var")))
-    uses = read.select(F.col("from_fn").alias("fn"), F.col("from_var").alias("var")).unionByName(passed).distinct()
-    free = uses.where(F.col("var").rlike(r"^\w+$")).join(a.select("fn", "var").unionByName(own).distinct(), ["fn", "var"], "left_anti")
-    writers = a.select("fn", "var").distinct().join(own, ["fn", "var"], "left_anti").select(F.col("fn").alias("from_fn"), "var")
-    globals_ = free.join(writers, "var").where("fn <> from_fn").select("fn", "var", "from_fn", F.col("var").alias("from_var"), F.lit("global").alias("rule"))
-    return read.unionByName(down).unionByName(up).unionByName(globals_).distinct()
-
-
 def sinks(assigns: DataFrame, calls: DataFrame, patterns: list[str | dict]) -> DataFrame:
-    """sink (its text), fn, path, line, var: what flows into writes and calls that match.
+    """sink (its text), fn, path, line, var, pos: what flows into writes and calls that match, by its place among the variables there.
 
     A pattern is a regex, or has a regex and a value_arg: the number of the argument (from 0, or from -1 backwards) that calls
     write. The last is taken where it names none, or one that the call doesn't have. The first pattern that matches counts.
     """
     patterns = [p if isinstance(p, dict) else {"regex": p} for p in patterns]
     any_of = lambda c: F.expr("false") if not patterns else F.greatest(*[c.rlike(p["regex"]) for p in patterns], F.lit(False))
-    written = assigns.withColumn("sink", F.concat_ws(" ", "lhs", "operator", "rhs")).where(any_of(F.col("lhs"))).select("sink", "function", "path", "line", F.explode("rhs_vars").alias("var"))
+    written = assigns.withColumn("sink", F.concat_ws(" ", "lhs", "operator", "rhs")).where(any_of(F.col("lhs"))).select("sink", "function", "path", "line", F.posexplode("rhs_vars").alias("pos", "var"))
     text = F.concat("callee", F.lit("("), F.array_join("args", ", "), F.lit(")"))
     at = F.lit(-1)
     for p in reversed(patterns):
         k = p.get("value_arg", -1)
         at = F.when(text.rlike(p["regex"]), F.when(F.size("arg_vars") >= (k + 1 if k >= 0 else -k), k + 1 if k >= 0 else k).otherwise(-1)).otherwise(at)
-    called = calls.withColumn("sink", text).where(any_of(text)).select("sink", "function", "path", "line", F.explode(F.try_element_at("arg_vars", at)).alias("var"))
-    return written.unionByName(called).select(F.substring("sink", 1, 100).alias("sink"), F.col("function").alias("fn"), "path", "line", _plain(F.col("var")).alias("var"))
-
-
-def trace(found: DataFrame, edges: DataFrame, sources: list[str], depth: int = 5) -> DataFrame:
-    """source, sink, function, path, line, steps, hops: sources that reach each sink in at most depth hops, by the smallest chain.
-
-    A field of a parameter or alias continues as the same field of what the parameter or alias stands for.
-    """
-    is_source = F.lit(False)
-    for p in sources:
-        is_source = is_source | F.col("var").rlike(p)
-    edges = checkpointed(edges)
-    seen = front = checkpointed(found.select("sink", "fn", "path", "line", "var", F.array(F.concat("fn", F.lit(":"), "var")).alias("steps")).groupBy("sink", "fn", "path", "line", "var").agg(F.min("steps").alias("steps")).withColumn("at", F.col("fn")))
-    for _ in range(depth):
-        here = front.withColumn("head", base(F.col("var"))).withColumn("field", F.regexp_extract("var", r"^\**\w+(.*)$", 1))
-        same = here.join(edges.select(F.col("fn").alias("at"), "var", "from_fn", "from_var"), ["at", "var"])
-        moved = here.where("field <> ''").join(edges.where(F.col("var").rlike(r"^\w+$") & F.col("from_var").rlike(r"^\w+$")).select(F.col("fn").alias("at"), F.col("var").alias("head"), "from_fn", "from_var"), ["at", "head"]).withColumn("from_var", F.concat("from_var", "field"))
-        cols = ["sink", "fn", "path", "line", F.col("from_fn").alias("at"), F.col("from_var").alias("var"), F.concat("steps", F.array(F.concat("from_fn", F.lit(":"), "from_var"))).alias("steps")]
-        nxt = same.select(*cols).unionByName(moved.select(*cols)).groupBy("sink", "fn", "path", "line", "at", "var").agg(F.min("steps").alias("steps"))
-        front = checkpointed(nxt.join(seen.select("sink", "fn", "path", "line", "at", "var"), ["sink", "fn", "path", "line", "at", "var"], "left_anti"))
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    hit = seen.where(is_source)
-    return hit.select(F.col("var").alias("source"), "sink", F.col("fn").alias("function"), "path", "line", "steps", (F.size("steps") - 1).alias("hops"))
+    called = calls.withColumn("sink", text).where(any_of(text)).select("sink", "function", "path", "line", F.posexplode(F.try_element_at("arg_vars", at)).alias("pos", "var"))
+    return written.unionByName(called).select(F.substring("sink", 1, 100).alias("sink"), F.col("function").alias("fn"), "path", "line", plain(F.col("var")).alias("var"), "pos")
 
 
 def by_sink(paths: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import catalog, graph, intervals, resolve, taint
+from ..operators import backward, catalog, graph, intervals, pointsto, relations, resolve, taint
 from ..sources import cfront, files
 
 
@@ -39,9 +39,29 @@ class Code:
         s = self.symbols.where(F.col("kind").isin("FUNCTION", "METHOD"))
         return catalog.first_by(s, ["qualified_name"], [F.desc("is_definition"), F.col("path"), F.col("line_start")])
 
+    @cached_property
+    def targets(self) -> DataFrame:
+        """Calls with call (what names each) and target: the functions that they may enter, through pointers, tables, members and callbacks too."""
+        calls = self.calls.withColumn("call", F.sha2(F.to_json(F.struct("path", "function", "callee", "args", "line")), 256)).dropDuplicates(["call"])
+        fn = F.col("function").alias("fn")
+        own = self.locals.select(fn, "name").unionByName(self.params.select(fn, "name"))
+        found = pointsto.call_targets(calls.select(fn, "call", "callee", "args"), self.assignments.select(fn, "lhs", "rhs"), self.tables, self.params.select(fn, "idx", "name"), own, self.functions)
+        return graph.checkpointed(calls.join(found, "call"))
+
     def call_graph(self) -> DataFrame:
-        found = taint.call_edges(self.calls, self.assignments, self.tables, self.functions)
-        return found.select(F.col("function").alias("src"), F.col("target").alias("dst")).distinct()
+        return self.targets.select(F.col("function").alias("src"), F.col("target").alias("dst")).distinct()
+
+    @cached_property
+    def facts(self) -> backward.Facts:
+        """What the rules of the backward trace are made of."""
+        fn, plain = F.col("function").alias("fn"), lambda c: F.transform(c, taint.plain)
+        a = self.assignments.select(fn, taint.plain(F.col("lhs")).alias("lhs"), "rhs", plain("rhs_vars").alias("rhs_vars"), F.regexp_extract("rhs_call", r"(\w+)$", 1).alias("rhs_call"), "line", "transform")
+        passed = self.targets.select(fn, "target", "line", F.posexplode(F.arrays_zip(F.col("args").alias("text"), plain(F.transform("arg_vars", lambda v: F.array_join(v, " "))).alias("vars"))).alias("idx", "a"))
+        args = passed.select("fn", "target", "line", "idx", F.col("a.text").alias("text"), F.filter(F.split("a.vars", " "), lambda v: v != "").alias("vars"))
+        return backward.Facts(
+            a, args, self.params.select(fn, "idx", "name"), self.returns.select(fn, plain("vars").alias("vars"), "line"), self.union_vars.select(fn, "name"),
+            relations.copies(self.calls.select(fn, "callee", "args")), self.locals.select(fn, "name"),
+        )
 
     def include_graph(self) -> DataFrame:
         """src, dst, tier: files and the files that their includes resolve to."""
@@ -54,13 +74,19 @@ class Code:
         spans = self.functions.select("file_id", F.col("name").alias("span_id"), F.col("line_start").alias("begin"), F.col("line_end").alias("end"))
         return intervals.innermost(points.withColumnRenamed("line", "at"), spans, "file_id").withColumnRenamed("at", "line").withColumnRenamed("span_id", "function")
 
-    def trace(self, sources: list[str] | None = None, sinks: list[str | dict] | None = None, depth: int = 5, macro_sinks: bool = True) -> DataFrame:
-        """Dataflow paths from configuration fields to hardware writes; macros that write count as sinks unless sinks are given."""
+    def trace(self, sources: list[str] | None = None, sinks: list[str | dict] | None = None, depth: int = 6, macro_sinks: bool = True, most: int | None = None) -> DataFrame:
+        """Dataflow paths from configuration fields to hardware writes, of at most depth variables each, by ``backward.trace``; macros that write count as sinks unless sinks are given.
+
+        label is the sink with the arguments of the call that the path came by; most keeps the first paths in order of file and line.
+        """
         wanted = list(sinks or taint.SINKS)
         if macro_sinks and not sinks:
             wanted += [rf"\b{r['macro']}\s*\(" for r in self.macros.where("writes").select("macro").distinct().orderBy("macro").collect()]
-        edges = taint.flows(self.assignments, self.calls, self.params, self.returns, self.tables, self.functions, self.locals)
-        return taint.trace(taint.sinks(self.assignments, self.calls, wanted), edges, sources or taint.SOURCES, depth)
+        found = taint.sinks(self.assignments, self.calls, wanted)
+        found = found.withColumn("sink_id", F.concat_ws(":", "path", F.lpad(F.col("line").cast("string"), 10, "0"), "fn", "sink"))
+        chains = backward.trace(found.select("sink_id", "sink", "fn", "line", "var", "pos"), self.facts, sources or taint.SOURCES, depth, most)
+        of = found.select("sink_id", "sink", F.col("fn").alias("function"), "path", "line").distinct()
+        return chains.join(of, "sink_id").select("source", "source_fn", "sink", "label", "function", "path", "line", backward.told(F.col("nodes")).alias("steps"), "nodes", "hops")
 
     def specs(self) -> DataFrame:
         return taint.specs(self.fields, self.enum_values, self.ranges, self.trace())

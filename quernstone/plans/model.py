@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import condition, kconfig_default, kconfig_type, snippet
-from ..operators import catalog, exports, graph, lookups, relations, store, taint
+from ..operators import backward, catalog, exports, graph, lookups, pointsto, relations, store, taint
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -442,3 +442,124 @@ def kconfig_text(spark, d):
     rows = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     specs = rows.select(F.col("r_name").alias("struct"), F.col("n_name").alias("field"), F.lit("int").alias("type"), F.array().cast("array<string>").alias("enum_values"), F.lit("0").alias("low"), F.col("n_nationkey").cast("string").alias("high"))
     return exports.kconfig(specs, None, rows.select(F.col("n_name").alias("field"), F.col("n_nationkey").cast("string").alias("value")))
+
+
+# --- the ordered trace, call targets and alias chains
+
+VIEWS |= {
+    "alias_writes": "SELECT l_orderkey % 400 AS fn, 'v' || l_suppkey % 40 AS lhs, 'v' || l_partkey % 40 AS rhs, l_orderkey * 10 + l_linenumber AS line FROM lineitem",
+    "pt_bases": "SELECT 'n' || s_suppkey * 7 AS loc, 'f' || s_suppkey AS target FROM supplier",
+    "pt_copies": "SELECT 'n' || o_custkey % 700 AS src, 'n' || o_orderkey % 1900 AS dst FROM orders WHERE o_orderkey % 3 = 0",
+    "pt_calls": "SELECT c_custkey AS call, 'n' || c_custkey AS loc FROM customer",
+    "pt_args": "SELECT c_custkey AS call, 0 AS idx, 'n' || c_custkey * 3 % 1500 AS loc FROM customer",
+    "pt_params": "SELECT 'f' || s_suppkey AS target, 0 AS idx, 'n' || s_suppkey * 11 AS loc FROM supplier",
+    "flow_assigns": """SELECT 'f' || l_orderkey % 3000 AS fn, CASE l_suppkey % 6 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'p->x' || (l_partkey * 7 + l_suppkey * 13) % 2003 WHEN 3 THEN 'u.m' || l_partkey % 3 WHEN 4 THEN 's.y' || l_partkey % 2 ELSE 'g' || (l_partkey * 7 + l_suppkey * 13) % 2003 END AS lhs,
+  CASE l_partkey % 9 WHEN 0 THEN 'cfg->k' || l_suppkey % 9 WHEN 1 THEN 'a' WHEN 2 THEN 'b' WHEN 3 THEN 'p->x' || (l_partkey * 11 + l_suppkey * 17) % 2003 WHEN 4 THEN 'u.m' || l_suppkey % 3 WHEN 5 THEN 'g' || (l_partkey * 11 + l_suppkey * 17) % 2003 WHEN 6 THEN 's' WHEN 7 THEN 'p' ELSE 'dst' END AS rhs,
+  CASE WHEN l_quantity > 44 THEN 'f' || l_partkey % 3000 ELSE '' END AS rhs_call, CAST((l_orderkey - l_orderkey % 3000) / 3000 AS INT) * 10 + l_linenumber AS line FROM lineitem""",
+    "flow_params": "SELECT 'f' || o_orderkey AS fn, 0 AS idx, 'p' AS name FROM orders WHERE o_orderkey < 3000 AND o_orderkey % 2 = 0",
+    "flow_returns": "SELECT 'f' || o_orderkey % 3000 AS fn, CASE o_custkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'g' || o_custkey * 11 % 2003 ELSE 'p->x' || o_custkey * 7 % 2003 END AS var, CAST((o_orderkey - o_orderkey % 3000) / 3000 AS INT) AS line FROM orders WHERE o_custkey % 4 = 0",
+    "flow_calls": "SELECT 'f' || o_orderkey % 3000 AS fn, 'f' || o_custkey * 2 % 3000 AS target, CAST((o_orderkey - o_orderkey % 3000) / 3000 AS INT) AS line, 0 AS idx, CASE o_custkey % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'p' WHEN 2 THEN 'g' || o_custkey * 11 % 2003 ELSE 's.y1' END AS text FROM orders WHERE o_orderkey % 5 < 2",
+    "flow_unions": "SELECT 'f' || o_orderkey AS fn, 'u' AS name FROM orders WHERE o_orderkey < 3000 AND o_orderkey % 3 = 0",
+    "flow_copies": "SELECT 'f' || o_orderkey AS fn, 'dst' AS dst, CASE o_orderkey % 2 WHEN 0 THEN 'b' ELSE 'u.m1' END AS src FROM orders WHERE o_orderkey < 3000 AND o_orderkey % 7 < 3",
+    "flow_locals": "SELECT 'f' || o_orderkey AS fn, 'g' || o_orderkey * 3 % 2003 AS name FROM orders WHERE o_orderkey < 3000 UNION ALL SELECT DISTINCT 'f' || l_orderkey % 3000, 'a' FROM lineitem UNION ALL SELECT DISTINCT 'f' || l_orderkey % 3000, 'b' FROM lineitem",
+    "flow_sinks": """SELECT CAST(l_orderkey * 10 + l_linenumber AS STRING) AS sink_id, 'regs->r' || l_linenumber || ' = ' || CASE l_partkey % 6 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'p->x' || (l_partkey * 11 + l_suppkey * 17) % 2003 WHEN 3 THEN 'u.m0' WHEN 4 THEN 's' ELSE 'g' || (l_partkey * 11 + l_suppkey * 17) % 2003 END AS sink, 'f' || l_orderkey % 3000 AS fn,
+  CAST((l_orderkey - l_orderkey % 3000) / 3000 AS INT) * 10 + l_linenumber AS line, CASE l_partkey % 6 WHEN 0 THEN 'a' WHEN 1 THEN 'b' WHEN 2 THEN 'p->x' || (l_partkey * 11 + l_suppkey * 17) % 2003 WHEN 3 THEN 'u.m0' WHEN 4 THEN 's' ELSE 'g' || (l_partkey * 11 + l_suppkey * 17) % 2003 END AS var, 0 AS pos FROM lineitem WHERE l_suppkey = 7""",
+}
+
+
+@query(
+    "SELECT fn, name, coalesce(CASE WHEN next IS NULL THEN cur ELSE list_min(path[list_position(path, next):]) END, cur) AS origin FROM ends WHERE name <> coalesce(CASE WHEN next IS NULL THEN cur ELSE list_min(path[list_position(path, next):]) END, cur)",
+    "al AS (SELECT fn, lhs AS name, arg_max(rhs, (line, rhs)) AS origin FROM alias_writes WHERE lhs <> rhs GROUP BY fn, lhs)",
+    "chase AS (SELECT fn, name, origin AS cur, [name, origin] AS path FROM al UNION ALL SELECT c.fn, c.name, al.origin, list_append(path, al.origin) FROM chase c JOIN al ON al.fn = c.fn AND al.name = c.cur WHERE NOT list_contains(path, al.origin))",
+    "ends AS (SELECT c.fn, c.name, c.cur, c.path, al.origin AS next FROM chase c LEFT JOIN al ON al.fn = c.fn AND al.name = c.cur WHERE al.origin IS NULL OR list_contains(c.path, al.origin))",
+)
+def alias_closure(spark, d):
+    """What each alias stands for at the end of its chain, however long; cycles by their least name."""
+    return pointsto.closed_aliases(relations.aliases(view(spark, d, "alias_writes")))
+
+
+def _rounds(n: int) -> list[str]:
+    """Targets and copies after each of n rounds, written out."""
+    parts = ["p0 AS MATERIALIZED (SELECT DISTINCT loc, target FROM pt_bases)", "e0 AS MATERIALIZED (SELECT DISTINCT src, dst FROM pt_copies)"]
+    for k in range(n):
+        parts.append(f"p{k + 1} AS MATERIALIZED (SELECT loc, target FROM p{k} UNION SELECT dst, target FROM p{k} JOIN e{k} ON src = loc)")
+        parts.append(f"e{k + 1} AS MATERIALIZED (SELECT src, dst FROM e{k} UNION SELECT a.loc, m.loc FROM p{k} p JOIN pt_calls c ON c.loc = p.loc JOIN pt_args a ON a.call = c.call JOIN pt_params m ON m.target = p.target AND m.idx = a.idx)")
+    return parts
+
+
+@query("SELECT DISTINCT call, target FROM p40 p JOIN pt_calls c ON c.loc = p.loc", *_rounds(40))
+def call_targets(spark, d):
+    """The functions that each call may enter, by copies of pointers and by arguments of calls that are found on the way."""
+    return pointsto.points_to(*(view(spark, d, f"pt_{k}") for k in ("bases", "copies", "calls", "args", "params")))[1]
+
+
+def _flow(spark: SparkSession, d: str) -> backward.Facts:
+    a, calls = view(spark, d, "flow_assigns"), view(spark, d, "flow_calls")
+    returns = view(spark, d, "flow_returns").withColumn("vars", F.array("var"))
+    made = a.withColumn("rhs_vars", F.array("rhs")).withColumn("transform", F.lit("assign"))
+    return backward.Facts(made, calls.withColumn("vars", F.array("text")), view(spark, d, "flow_params"), returns, view(spark, d, "flow_unions"), view(spark, d, "flow_copies"), view(spark, d, "flow_locals"))
+
+
+_DEPTH = 4
+_TAIL = r"regexp_extract({}, '^\w+?(([.]|->).*)?$', 1)"
+_HEAD = r"regexp_extract({}, '^\w+')"
+
+
+def _trace_sql() -> list[str]:
+    head, tail = _HEAD.format, _TAIL.format
+    key = lambda rank, at, sub, pos: f"'{rank:02d}' || lpad(({at})::VARCHAR, 10, '0') || {sub} || lpad(({pos})::VARCHAR, 4, '0') || to_fn || ':' || to_var"
+    end = backward.END
+    return [
+        "defs AS (SELECT fn, lhs, line, min(rhs_call || chr(1) || rhs) AS d FROM flow_assigns GROUP BY ALL)",
+        "one AS MATERIALIZED (SELECT fn, lhs, line, split_part(d, chr(1), 1) AS rhs_call, split_part(d, chr(1), 2) AS rhs FROM defs)",
+        "rets AS (SELECT fn, var, row_number() OVER (PARTITION BY fn ORDER BY line, var) AS pos FROM flow_returns)",
+        f"reads AS MATERIALIZED (SELECT o.fn, lhs, line, 0 AS sub, pos, rhs_call AS to_fn, var AS to_var, {end} AS to_line FROM one o JOIN rets r ON r.fn = o.rhs_call UNION ALL SELECT fn, lhs, line, 1, 0, fn, rhs, line FROM one)",
+        f"passed AS (SELECT c.target AS fn, name AS key, c.line, c.fn AS to_fn, text AS to_var FROM flow_calls c JOIN flow_params p ON p.fn = c.target AND p.idx = c.idx)",
+        "own AS (SELECT fn, name FROM flow_locals UNION SELECT fn, name FROM flow_params)",
+        f"""moves AS MATERIALIZED (
+  SELECT DISTINCT 'def' AS rule, fn, lhs AS key, line AS since, NULL AS but, {key(3, f'{end} - line', 'sub', 'pos')} AS ord, to_fn, to_var, to_line, '' AS carry FROM reads
+  UNION SELECT 'union', fn, {head('lhs')}, NULL, lhs, {key(4, f'{end} - line', 'sub', 'pos')}, to_fn, to_var, to_line, '' FROM reads r WHERE {tail('lhs')} LIKE '.%' AND EXISTS (SELECT 1 FROM flow_unions u WHERE u.fn = r.fn AND u.name = {head('lhs')})
+  UNION SELECT 'copy', fn, dst, NULL, NULL, {key(5, '0', '0', '0')}, to_fn, to_var, NULL, '' FROM (SELECT fn, dst, fn AS to_fn, src AS to_var FROM flow_copies)
+  UNION SELECT 'part', fn, {head('lhs')}, NULL, NULL, {key(6, f'{end} - line', 'sub', 'pos')}, to_fn, to_var, to_line, '' FROM reads WHERE {tail('lhs')} <> ''
+  UNION SELECT 'param', fn, key, NULL, NULL, {key(9, 'line', '1', '0')}, to_fn, to_var, {end}, 'field' FROM passed
+  UNION SELECT 'param', fn, key, NULL, NULL, {key(9, 'line', '2', '0')}, to_fn, to_var, {end}, '' FROM passed
+  UNION SELECT 'field', '', {tail('lhs')}, NULL, fn, {key(10, 'line', 'sub', 'pos')}, to_fn, to_var, {end}, '' FROM reads WHERE sub = 1 AND {tail('lhs')} <> ''
+  UNION SELECT 'global', '', lhs, NULL, fn, {key(11, 'line', 'sub', 'pos')}, to_fn, to_var, {end}, '' FROM reads r WHERE sub = 1 AND {tail('lhs')} = '' AND NOT EXISTS (SELECT 1 FROM own WHERE own.fn = r.fn AND own.name = lhs))""",
+        r"al AS (SELECT fn, lhs AS name, arg_max(rhs, (line, rhs)) AS origin FROM flow_assigns WHERE regexp_full_match(lhs, '\w+') AND regexp_full_match(rhs, '\w+') AND lhs <> rhs GROUP BY fn, lhs)",
+        "chase AS (SELECT fn, name, origin AS cur, [name, origin] AS path FROM al UNION ALL SELECT c.fn, c.name, al.origin, list_append(path, al.origin) FROM chase c JOIN al ON al.fn = c.fn AND al.name = c.cur WHERE NOT list_contains(path, al.origin))",
+        "origins AS MATERIALIZED (SELECT * FROM (SELECT c.fn, c.name, CASE WHEN al.origin IS NULL THEN c.cur ELSE list_min(c.path[list_position(c.path, al.origin):]) END AS origin FROM chase c LEFT JOIN al ON al.fn = c.fn AND al.name = c.cur WHERE al.origin IS NULL OR list_contains(c.path, al.origin)) WHERE name <> origin)",
+        "firsts AS MATERIALIZED (SELECT fn, lhs AS var, min(line) AS first FROM one GROUP BY fn, lhs)",
+        f"parts AS MATERIALIZED (SELECT DISTINCT fn, {head('lhs')} AS var FROM one WHERE {tail('lhs')} <> '')",
+        "called AS MATERIALIZED (SELECT DISTINCT target AS fn FROM flow_calls)",
+        f"""starts AS (SELECT sink_id, '0000' AS start, sink AS label, '' AS ord, fn, var, line AS bound, [fn || ':' || var] AS steps FROM flow_sinks
+  UNION ALL SELECT sink_id, '0000@' || c.fn || ':' || lpad(c.line::VARCHAR, 10, '0'), regexp_replace(sink, '\\bp\\b', text, 'g'), lpad((k - 1)::VARCHAR, 4, '0'), c.fn, CASE WHEN k = 1 THEN text || {tail('s.var')} ELSE text END, {end}, [s.fn || ':' || s.var, c.fn || ':' || CASE WHEN k = 1 THEN text || {tail('s.var')} ELSE text END]
+  FROM flow_sinks s JOIN flow_params p ON p.fn = s.fn AND p.name = {head('s.var')} JOIN flow_calls c ON c.target = s.fn AND c.idx = p.idx, (SELECT unnest([1, 2]) AS k) WHERE k = 1 OR {tail('s.var')} <> '')""",
+        f"""walk AS (SELECT 0 AS level, sink_id, start, label, ord, fn, var, bound, steps FROM (SELECT *, row_number() OVER (PARTITION BY sink_id, start, fn, var, bound ORDER BY ord) AS k FROM starts) WHERE k = 1
+  UNION ALL (SELECT level, sink_id, start, label, ord, fn, var, bound, steps FROM (SELECT *, row_number() OVER (PARTITION BY sink_id, start, fn, var, bound ORDER BY ord) AS k FROM (
+    SELECT l.level + 1 AS level, l.sink_id, l.start, l.label, l.ord || chr(1) || q.turn || m.ord AS ord, m.to_fn AS fn, m.to_var || CASE WHEN m.carry = 'field' THEN l.more ELSE '' END AS var, coalesce(m.to_line, l.bound) AS bound,
+      list_append(l.steps, m.to_fn || ':' || m.to_var || CASE WHEN m.carry = 'field' THEN l.more ELSE '' END) AS steps
+    FROM (SELECT s.*, unnest([
+        {{'rule': 'def', 'f': fn, 'key': var, 'turn': '0', 'ok': TRUE}}, {{'rule': 'def', 'f': fn, 'key': real, 'turn': '1', 'ok': real <> var}},
+        {{'rule': 'union', 'f': fn, 'key': {head('real')}, 'turn': '1', 'ok': fresh AND member}}, {{'rule': 'copy', 'f': fn, 'key': real, 'turn': '1', 'ok': fresh AND NOT member}},
+        {{'rule': 'part', 'f': fn, 'key': real, 'turn': '1', 'ok': fresh AND {tail('real')} = ''}}, {{'rule': 'param', 'f': fn, 'key': {head('var')}, 'turn': '1', 'ok': is_param}},
+        {{'rule': 'field', 'f': '', 'key': more, 'turn': '1', 'ok': is_param AND NOT is_called AND more <> ''}},
+        {{'rule': 'global', 'f': '', 'key': var, 'turn': '1', 'ok': fresh AND NOT has_parts AND NOT is_param AND NOT is_local AND more = ''}}]) AS q
+      FROM (SELECT w.*, coalesce(f.first > w.bound, TRUE) AS fresh, t.var IS NOT NULL AS has_parts, w.in_union AND {tail('w.real')} LIKE '.%' AS member FROM (
+        SELECT w.*, {tail('w.var')} AS more, coalesce(o.origin || {tail('w.var')}, w.var) AS real, EXISTS (SELECT 1 FROM flow_unions u WHERE u.fn = w.fn AND u.name = coalesce(o.origin, {head('w.var')})) AS in_union,
+          EXISTS (SELECT 1 FROM flow_params p WHERE p.fn = w.fn AND p.name = {head('w.var')}) AS is_param, EXISTS (SELECT 1 FROM flow_locals p WHERE p.fn = w.fn AND p.name = {head('w.var')}) AS is_local,
+          EXISTS (SELECT 1 FROM called c WHERE c.fn = w.fn) AS is_called
+        FROM walk w LEFT JOIN origins o ON o.fn = w.fn AND o.name = {head('w.var')} WHERE w.level < {_DEPTH - 1} AND w.var NOT LIKE '%cfg->%') w
+        LEFT JOIN firsts f ON f.fn = w.fn AND f.var = w.real LEFT JOIN parts t ON t.fn = w.fn AND t.var = w.real WHERE w.real NOT LIKE '%cfg->%') s) l
+    JOIN moves m ON m.rule = q.rule AND m.fn = q.f AND m.key = q.key
+    WHERE q.ok AND (m.since IS NULL OR m.since <= l.bound) AND (m.but IS NULL OR m.but <> CASE WHEN q.rule = 'union' THEN l.real ELSE l.fn END) AND (m.carry <> 'field' OR l.more <> '')
+      AND NOT list_contains(l.steps, m.to_fn || ':' || m.to_var || CASE WHEN m.carry = 'field' THEN l.more ELSE '' END)) x) y WHERE k = 1))""",
+        f"hits AS (SELECT w.*, CASE WHEN w.var LIKE '%cfg->%' THEN w.var ELSE o.origin || {tail('w.var')} END AS source FROM walk w LEFT JOIN origins o ON o.fn = w.fn AND o.name = {head('w.var')} WHERE w.var LIKE '%cfg->%' OR o.origin || {tail('w.var')} LIKE '%cfg->%')",
+        "least AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY sink_id, start ORDER BY ord) = 1)",
+    ]
+
+
+@query("SELECT sink_id, start, label, source, fn AS source_fn, array_to_string(steps, ' < ') AS chain, (len(steps) - 1)::INTEGER AS hops FROM least QUALIFY row_number() OVER (PARTITION BY sink_id, source, fn, label ORDER BY start) = 1", *_trace_sql())
+def trace_backward(spark, d):
+    """The least chain from each sink, and from each call that leads to it, back to a source: all rules, with definitions by line."""
+    found = backward.trace(view(spark, d, "flow_sinks"), _flow(spark, d), [r"cfg->\w+"], _DEPTH)
+    return found.select("sink_id", "start", "label", "source", "source_fn", F.array_join(backward.told(F.col("nodes")), " < ").alias("chain"), "hops")
