@@ -9,14 +9,16 @@ articles (its mains, or its body where it has none), without what its markup nam
 navigation, headers, footers, sidebars, adverts, notices, forms, comments, scripts and styles.
 
 The count needed doesn't grow with the host, and pages with the same text count once, so that copies of a
-page don't make its content template. Templates are always cut, whatever they take of a page; only an article or
-main itself, what encloses one, and plain content elements within it (articles may share a passage) are never template.
+page don't make its content template. Templates are always cut, whatever they take of a page, but never an article or main itself or
+what encloses one. Within one only containers (divisions, sections, asides and the like) that don't stand in a run of text are template;
+links, code and other inline elements, paragraphs, headings, lists and tables never are, as articles may share words and passages.
 A class names something else only as a whole name (no-sidebar and notice-board-history don't), and an article
-within an element of such a class is taken where the page has no other.
+within an element of such a class is taken where the page has no other. Names that are topics too (social, banner, tags, related, ..)
+tell nothing of prose under a heading within an article, and nothing at all where the page would be left without text.
 
-The hot host: subtrees are pre-aggregated in each task and keyed by (host, hash), each with at most
-as many hashes of page texts as make it template. Lists are broadcast behind a size check, beyond it they are joined
-by host, where adaptive execution splits a hot host's partition.
+The hot host: subtrees are pre-aggregated in each task, each with at most as many hashes of page texts as make it template, and
+counted by distinct (host, hash, page). Templates are rows of host and hash; up to BROADCAST_ROWS of them go to the workers as one
+dictionary, beyond that they are joined to the subtrees that each distinct page has, so no page carries its host's list.
 
 Edge cases: null or empty html gives empty text; unclosed and stray tags are handled as
 browsers do in the main; text outside any element counts; rows without a url form a
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._frames import arrow_schema, quoted, stored, table, tune
+from ._frames import arrow_schema, lean, quoted, stored, table, tune
 
 #: Pages of a host, different in text, from which on a recurring subtree is template.
 LEAST_PAGES = 8
@@ -55,11 +57,13 @@ _BEFORE = "site|page|main|global|top|bottom|left|right|primary|secondary|reader|
 _AFTER = "wrapper|wrap|container|box|area|section|block|bar|list|inner|outer|links?|items?|form|buttons?|banner|notice|menu|nav|[0-9]+"
 #: Whole names of class and id that name what isn't main text: a kind, with a place before and a container behind it.
 _NAMES = re.compile(rf"(?:(?:{_BEFORE})[_-])*(?:{_KINDS})(?:[_-]?(?:{_AFTER}))*", re.I)
+#: Of these, kinds that articles are about too.
+_TOPICS = re.compile(rf"(?:(?:{_BEFORE})[_-])*(?:banner|commentary|disclaimer|footer|header|menus?|notices?|recommended|related|social|tags|widgets?)(?:[_-]?(?:{_AFTER}))*", re.I)
 #: Of these, those that tell that an article element isn't the page's own article.
 _OTHER = re.compile(rf"(?:(?:{_BEFORE})[_-])*(?:ads?|advert\w*|comments?|promos?|promoted|recommended|related|replies|reply|sponsor\w*|teasers?)(?:[_-]?(?:{_AFTER}))*", re.I)
 _HEADINGS = frozenset(("h1", "h2", "hgroup"))
-#: Content elements that, without attributes, are never template within an article: articles may share a passage.
-_PLAIN = frozenset("a b blockquote br code dd dl dt em figcaption h1 h2 h3 h4 h5 h6 i li ol p pre q s small span strong sub sup table tbody td th tr u ul".split())
+#: Blocks that hold an article's words; within it they are never template, nor is any inline element.
+_CONTENT = frozenset("blockquote br caption dd dl dt figcaption figure h1 h2 h3 h4 h5 h6 hgroup hr li ol p pre table tbody td tfoot th thead tr ul".split())
 #: Elements that a start tag closes when they are open (nearest first, not beyond these borders).
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 _ENDS_P = _BLOCK - {"br", "body", "html", "head", "option", "optgroup", "td", "th", "tr", "caption", "tbody", "thead", "tfoot", "title", "legend", "select", "button", "textarea", "canvas"}
@@ -182,16 +186,19 @@ def hashed(root: Node) -> set[int]:
 
 
 def cut(root: Node, template: frozenset) -> int:
-    """Take the template subtrees (of a hashed tree) out of a page; their number. A block leaves a border in its place."""
-    inside_all, n = not root.holds, 0
-    stack = [(root, inside_all)]
+    """Take the template subtrees (of a hashed tree) out of a page; their number. A block leaves a border in its place.
+
+    Within an article or main, or what there is where a page has neither marked, see the module's text for what is spared.
+    """
+    n, stack = 0, [(root, not root.holds)]
     while stack:
         node, inside = stack.pop()
         kept = []
+        in_text = inside and any(not isinstance(c, Node) and not c.isspace() for c in node.children)
         for c in node.children:
             if isinstance(c, Node):
-                plain = inside and not c.attrs and c.tag in _PLAIN
-                if not (plain or c.holds or c.tag in ("", "html", "body")) and (_number(c.hash) in template or c.links >= LINKS and not c.free and _number(c.shape) in template):
+                spared = inside and (in_text or c.tag not in _BLOCK or c.tag in _CONTENT)
+                if not (spared or c.holds or c.tag in ("", "html", "body")) and (_number(c.hash) in template or c.links >= LINKS and not c.free and _number(c.shape) in template):
                     n += 1
                     if c.tag in _BLOCK:
                         kept.append(Node("br"))
@@ -207,10 +214,27 @@ def _headed(node: Node) -> bool:
     return any(isinstance(c, Node) and (c.tag in _HEADINGS or any(isinstance(d, Node) and d.tag in _HEADINGS for d in c.children)) for c in node.children)
 
 
-def _dropped(node: Node, inside: bool, named: bool = True) -> bool:
-    """Whether the markup names the node as something else than main text; inside: within the article; named: class and id count."""
+def _prose(node: Node) -> bool:
+    """Whether text stands under a heading within, more of it than of links."""
+    free, links, headed, stack = 0, 0, False, [(node, False)]
+    while stack:
+        top, heading = stack.pop()
+        for c in top.children:
+            if isinstance(c, Node):
+                links += c.tag == "a"
+                is_heading = re.fullmatch("h[1-6]", c.tag) is not None
+                headed = headed or is_heading
+                if c.tag != "a" and c.tag not in _DROPPED:
+                    stack.append((c, heading or is_heading))
+            else:
+                free += not heading and not c.isspace()
+    return headed and free > links
+
+
+def _dropped(node: Node, inside: bool, named: bool = True, topics: bool = True) -> bool:
+    """Whether the markup names the node as something else than main text; inside: within the article; named: class and id count; topics: also by names that are topics too."""
     if node.tag in _DROPPED:
-        return not (node.tag == "header" and inside and _headed(node))
+        return not (node.tag == "header" and inside and (_headed(node) or any(isinstance(c, Node) and c.tag == "p" for c in node.children)))
     if not node.attrs:
         return False
     for m in _ATTRIBUTE.finditer(node.attrs):
@@ -221,7 +245,10 @@ def _dropped(node: Node, inside: bool, named: bool = True) -> bool:
             return True
         if named and name in ("class", "id") and node.tag not in ("body", "html", "main", "h1"):
             words = _OTHER if node.tag == "article" else _NAMES
-            if any(words.fullmatch(w) for w in value.split()) and not (inside and _headed(node) and "header" in value.lower()):
+            said = [w for w in value.split() if words.fullmatch(w)]
+            if any(not _TOPICS.fullmatch(w) for w in said):
+                return True
+            if said and topics and not (inside and (_headed(node) and "header" in value.lower() or _prose(node))):
                 return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
@@ -261,6 +288,11 @@ def extract(root: Node, template: frozenset = frozenset()) -> str:
 
 
 def _text(root: Node) -> str:
+    return _blocks(root, True) or _blocks(root, False)
+
+
+def _blocks(root: Node, topics: bool) -> str:
+    """The blocks of the page's main text, joined; topics: what has a class that is a topic too is left out."""
     pieces: list[str] = []
     border = "\0"
     for top in _roots(root):
@@ -271,7 +303,7 @@ def _text(root: Node) -> str:
             if isinstance(c, str):
                 pieces.append(c if c is border else _html.unescape(c).replace(border, "\ufffd") if "&" in c else c.replace(border, "\ufffd"))
                 continue
-            if c is not top and _dropped(c, top.tag != ""):
+            if c is not top and _dropped(c, top.tag != "", topics=topics):
                 if c.tag in _BLOCK:
                     pieces.append(border)
                 continue
@@ -288,7 +320,7 @@ def host(url: str = "url"):
 
 
 def templates(pages: DataFrame, url: str = "url", html: str = "html", least_pages: int = LEAST_PAGES) -> DataFrame:
-    """host, hashes: the hashes and shapes of subtrees on at least least_pages pages of the host that differ in text."""
+    """host, hash: the hashes and shapes of subtrees on at least least_pages pages of the host that differ in text."""
     tune(pages.sparkSession)
     source = pages.select(host(url).alias("host"), F.coalesce(quoted(html), F.lit("")).alias("html"))
 
@@ -298,7 +330,7 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html", least_page
             for h, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 root = parse(text)
                 found = hashed(root)
-                page = _number(blake2b(_text(root).encode("utf-8", "surrogatepass"), digest_size=8).digest())
+                page = _number(blake2b(_blocks(root, False).encode("utf-8", "surrogatepass"), digest_size=8).digest())
                 for x in found:
                     of = seen.setdefault((h, x), set())
                     if len(of) < least_pages:
@@ -306,28 +338,46 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html", least_page
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int64()), pa.array([sorted(v) for v in seen.values()], pa.list_(pa.int64()))], names=["host", "hash", "of"])
 
     # a batch names least_pages different texts or all that it has, so together they name as many where there are
-    counts = source.mapInArrow(count, "host string, hash long, of array<long>").groupBy("host", "hash").agg(F.array_distinct(F.flatten(F.collect_list("of"))).alias("of"))
-    return stored(counts.where(F.size("of") >= least_pages).groupBy("host").agg(F.collect_set("hash").alias("hashes")), "templates")
+    told = source.mapInArrow(lean(count), "host string, hash long, of array<long>").select("host", "hash", F.explode("of").alias("page"))
+    return stored(told.groupBy("host", "hash").agg(F.count_distinct("page").alias("n")).where(F.col("n") >= least_pages).select("host", "hash"), "templates")
+
+
+def hits(pages: DataFrame, found: DataFrame) -> DataFrame:
+    """page (its digest), hashes: the templates of found that each distinct page of pages (page, host, html) has."""
+
+    def own(batches):
+        for b in batches:
+            held = [sorted(hashed(parse(text))) for text in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(held, pa.list_(pa.int64()))], names=["page", "host", "hash"])
+
+    told = pages.select("page", "host", "html").mapInArrow(lean(own), "page string, host string, hash array<long>").select("page", "host", F.explode("hash").alias("hash")).distinct()
+    return told.join(found, ["host", "hash"]).groupBy("page").agg(F.collect_list("hash").alias("hashes"))
 
 
 def main_text(pages: DataFrame, found: DataFrame, url: str = "url", html: str = "html", keep=("page_id", "url")) -> DataFrame:
     """The columns of keep, and out (text, n_chars, n_template: template subtrees cut)."""
-    tune(pages.sparkSession)
-    small = found.select(F.coalesce(F.sum(F.size("hashes") + 1), F.lit(0))).first()[0] <= BROADCAST_ROWS
+    spark = tune(pages.sparkSession)
+    few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     source = pages.select(F.struct(*[quoted(c).alias(f"c{i}") for i, c in enumerate(keep)]).alias("keep"), host(url).alias("host"), F.coalesce(quoted(html), F.lit("")).alias("html"))
-    source = source.join(F.broadcast(found) if small else found, "host", "left").select("keep", "html", "hashes")
+    by_host = None
+    if few:
+        rows = found.toArrow()
+        lists: dict[str, list] = {}
+        for h, x in zip(rows.column("host").to_pylist(), rows.column("hash").to_pylist(), strict=True):
+            lists.setdefault(h, []).append(x)
+        by_host = spark.sparkContext.broadcast({h: frozenset(x) for h, x in lists.items()})
+        source = source.select("keep", "html", "host")
+    else:
+        paged = source.withColumn("page", F.sha2(F.concat("host", F.lit("\n"), "html").cast("binary"), 256))
+        source = paged.join(hits(paged, found), "page", "left").select("keep", "html", "hashes")
     schema = T.StructType([source.schema["keep"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType()), T.StructField("n_template", T.LongType())])
     want = arrow_schema(schema)
 
     def run(batches):
-        last, template = None, frozenset()
         for b in batches:
             out, gone = [], []
-            lists = b.column(2)
-            for k, text in enumerate(b.column(1).to_pylist()):
-                cell = lists[k]
-                if last is None or not cell.equals(last):
-                    last, template = cell, frozenset(cell.as_py() or ())
+            for text, of in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                template = by_host.value.get(of, frozenset()) if by_host is not None else frozenset(of or ())
                 root = parse(text)
                 if template:
                     hashed(root)
@@ -335,7 +385,7 @@ def main_text(pages: DataFrame, found: DataFrame, url: str = "url", html: str =
                 out.append(_text(root))
             yield pa.RecordBatch.from_arrays([b.column(0).cast(want.field("keep").type), pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64()), pa.array(gone, pa.int64())], schema=want)
 
-    return source.mapInArrow(run, schema).select(*[F.col(f"keep.c{i}").alias(c) for i, c in enumerate(keep)], F.struct("text", "n_chars", "n_template").alias("out"))
+    return source.mapInArrow(lean(run), schema).select(*[F.col(f"keep.c{i}").alias(c) for i, c in enumerate(keep)], F.struct("text", "n_chars", "n_template").alias("out"))
 
 
 def op2_site_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,7 +51,7 @@ def brute(rows, least=8):
     """Texts by page, with templates counted in dictionaries and pages walked by recursion."""
     trees = [S.parse(h or "") for _, _, h in rows]
     hosts = [(u or "").split("//")[-1].split("/")[0] for _, u, _ in rows]
-    own = [S.extract(S.parse(h or "")) for _, _, h in rows]
+    own = [S._blocks(S.parse(h or ""), False) for _, _, h in rows]
     seen = {}
 
     def visit(node, at):
@@ -76,7 +76,7 @@ def brute(rows, least=8):
                 number = {int.from_bytes(c.hash, "little", signed=True)}
                 if c.links >= S.LINKS and c.free == 0:
                     number.add(int.from_bytes(c.shape, "little", signed=True))
-                if number & template and not c.holds and not (inside and not c.attrs and c.tag in S._PLAIN):
+                if number & template and not c.holds and not (inside and (c.tag not in S._BLOCK or c.tag in S._CONTENT or any(isinstance(x, str) and x.strip() for x in node.children))):
                     kept.append(S.Node("br"))
                     continue
                 prune(c, inside or c.tag in ("article", "main"))
