@@ -5,11 +5,13 @@ hold a digit or an at sign, and those without that repeat what comes before the
 (jane.doe beside jane.doe@x.org). Entities keep their label; free tokens take one of five: a kind, or none. A free token has a
 potential for its shape, neighbours share a chain potential, and tokens that are repeated or similar anywhere in the document
 (same normal form, same last seven digits, same local part of an email) a skip potential; loopy sum-product passes labels
-along both. So a number or name which is personal data once is so throughout its document, and a token whose shape is mostly
-personal data is so on its own evidence.
+along both. So a number or name which is personal data once is so throughout its document. A token's shape never makes it personal
+data alone: it takes messages, from neighbours or from repeated or similar tokens, that speak for the label by themselves. A token
+that is written as a kind but fails its check (a card number whose checksum is wrong, an address with a part over 255) has that against it.
 
 Training is piecewise and in closed form, over all documents, never a sample: by shape (4096 classes) the logarithm of the odds
-that a token of that shape lies within an entity of a kind rather than in none; by pair of neighbouring labels the logarithm of
+that a token of that shape lies within an entity of a kind rather than in none, at most even; by kind the logarithm of the share of its
+entities that would fail its check, of which the base rules have seen none; by pair of neighbouring labels the logarithm of
 how much more often they meet than by chance; by sort of skip key the logarithm of the odds that two entities which share one
 are of the same kind. No weight is set by hand; counts are smoothed so that few documents decide little (PRIOR) and many no
 more than an error in a thousand allows (FLOOR). What is gathered is bounded by the number of classes.
@@ -48,6 +50,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_FOUR = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 _TRIM = "\"'`.,;:!?<>[]{}()"
 _MARK = re.compile(r"[0-9@]")
 _BREAK = re.compile(r"\s|\Z")
@@ -118,6 +121,18 @@ def _shape(token: str) -> int:
     return zlib.crc32(runs[:200].encode()) % SHAPES
 
 
+def failed(token: str) -> list[int]:
+    """Numbers of the kinds that a free token is written as, and whose check it therefore fails."""
+    out = [0] if "@" in token else []
+    if _FOUR.fullmatch(token):
+        out.append(1)
+    if _CARD.fullmatch(token) and 12 <= len(_digits(token)) <= 19 and not luhn(_digits(token)):
+        out.append(2)
+    if _PHONE.fullmatch(token):
+        out.append(3)
+    return out
+
+
 def tokens(text: str, spans):
     """Tokens that hold a digit or an at sign, or share a skip key with an entity that does: start, end, string, the kind of the first base span that each meets (-1: free), and that span's number (-1)."""
     out, k, end = [], 0, 0
@@ -192,7 +207,10 @@ CHAIN_AT, SKIP_AT, COUNTS = 5 * SHAPES, 5 * SHAPES + 25, 5 * SHAPES + 25 + 2 * l
 def counted(text: str, total: np.ndarray) -> None:
     """Add a document's counts: labels by shape, pairs of neighbouring labels, and by sort of key pairs of entities of one kind and of two."""
     toks = tokens(text, base_spans(text))
+    known = {key for t in toks if t[3] >= 0 for key in _skip_keys(t[2])}
     for t in toks:
+        if t[3] < 0 and known and not known.isdisjoint(_skip_keys(t[2])):
+            continue  # what repeats an entity is no example of a free token
         total[(t[3] + 1) * SHAPES + _shape(t[2])] += 1
     last, first = None, {}
     for node in nodes(toks):
@@ -207,11 +225,13 @@ def counted(text: str, total: np.ndarray) -> None:
 
 
 def potentials(total: np.ndarray):
-    """Shape (SHAPES, 5), chain (5, 5) and skip potentials (a sort each, 5, 5) from counts. Label 0 is no entity."""
+    """Shape (SHAPES, 5), chain (5, 5), skip (a sort each, 5, 5) and failed check (5) potentials from counts. Label 0 is no entity."""
     by_shape = total[:CHAIN_AT].reshape(5, SHAPES).T.astype(float)
     free = by_shape[:, :1]
     shape = np.log((by_shape + 0.1 + FLOOR_SHAPE * free) / (free + 0.9 + FLOOR_SHAPE * by_shape))
+    shape = np.minimum(shape, 0)  # what the base rules left free is no likelier an entity than not
     shape[:, 0] = 0
+    check = np.concatenate([[0], np.log(np.maximum(0.5 / (by_shape.sum(axis=0)[1:] + 1), FLOOR_SHAPE))])
     near = total[CHAIN_AT:SKIP_AT].reshape(5, 5).astype(float)
     rows, cols = near.sum(axis=1) + 1, near.sum(axis=0) + 1
     chance = rows[:, None] * cols[None, :] / (rows.sum() * cols.sum())
@@ -220,7 +240,7 @@ def potentials(total: np.ndarray):
     same, other = total[SKIP_AT:COUNTS].reshape(len(SORTS), 2).T.astype(float)
     agree = np.log((same + PRIOR_SKIP) / (other + 0.5 + FLOOR_SKIP * same))
     skip = agree[:, None, None] * np.diag([0.0, 1, 1, 1, 1])[None]
-    return shape, chain, skip
+    return shape, chain, skip, check
 
 
 def train(docs: DataFrame, text: str = "text"):
@@ -268,12 +288,14 @@ def marginals(unary: np.ndarray, edges: np.ndarray, kinds: np.ndarray, potential
 
 def field(toks, model):
     """A document's nodes, their unary potentials, edges, and each edge's table: 0 chain, then a sort of skip key each."""
-    shape, _, _ = model
+    shape, check = model[0], model[3]
     found = nodes(toks)
     unary = np.zeros((len(found), 5))
     for k, node in enumerate(found):
         if node[2] < 0:
             unary[k] = shape[_shape(node[3][0])]
+            for kind in failed(node[3][0]):
+                unary[k, kind + 1] += check[kind + 1]
         else:
             unary[k] = -1e3
             unary[k, node[2] + 1] = 0
@@ -305,7 +327,10 @@ def label(toks, model):
         return []  # no message could turn a node
     p = marginals(unary, edges, kinds, np.concatenate([model[1][None], model[2]]))
     best = p.argmax(axis=1)
-    return [(found[k][0], int(best[k]) - 1, found[k][1]) for k in free if best[k] and p[k, best[k]] >= 0.5]
+    # what messages add to a node's own evidence
+    told = np.log(np.maximum(p, 1e-300))
+    told = told - told[:, :1] - unary + unary[:, :1]
+    return [(found[k][0], int(best[k]) - 1, found[k][1]) for k in free if best[k] and p[k, best[k]] >= 0.5 and told[k, best[k]] > 1e-9]
 
 
 def _joined(spans) -> str:

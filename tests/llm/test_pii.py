@@ -50,9 +50,8 @@ def test_repeated_tokens_agree_and_clean_text_stays(spark, folder):
     text = docs[30][1]
     added = set(spans[100].split(",")) - {f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in brute(text)}
     assert {(x.split(":")[0], text[int(x.split(":")[1]) : int(x.split(":")[2])]) for x in added} == {("phone", "555-3296"), ("email", "bosbt.42")}
-    # without the phone number beside it, a number of its shape is one on its own evidence; the name is not
-    assert [docs[31][1][int(a) : int(b)] for _, a, b in (x.split(":") for x in spans[101].split(","))] == ["555-3296"]
-    assert spans[102] == ""
+    # without the phone number beside it, neither is: a shape decides nothing alone
+    assert spans[101] == spans[102] == ""
 
 
 def test_field_against_all_labellings():
@@ -76,13 +75,14 @@ def test_field_against_all_labellings():
             mass /= mass.sum(axis=1, keepdims=True)
             if len({*map(tuple, edges.tolist())}) == len(edges) < len(found):  # a forest: messages are exact
                 assert np.allclose(pii.marginals(unary, edges, kinds, pots, 20), mass, atol=1e-6)
-            want = [(f[0], int(m.argmax()) - 1, f[1]) for f, m in zip(found, mass) if f[2] < 0 and m.argmax() and m.max() >= 0.5]
+            own = unary - unary[:, :1]
+            want = [(f[0], int(m.argmax()) - 1, f[1]) for f, m, u in zip(found, mass, own) if f[2] < 0 and m.argmax() and m.max() >= 0.5 and np.log(m.max() / m[0]) > u[m.argmax()] + 1e-9]
             assert pii.label(toks, model) == want, t
 
 
 def test_training_decides():
     """The same text, another corpus, another label."""
-    text = "Take 555-3296 with you, as said."
+    text = "Take +1 (269) 555-3296 with you, and as was said before on paper 555-3296."
     counts = []
     for other in ("Call +1 (269) 555-3296 today.", "Part 555-3296 is out."):
         total = np.zeros(pii.COUNTS, np.int64)
@@ -92,6 +92,66 @@ def test_training_decides():
     assert [len(c) for c in counts] == [1, 0]
 
 
+def hard(seed=5, n=400):
+    """Documents with labelled tokens: entities of the base rules, repeats and similar forms of them, and what only looks like one."""
+    rng = random.Random(seed)
+    number = lambda k: "".join(rng.choice("123456789") for _ in range(k))
+
+    def card(good):
+        while True:
+            d = number(16)
+            if pii.luhn(d) == good:
+                return d
+
+    docs = []
+    for i in range(n):
+        phone, mail = f"+1 ({number(3)}) {number(3)}-{number(4)}", f"{rng.choice(['ada', 'bo', 'cy'])}.{number(4)}@mail{number(1)}.example.com"
+        parts, same, other = [f"Write to {mail} or call {phone} now."], [], []
+        if i % 3 == 0:
+            same += [phone[-8:], mail.split("@")[0]]
+        if i % 2 == 0:
+            other += [card(False), f"{number(4)}-{number(4)}-{number(4)}-{number(3)}x", f"v{number(1)}.{number(1)}.{number(2)}"]
+        if i % 4 == 0:
+            other += ["300.12.7.1", f"{number(2)}.{number(2)}.{number(4)}", f"{number(3)}-{number(4)}", "19" + number(2), f"user@{number(3)}"]
+        parts += [f"card {card(True)} was charged."] if i % 5 == 0 else []
+        words = " and then some more of these words came along "
+        docs.append((i, words.join([*parts, *rng.sample(same + other, len(same + other)), "end."]), set(same), set(other)))
+    return docs
+
+
+def test_precision_and_recall_on_hard_negatives(spark, folder):
+    docs = hard()
+    spans = {r.doc_id: r.spans for r in pii.op6_pii(spark, folder([(i, t) for i, t, _, _ in docs])).collect()}
+    right = wrong = missed = 0
+    for i, text, same, other in docs:
+        base = {f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in brute(text)}
+        added = [text[int(a) : int(b)] for _, a, b in (x.split(":") for x in set(spans[i].split(",")) - base)]
+        right += sum(x in same for x in added)
+        wrong += sum(x not in same for x in added)
+        missed += len(same - set(added))
+        assert not other & {x for x in added if len(x) == 16}  # no card whose checksum is wrong
+    assert right / (right + wrong) >= 0.98 and right / (right + missed) >= 0.95, (right, wrong, missed)
+
+
+def test_potentials_between_tokens_decide():
+    """Without skip potentials repeats stay free; without chain potentials the groups of a number beside an entity do."""
+    total = np.zeros(pii.COUNTS, np.int64)
+    for _, text, _, _ in hard():
+        pii.counted(text, total)
+    shape, chain, skip, check = pii.potentials(total)
+    labels = lambda t, *model: pii.label(pii.tokens(t, pii.base_spans(t)), model)
+    docs = [t for _, t, same, _ in hard(6, 60) if same]
+    assert all(labels(t, shape, chain, skip, check) for t in docs)
+    assert not any(labels(t, shape, chain, skip * 0, check) for t in docs)
+    listed = np.zeros(pii.COUNTS, np.int64)
+    for k in range(60):
+        pii.counted(f"Call +1 (269) 555-{1000 + k}, +1 (269) 777-{2000 + k} today, as 12 men of 30 said.", listed)
+    shape, chain, skip, check = pii.potentials(listed)
+    text = "Call +1 (269) 555-1234, 888-4321, +1 (269) 777-9999 today."
+    assert [text[a:b] for a, _, b in labels(text, shape, chain, skip, check)] == ["888-4321"]
+    assert not labels(text, shape, chain * 0, skip, check)
+
+
 def test_tokens_see_every_span():
     text = "1.2.3.4,1.2.3.5,1.2.3.6,1.2.3.7,1.2.3.8,a@b.cc,4111111111111111"
     assert pii.tokens(text, pii.base_spans(text))[0][3:] == (1, 0)
