@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +22,20 @@ BATCH_ROWS = 2000
 BATCH_BYTES = 8 << 20
 
 
+_recorders: list[list[str]] = []
+
+
+@contextmanager
+def recorded():
+    """The folders that shared_dir makes within."""
+    made: list[str] = []
+    _recorders.append(made)
+    try:
+        yield made
+    finally:
+        _recorders.pop()
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share: below spark.checkpoint.dir, which is set only where it is unset and the master local."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -29,7 +45,10 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         root = "file://" + tempfile.mkdtemp(prefix="quernstone-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    for made in _recorders:
+        made.append(path)
+    return path
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -63,10 +82,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Remove a folder below the shared one that nothing will read again."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Remove folders below the shared one that nothing will read again, and let Spark drop the shuffles of frames that are gone."""
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def quoted(name: str) -> Column:

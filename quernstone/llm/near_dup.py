@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._frames import lean, map_text, quoted, stored, table, tune, unpacked
+from ._frames import discard, lean, map_text, quoted, recorded, stored, table, tune, unpacked
 from ._text import LOWER, SPACE, blocks, mix, shingles, spans_hash, word_spans
 
 REGISTERS, BITS = 1024, 10
@@ -319,8 +319,16 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, k: int, text: str, key: str)
 
 
 def grouped(spark: SparkSession, docs: DataFrame, k: int = 4, threshold: float = 0.8, text: str = "text", key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """rows (key as c0, name, n_shingles: one a document) and classes (name, doc: smallest key, id, component: smallest key of its component, lead: name of the class that stands for the component)."""
+    """rows (key as c0, name, n_shingles: one a document) and classes (name, doc: smallest key, id, component: smallest key of its component, stands: name of the class that stands for the component). What else is written on the way is removed."""
     tune(spark)
+    with recorded() as made:
+        rows, classes = _grouped(docs, k, threshold, text, key)
+    rows, classes = stored(rows, "names"), stored(classes, "components")
+    discard(spark, *made)
+    return rows, classes
+
+
+def _grouped(docs: DataFrame, k: int, threshold: float, text: str, key: str) -> tuple[DataFrame, DataFrame]:
     rows = stored(sketch(docs, k, text, (key,)).select(quoted(key).alias("c0"), "out.*"), "sketches")
     classes = stored(
         rows.where("n_shingles > 0").groupBy("name").agg(F.min("c0").alias("doc"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")).withColumn("id", F.monotonically_increasing_id()), "classes"
