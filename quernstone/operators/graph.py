@@ -118,21 +118,37 @@ def paths(edges: DataFrame, starts: DataFrame, length: int, fan_out: int | None
 def paths_between(edges: DataFrame, starts: DataFrame, targets: DataFrame, cutoff: int = 15, most: int | None = 20) -> DataFrame:
     """path: simple paths of 1 to cutoff edges from the starts (id) to the targets (id), the most shortest, ties by path.
 
-    Only edges that still reach a target within what is left of cutoff are followed.
+    Best first: a partial path can't become shorter than its edges and the fewest that its end still needs. Those that can be of the
+    least length are followed to the end, the others wait, and the length grows only while fewer than most paths are found. So
+    no more partial paths are made than there are of the length of the last path returned, and none that can't reach a target within cutoff.
     """
     step = checkpointed(simple(edges).join(within(edges, targets, cutoff).select(F.col("id").alias("dst"), "left"), "dst"))
-    front = starts.select(F.array("id").alias("path")).distinct()
-    goal = targets.select(F.col("id").alias("goal")).distinct()
-    found = None
-    for n in range(1, cutoff + 1):
-        nxt = front.join(step, F.element_at("path", -1) == F.col("src")).where((F.col("left") <= cutoff - n) & ~F.array_contains("path", F.col("dst")))
-        front = checkpointed(nxt.select(F.concat("path", F.array("dst")).alias("path")))
-        if front.isEmpty():
+    goal = checkpointed(targets.select(F.col("id").alias("goal"), F.lit(True).alias("there")).distinct())
+    waiting = checkpointed(starts.select(F.array("id").alias("path")).distinct().withColumn("least", F.lit(1)))
+    found, n = None, 0
+    while most is None or n < most:
+        length = waiting.agg(F.min("least")).first()[0]
+        if length is None:
             break
-        here = front.join(goal, F.element_at("path", -1) == F.col("goal"), "left_semi")
-        found = here if found is None else found.unionByName(here)
+        front, parked = waiting.where(F.col("least") <= length), [waiting.where(F.col("least") > length)]
+        while True:
+            nxt = front.join(step, F.element_at("path", -1) == F.col("src")).where(~F.array_contains("path", F.col("dst")))
+            grown = nxt.select(F.concat("path", F.array("dst")).alias("path"), (F.size("path") + F.col("left")).alias("least")).where(F.col("least") <= cutoff)
+            grown = checkpointed(grown.join(goal, F.element_at("path", -1) == F.col("goal"), "left").select("path", "least", F.coalesce("there", F.lit(False)).alias("there")))
+            if grown.isEmpty():
+                break
+            # a path that has arrived may go on to a further target, by one edge more at least
+            done, on = grown.where("there").select("path"), grown.select("path", F.when(F.col("there"), F.col("least") + 1).otherwise(F.col("least")).alias("least")).where(F.col("least") <= cutoff)
+            found = done if found is None else found.unionByName(done)
+            parked.append(on.where(F.col("least") > length))
+            front = on.where(F.col("least") <= length)
+        waiting = parked[0]
+        for more in parked[1:]:
+            waiting = waiting.unionByName(more)
+        waiting = checkpointed(waiting)
+        n = found.count() if most is not None and found is not None else n
     if found is None:
-        found = front.limit(0)
+        found = waiting.select("path").limit(0)
     return found.orderBy(F.size("path"), "path").limit(most) if most else found
 
 
@@ -199,14 +215,64 @@ def chains(edges: DataFrame, starts: DataFrame, depth: int = 6, fan_out: int = 5
     return done.orderBy("path").limit(most) if most else done
 
 
-def cycles(edges: DataFrame, length: int = 6) -> DataFrame:
-    """path: elementary cycles of at most length edges, each once, from its smallest node on (which isn't repeated at the end)."""
-    step = checkpointed(simple(edges))
+def strong_components(edges: DataFrame) -> DataFrame:
+    """id, component (its least id): nodes of strongly connected components of two nodes or more.
+
+    Every node gets a random label and takes the least label that reaches it and the least that it reaches. Nodes of one component
+    agree in both. Where the two are one label, its node and all that have it are a component; edges between
+    nodes that differ are cut, nodes without an edge in or out are trimmed, and the rest is labelled anew.
+    """
+    left = checkpointed(simple(edges).where("src <> dst"))
+    found, turn = node_ids(left).limit(0).select("id", F.lit(None).cast("long").alias("label")), 0
+    while True:
+        n = left.count()
+        while n:
+            into, out = left.select(F.col("dst").alias("src")).distinct(), left.select(F.col("src").alias("dst")).distinct()
+            left = checkpointed(left.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst"))
+            before, n = n, left.count()
+            if n == before:
+                break
+        if not n:
+            break
+        turn += 1
+        label = F.xxhash64("id", F.lit(turn))
+        at = checkpointed(node_ids(left).select("id", label.alias("from"), label.alias("to"), F.lit(True).alias("new")))
+        while not at.where("new").isEmpty():
+            new = at.where("new")
+            on = left.join(new, left["src"] == new["id"]).select(F.col("dst").alias("id"), F.col("from").alias("f"), F.lit(None).cast("long").alias("t"))
+            back = left.join(new, left["dst"] == new["id"]).select(F.col("src").alias("id"), F.lit(None).cast("long").alias("f"), F.col("to").alias("t"))
+            told = on.unionByName(back).groupBy("id").agg(F.min("f").alias("f"), F.min("t").alias("t"))
+            less = F.coalesce(F.col("f") < F.col("from"), F.lit(False)) | F.coalesce(F.col("t") < F.col("to"), F.lit(False))
+            at = checkpointed(at.join(told, "id", "left").select("id", F.least("from", "f").alias("from"), F.least("to", "t").alias("to"), less.alias("new")))
+        found = found.unionByName(at.where(F.col("from") == F.col("to")).select("id", F.col("from").alias("label")))
+        end = lambda e: at.where(F.col("from") != F.col("to")).select(F.col("id").alias(e), F.struct("from", "to").alias(f"c_{e}"))  # noqa: B023,E731
+        left = checkpointed(left.join(end("src"), "src").join(end("dst"), "dst").where("c_src = c_dst").select("src", "dst"))
+    least = found.groupBy("label").agg(F.min("id").alias("component"), F.count("*").alias("n")).where("n > 1")
+    return found.join(least, "label").select("id", "component")
+
+
+def cycles(edges: DataFrame, length: int | None = None) -> DataFrame:
+    """path: elementary cycles, each once, from its smallest node on (which isn't repeated at the end); of at most length edges where that is given.
+
+    Without a length, only edges within strongly connected components are searched, from all nodes at once; a component's
+    number of nodes bounds the rounds. Their number is exponential by nature; a length bounds it.
+    """
+    step = simple(edges)
+    if length is None:
+        own = checkpointed(strong_components(step))
+        end = lambda e: own.select(F.col("id").alias(e), F.col("component").alias(f"c_{e}"))
+        inner = step.join(end("src"), "src").join(end("dst"), "dst").where("c_src = c_dst").select("src", "dst")
+        step = inner.unionByName(step.where("src = dst")).distinct()
+    step = checkpointed(step)
     front = step.where("src <= dst").select(F.array("src").alias("path"), F.col("dst").alias("next"))
     found = front.where(F.element_at("path", 1) == F.col("next")).select("path")
     front = front.where(F.element_at("path", 1) < F.col("next"))
-    for _ in range(length - 1):
+    n = 1
+    while length is None or n < length:
+        n += 1
         nxt = checkpointed(front.join(step, F.col("next") == F.col("src")).where("dst >= path[0]").select(F.concat("path", F.array("next")).alias("path"), F.col("dst").alias("next")))
+        if nxt.isEmpty():
+            break
         found = found.unionByName(nxt.where("next = path[0]").select("path"))
         front = nxt.where(~F.array_contains("path", F.col("next")))
     return found

@@ -21,3 +21,15 @@ def resolve(wanted: DataFrame, files: DataFrame) -> DataFrame:
     found = asked.join(exact, "want", "left").join(by_suffix, "want", "left").withColumn("base", base("want")).join(unique, "base", "left")
     tier = F.when(F.col("f1").isNotNull(), 1).when(F.col("f2").isNotNull(), 2).when(F.col("f3").isNotNull(), 3)
     return wanted.join(found.select("want", F.coalesce("f1", "f2", "f3").alias("file_id"), tier.alias("tier")), "want", "left")
+
+
+def owning_roots(files: DataFrame, roots: DataFrame) -> DataFrame:
+    """files (path, ..) with root: the longest of roots (root) that holds the path as a folder or is the path; null where none does.
+
+    An equi-join on the folders around each path, of which there are as many as it has parts; roots are never compared with all paths.
+    """
+    known = roots.select(F.rtrim(F.col("root"), F.lit("/")).alias("folder"), "root").groupBy("folder").agg(F.min("root").alias("root"))
+    parts = F.split(F.rtrim(F.col("path"), F.lit("/")), "/")
+    asked = files.select("path").distinct().select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("folder"))
+    found = asked.join(known, "folder").groupBy("path").agg(F.max_by("root", F.length("folder")).alias("root"))
+    return files.join(found, "path", "left")

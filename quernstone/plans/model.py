@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import condition, kconfig_default, kconfig_type, snippet
-from ..operators import backward, catalog, exports, graph, lookups, pointsto, relations, store, taint
+from ..operators import backward, catalog, exports, graph, lookups, pointsto, relations, resolve, store, taint
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -201,10 +201,10 @@ def insert_calls(spark, d):
     return store.linked_calls(view(spark, d, "raw_calls"), view(spark, d, "symbols")).select("call_id", "caller_id", "callee_id")
 
 
-@query("SELECT a.call_id, a.arg_index AS idx, a.text AS argument, 'p' || a.arg_index AS param FROM args a WHERE arg_index < 5")
+@query("SELECT a.call_id, a.arg_index AS idx, a.text AS argument, 'p' || a.arg_index AS param FROM args a")
 def call_param_binding(spark, d):
-    """Arguments on parameters: every call is of one function with parameters 1 to 4."""
-    a = view(spark, d, "args").where("arg_index < 5")
+    """Arguments on parameters: every call is of one function with parameters 1 to 7."""
+    a = view(spark, d, "args")
     listed = a.groupBy("call_id", "arg_index").agg(F.collect_list("text").alias("ts")).select("call_id", F.lit("f").alias("callee"), "arg_index", F.explode("ts").alias("text"))
     args = listed.select("call_id", "callee", F.concat(F.array_repeat(F.lit(None).cast("string"), F.col("arg_index")), F.array("text")).alias("args"))
     params = spark.range(1, 8).select(F.lit("f").alias("function"), F.col("id").cast("int").alias("idx"), F.concat(F.lit("p"), F.col("id").cast("string")).alias("name"))
@@ -244,12 +244,13 @@ def spec_sources(spark, d):
     return lookups.ordered_distinct(view(spark, d, "paths"), "sink_var", "source_var", "path_id").select("sink_var", F.array_join("values", "|").alias("source_vars"))
 
 
-_FINGERPRINT = [f"l{k} AS (SELECT k // 4096 AS k, sha256(string_agg(d, chr(10) ORDER BY k)) AS d FROM {f'l{k - 1}' if k else 'l'} GROUP BY k // 4096)" for k in range(6)]
+_FINGERPRINT = [f"l{k} AS (SELECT k // 4096 AS k, sha256(string_agg(d, chr(10) ORDER BY k, d)) AS d FROM {f'l{k - 1}' if k else 'l'} GROUP BY k // 4096)" for k in range(6)]
 
 
-@query("SELECT d AS fingerprint FROM l5", "l AS (SELECT file_id AS k, file_id || ':' || file_hash AS d FROM files)", *_FINGERPRINT)
+@query("SELECT d AS fingerprint FROM l5", "l AS (SELECT call_id AS k, call_id || ':' || callee_name || line AS d FROM calls)", *_FINGERPRINT)
 def project_fingerprint(spark, d):
-    return catalog.fingerprint(view(spark, d, "files"), "file_id", F.col("file_hash"))
+    """Over the calls, so that the tree branches: 60,000 rows stand in 15 leaves and more."""
+    return catalog.fingerprint(view(spark, d, "calls"), "call_id", F.concat("callee_name", F.col("line").cast("string")))
 
 
 @query("SELECT config_key AS gating, string_agg(DISTINCT kind, ',' ORDER BY kind) AS gated FROM usages GROUP BY config_key UNION ALL SELECT kind, string_agg(DISTINCT config_key, ',' ORDER BY config_key) FROM usages GROUP BY kind")
@@ -563,3 +564,37 @@ def trace_backward(spark, d):
     """The least chain from each sink, and from each call that leads to it, back to a source: all rules, with definitions by line."""
     found = backward.trace(view(spark, d, "flow_sinks"), _flow(spark, d), [r"cfg->\w+"], _DEPTH)
     return found.select("sink_id", "start", "label", "source", "source_fn", F.array_join(backward.told(F.col("nodes")), " < ").alias("chain"), "hops")
+
+
+# --- whole cycles, long paths, roots
+
+VIEWS |= {
+    "ring_edges": "SELECT c_custkey AS src, c_custkey - c_custkey % 12 + (c_custkey + 1) % 12 AS dst FROM customer WHERE c_custkey % 144 < 132 UNION ALL SELECT c_custkey, c_custkey - c_custkey % 12 + (c_custkey + 5) % 12 FROM customer WHERE c_custkey % 4 = 1 UNION ALL SELECT c_custkey, c_custkey + 12 FROM customer WHERE c_custkey % 5 = 0 AND c_custkey % 36 < 24",
+    "page_roots": "SELECT DISTINCT regexp_extract(url, '^([a-z]+://[^/]+/)', 1) AS root FROM pages UNION SELECT DISTINCT regexp_extract(url, '^([a-z]+://[^/]+/[^/]+)/', 1) FROM pages WHERE page_id % 3 = 0 UNION SELECT url FROM pages WHERE page_id % 7 = 0",
+    "page_paths": "SELECT page_id, url || CASE page_id % 3 WHEN 0 THEN '' WHEN 1 THEN '/src/a.c' ELSE 'x/b.c' END AS path FROM pages",
+}
+
+
+@query(
+    "SELECT array_to_string(list_transform(p, lambda x: x::VARCHAR), '>') AS cycle FROM w WHERE nxt = p[1]",
+    "e AS (SELECT DISTINCT src, dst FROM ring_edges)",
+    "w AS (SELECT [src] AS p, dst AS nxt FROM e WHERE src <= dst UNION ALL SELECT list_append(p, nxt), e.dst FROM w JOIN e ON e.src = nxt WHERE NOT list_contains(p, nxt) AND e.dst >= p[1])",
+)
+def circular_all(spark, d):
+    """All elementary cycles, however long."""
+    return graph.cycles(view(spark, d, "ring_edges")).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("cycle"))
+
+
+_SIMPLE = "w AS (SELECT [src, dst] AS p FROM e WHERE src = {0} UNION ALL SELECT list_append(p, e.dst) FROM w JOIN e ON e.src = p[-1] WHERE len(p) <= 15 AND NOT list_contains(p, e.dst) AND p[-1] <> {1})"
+
+
+@query("SELECT array_to_string(list_transform(p, lambda x: x::VARCHAR), '>') AS path FROM (SELECT p FROM w WHERE p[-1] = 30 ORDER BY len(p), p LIMIT 20)", "e AS (SELECT DISTINCT src, dst FROM ring_edges WHERE src <> dst)", _SIMPLE.format(1, 30))
+def all_paths_long(spark, d):
+    """The twenty shortest simple paths of up to 15 edges."""
+    return graph.all_paths(view(spark, d, "ring_edges"), 1, 30).select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))
+
+
+@query("SELECT page_id, path, (SELECT arg_max(root, len(root)) FROM page_roots r WHERE rtrim(p.path, '/') = rtrim(r.root, '/') OR starts_with(p.path, rtrim(r.root, '/') || '/')) AS root FROM page_paths p")
+def owning_root(spark, d):
+    """The longest root that holds each path."""
+    return resolve.owning_roots(view(spark, d, "page_paths"), view(spark, d, "page_roots")).select("page_id", "path", "root")
