@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import condition, kconfig_symbol, kconfig_type
@@ -33,6 +33,47 @@ def kconfig(specs: DataFrame, depends: DataFrame | None = None, defaults: DataFr
     return rows.withColumn("block", block).groupBy("struct").agg(F.concat(F.lit('menu "'), F.first("struct"), F.lit('"\n'), F.array_join(listed, "\n\n"), F.lit("\nendmenu")).alias("text"))
 
 
+def yaml_scalar(c: Column) -> Column:
+    """A text as a YAML scalar: plain where it can be read no other way, else in single quotes."""
+    plain = c.rlike(r"^[A-Za-z_][A-Za-z0-9_.()/>*\[\]=+ -]*$") & ~c.rlike(r" $| #|: ") & ~F.lower(c).isin("true", "false", "null", "yes", "no", "on", "off", "y", "n")
+    return F.when(plain, c).otherwise(F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("''")), F.lit("'")))
+
+
+def _pair(key: str, c: Column, indent: str = "  ") -> Column:
+    return F.when(c.isNotNull() & (c != ""), F.concat(F.lit(f"{indent}{key}: "), yaml_scalar(c), F.lit("\n"))).otherwise("")
+
+
+def _list(key: str, c: Column, indent: str = "  ") -> Column:
+    items = F.array_join(F.transform(c, lambda x: F.concat(F.lit(f"{indent}- "), yaml_scalar(x), F.lit("\n"))), "")
+    return F.when(F.size(F.coalesce(c, F.array().cast("array<string>"))) > 0, F.concat(F.lit(f"{indent}{key}:\n"), items)).otherwise("")
+
+
+#: Parts of a field's entry that are lists, in order.
+LISTS = ("sinks", "transforms", "gated_by", "gates", "co_depends")
+
+
+def config_language(specs: DataFrame) -> DataFrame:
+    """struct, field, text: each field's entry of the configuration language, as YAML below config_fields; parts that are empty are left out.
+
+    specs: struct, field, type, enum, enum_values, low, high, description, and any of LISTS. Entries one after another, below the
+    line "config_fields:", are the whole; ``whole_language`` writes them so.
+    """
+    low, high = F.col("low"), F.col("high")
+    some = lambda c: c.isNotNull() & (c != "")
+    name = F.when(some(F.col("struct")), F.concat("struct", F.lit("."), "field")).otherwise(F.col("field"))
+    enum = F.when(some(F.col("enum")), F.concat(F.lit("  enum:\n"), _pair("type", F.col("enum"), "    "), _list("values", F.col("enum_values"), "    "))).otherwise("")
+    bounds = F.when(some(low) | some(high), F.concat(F.lit("  range:\n"), _pair("min", low, "    "), _pair("max", high, "    "))).otherwise("")
+    text = F.concat(F.lit("- name: "), yaml_scalar(name), F.lit("\n"), _pair("type", F.col("type")), enum, bounds, *[_list(c, F.col(c)) for c in LISTS if c in specs.columns], _pair("description", F.col("description")))
+    return specs.select("struct", "field", text.alias("text"))
+
+
+def whole_language(entries: DataFrame, path: str) -> None:
+    """The entries in order of struct and field as one YAML text in a folder of parts: the parts by name, one after another, are the file."""
+    head = entries.sparkSession.createDataFrame([("config_fields:",)], "value string")
+    body = entries.orderBy("struct", "field").select(F.expr("substring(text, 1, length(text) - 1)").alias("value"))
+    head.coalesce(1).unionByName(body).write.mode("overwrite").text(path)
+
+
 def paths_json(paths: DataFrame) -> DataFrame:
     """paths with path_json, from which from_json gives the same structure back."""
     return paths.withColumn("path_json", F.to_json(F.struct("source", "sink", "steps", "hops")))

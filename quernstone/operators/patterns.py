@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_HITS = "array<struct<pattern: string, ord: int, config_key: string, col: int>>"
 _CONTROL = r"\b(if|while|for|switch|else|elif)\b|\?"
 _RETURN, _ASSIGN, _CALL = r"\breturn\b", r"[^=!<>]=([^=]|$)", r"\w+\s*\("
 
@@ -29,15 +32,42 @@ def valid(spark: SparkSession, patterns: list[dict]) -> list[dict]:
     return out
 
 
+def literal(regex: str) -> str:
+    """Text that every match of a regex holds (the longest such run of letters that is easily seen), or nothing."""
+    if "|" in regex or "(?" in regex:
+        return ""
+    bare = re.sub(r"\\.|\[[^\]]*\]|\([^()]*\)[?*{]?", "\0", regex)
+    return max((m[1] for m in re.finditer(r"([A-Za-z_:]{2,})(?![A-Za-z_:?*{])", bare)), key=len, default="")
+
+
+def _marked(regex: str, group: int) -> Column:
+    """Matches in content as an array of key and col (from 1, of the match).
+
+    Every match is put between two marks; cut at the first of them, the line gives pieces whose lengths add up to the columns.
+    """
+    line = F.regexp_replace("content", "[\x01\x02]", " ")
+    pieces = F.split(F.regexp_replace(line, F.lit(regex), F.lit("\x01$0\x02")), "\x01")
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("cols"))
+    size = lambda p: F.length(F.replace(p, F.lit("\x02"), F.lit("")))
+    cols = F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), start, lambda a, p: F.struct((a["at"] + size(p)).alias("at"), F.concat(a["cols"], F.array(a["at"] + size(p))).alias("cols")))["cols"]
+    return F.arrays_zip(F.regexp_extract_all(line, F.lit(regex), F.lit(group)).alias("config_key"), cols.alias("col"))
+
+
 def scan(texts_lines: DataFrame, patterns: list[dict], key: str) -> DataFrame:
-    """key, line, content, pattern, ord, config_key: every match of every pattern in each line that isn't blank or a comment."""
+    """key, line, content, pattern, ord, config_key, col: every match of every pattern in each line that isn't blank or a comment.
+
+    A pattern is run on lines that hold its literal text only.
+    """
     body = texts_lines.where(~F.col("content").rlike(r"^\s*(//.*)?$"))
-    each = [F.transform(F.regexp_extract_all("content", F.lit(p["regex"]), F.lit(p["key_group"])), _hit(p["name"], i)) for i, p in enumerate(valid(texts_lines.sparkSession, patterns))]
+    each = []
+    for i, p in enumerate(valid(texts_lines.sparkSession, patterns)):
+        hits, held = F.transform(_marked(p["regex"], p["key_group"]), _hit(p["name"], i)), literal(p["regex"])
+        each.append(F.when(F.contains("content", F.lit(held)), hits).otherwise(F.array().cast(_HITS)) if held else hits)
     return body.withColumn("hit", F.explode(F.flatten(F.array(*each)))).select(key, "line", "content", "hit.*")
 
 
 def _hit(name: str, i: int):
-    return lambda k: F.struct(F.lit(name).alias("pattern"), F.lit(i).alias("ord"), k.alias("config_key"))
+    return lambda k: F.struct(F.lit(name).alias("pattern"), F.lit(i).alias("ord"), k["config_key"].alias("config_key"), k["col"].alias("col"))
 
 
 def sources(hits: DataFrame, key: str) -> DataFrame:
@@ -45,6 +75,11 @@ def sources(hits: DataFrame, key: str) -> DataFrame:
     return hits.groupBy(key, "line", "config_key").agg(F.min_by("pattern", "ord").alias("pattern"))
 
 
+def sources_at(hits: DataFrame, key: str) -> DataFrame:
+    """One row for each (key, line, col, config_key): that of the first pattern."""
+    return hits.groupBy(key, "line", "col", "config_key").agg(F.min_by("pattern", "ord").alias("pattern"))
+
+
 def usage(content: Column) -> Column:
     """CONDITION, RETURN, ASSIGNMENT, CALL_ARG or OTHER, in this order of priority."""
     return F.when(content.rlike(_CONTROL), "CONDITION").when(content.rlike(_RETURN), "RETURN").when(content.rlike(_ASSIGN), "ASSIGNMENT").when(content.rlike(_CALL), "CALL_ARG").otherwise("OTHER")

@@ -598,3 +598,24 @@ def all_paths_long(spark, d):
 def owning_root(spark, d):
     """The longest root that holds each path."""
     return resolve.owning_roots(view(spark, d, "page_paths"), view(spark, d, "page_roots")).select("page_id", "path", "root")
+
+
+@query(
+    """SELECT r_name AS struct, n_name AS field, '- name: ' || r_name || '.' || n_name || chr(10) || '  type: ' || CASE WHEN n_nationkey % 3 = 0 THEN 'enum k' || chr(10) || '  enum:' || chr(10) || '    type: k' || chr(10) || '    values:' || chr(10) || '    - A' || n_nationkey || chr(10) || '    - ''7''' ELSE 'int' END || chr(10)
+  || CASE WHEN n_nationkey % 2 = 0 THEN '  range:' || chr(10) || '    min: ''0''' || chr(10) || CASE WHEN n_nationkey % 4 = 0 THEN '    max: ''' || n_nationkey || '''' || chr(10) ELSE '' END ELSE '' END
+  || CASE WHEN n_nationkey % 5 < 2 THEN '  sinks:' || chr(10) || '  - regs->a' || n_nationkey || ' = v' || chr(10) ELSE '' END || '  description: ''no: ' || n_nationkey || '''' || chr(10) AS text FROM nation JOIN region ON n_regionkey = r_regionkey"""
+)
+def config_language(spark, d):
+    """Each field's entry of the configuration language."""
+    nation, region = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("nation", "region"))
+    k, n = F.col("n_nationkey"), F.col("n_nationkey").cast("string")
+    rows = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    typed = rows.select(F.col("r_name").alias("struct"), F.col("n_name").alias("field"), F.when(k % 3 == 0, "enum k").otherwise("int").alias("type"), F.when(k % 3 == 0, "k").alias("enum"), F.array(F.concat(F.lit("A"), n), F.lit("7")).alias("enum_values"), F.when(k % 2 == 0, "0").alias("low"), F.when(k % 4 == 0, n).alias("high"), F.when(k % 5 < 2, F.array(F.concat(F.lit("regs->a"), n, F.lit(" = v")))).alias("sinks"), F.concat(F.lit("no: "), n).alias("description"))
+    return exports.config_language(typed)
+
+
+@query("SELECT array_to_string(list_transform(p, lambda x: x::VARCHAR), '>') AS path FROM (SELECT [id] AS p FROM d WHERE id NOT IN (SELECT src FROM e) UNION SELECT p FROM w WHERE len(p) = 3 OR p[-1] NOT IN (SELECT src FROM e)) ORDER BY p LIMIT 30", f"e AS (SELECT src, dst FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst) AS k FROM (SELECT DISTINCT src, dst FROM ({_EDGES}))) WHERE k <= 5)", "d AS (SELECT DISTINCT symbol_id AS id FROM usages WHERE config_key = 'purchase' AND symbol_id IS NOT NULL)", "w AS (SELECT [src, dst] AS p FROM e WHERE src IN (SELECT id FROM d) UNION ALL SELECT list_append(p, e.dst) FROM w JOIN e ON e.src = p[-1] WHERE len(p) <= 2)")
+def trace_config_chains(spark, d):
+    """The call chains from the functions that use a key."""
+    _, found = graph.trace_config(view(spark, d, "usages"), lookups.call_edges(view(spark, d, "calls"), view(spark, d, "files")), "purchase", depth=2)
+    return found.select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"))

@@ -208,6 +208,25 @@ UNION ALL SELECT page_id, line, content, 'class', 1, unnest(regexp_extract_all(c
 UNION ALL SELECT page_id, line, content, 'any', 2, unnest(regexp_extract_all(content, '[a-z]+="([^"]+)"', 1)) FROM ({_LINES})"""
 
 
+def _marked(name: str, ord_: int, regex: str) -> str:
+    marked = f"string_split(regexp_replace(content, '{regex}', chr(1) || '\\0' || chr(2), 'g'), chr(1))"
+    return f"SELECT page_id, line, '{name}' AS pattern, {ord_} AS ord, unnest(regexp_extract_all(content, '{regex}', 1)) AS config_key, unnest(list_transform(range(1, len({marked})), lambda k: (1 + len(replace(array_to_string({marked}[1:k], ''), chr(2), '')))::INTEGER)) AS col FROM ({_LINES})"
+
+
+_MARKED = " UNION ALL ".join(_marked(p["name"], i, p["regex"]) for i, p in enumerate(_PATTERNS))
+
+
+@query(f"SELECT page_id, line, col, config_key, pattern FROM ({_MARKED})")
+def config_positions(spark, d):
+    """Every match with its line and column."""
+    return _hits(spark, d).select("page_id", "line", "col", "config_key", "pattern")
+
+
+@query(f"SELECT page_id, line, col, config_key, arg_min(pattern, ord) AS pattern FROM ({_MARKED}) GROUP BY ALL")
+def config_sources_at(spark, d):
+    return patterns.sources_at(_hits(spark, d), "page_id")
+
+
 @query(f"SELECT page_id, pattern, config_key, count(*) AS n FROM ({_HITS}) GROUP BY ALL")
 def config_scan(spark, d):
     return _hits(spark, d).groupBy("page_id", "pattern", "config_key").agg(F.count("*").alias("n"))
