@@ -51,7 +51,22 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray = RAW) -> np.ndarray:
-    """64-bit hash of each span data[start:end]."""
+    """64-bit hash of each span data[start:end].
+
+    A span's hash doesn't depend on what stands before it, so long data is read in runs of spans of KEPT bytes or so, where starts and ends ascend.
+    """
+    if len(data) <= KEPT or (np.diff(starts) < 0).any() or (np.diff(ends) < 0).any():
+        return _spans_hash(data, starts, ends, table)
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        a = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, a + KEPT - 1, side="right")))
+        out[i:j] = _spans_hash(data[a : int(ends[j - 1])], starts[i:j] - a, ends[i:j] - a, table)
+        i = j
+    return out
+
+
+def _spans_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
     n = len(data)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(table[data] * powers(n, BASE), out=total[1:])

@@ -45,7 +45,7 @@ from ._frames import arrow_schema, quoted, release, table, tune
 from ._text import SPACE, blocks, buffers, spans_hash
 
 #: Bytes of text that share one list of words, that are numbered at once, and that a bucket of words stands for.
-GROUP, BLOCK, BUCKET = 12 << 20, 4 << 20, 8 << 20
+GROUP, BLOCK, BUCKET = 8 << 20, 2 << 20, 8 << 20
 LONG = 200
 #: More than the places in a word; a power of two.
 SCALE = 256
