@@ -74,11 +74,6 @@ def whole_language(entries: DataFrame, path: str) -> None:
     head.coalesce(1).unionByName(body).write.mode("overwrite").text(path)
 
 
-def paths_json(paths: DataFrame) -> DataFrame:
-    """paths with path_json, from which from_json gives the same structure back."""
-    return paths.withColumn("path_json", F.to_json(F.struct("source", "sink", "steps", "hops")))
-
-
 def report(stats: DataFrame, keys: DataFrame, called: DataFrame, most: int = 15) -> str:
     """A short markdown report; what it shows is bounded."""
     out = ["# Report", "", "## Counts", *[f"- {r['name']}: {r['n']}" for r in stats.orderBy("name").collect()]]

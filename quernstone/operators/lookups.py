@@ -198,8 +198,3 @@ def breakdown(rows: DataFrame, kind: str) -> DataFrame:
 def groups_of(rows: DataFrame, keys: list[str], least: int) -> DataFrame:
     """Rows whose group has least or more of them (assignments of one function through one pointer, say)."""
     return rows.join(rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).drop("_n"), keys, "left_semi")
-
-
-def first_match(symbols: DataFrame, text: str) -> DataFrame:
-    """id of the symbol that a name means: exact matches before others, then by name."""
-    return find_by_name(symbols, text, 1).select("id")

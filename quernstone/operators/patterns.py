@@ -8,14 +8,15 @@ from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x85\u2028\u2029]"
 _HITS = "array<struct<pattern: string, ord: int, config_key: string, col: int>>"
 _CONTROL = r"\b(if|while|for|switch|else|elif)\b|\?"
 _RETURN, _ASSIGN, _CALL = r"\breturn\b", r"[^=!<>]=([^=]|$)", r"\w+\s*\("
 
 
 def lines(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """key, line (from 1), content: the lines of each text; a trailing line break opens none."""
-    parts = F.split(F.regexp_replace(F.col(text), r"(\r\n|\n|\r)$", ""), r"\r\n|\n|\r")
+    """key, line (from 1), content: the lines of each text, broken at all of Unicode's line breaks; a trailing one opens none."""
+    parts = F.split(F.regexp_replace(F.col(text), rf"({_BREAK})\z", ""), _BREAK)
     return texts.where(F.col(text).isNotNull()).select(F.col(key), F.posexplode(parts).alias("line", "content")).withColumn("line", F.col("line") + 1)
 
 

@@ -8,20 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import backward, catalog, graph, intervals, pointsto, relations, resolve, taint
-from ..sources import cfront, files
+from ..sources import cfront, files, incremental
 
 
 class Code:
     """Entity frames of a set of files (as ``files.collect`` gives them) and the questions about them."""
 
-    def __init__(self, rows: DataFrame):
+    def __init__(self, rows: DataFrame, parsed: DataFrame | None = None):
         self.files = rows
-        self.parsed = graph.checkpointed(files.parse(rows))
+        self.parsed = graph.checkpointed(files.parse(rows)) if parsed is None else parsed
 
     @classmethod
     def index(cls, spark: SparkSession, roots: list[str]) -> Code:
         return cls(files.collect(spark, roots))
 
+    @classmethod
+    def update(cls, spark: SparkSession, roots: list[str], store: str) -> Code:
+        """The sources below roots by way of a parse cache in the folder store: files whose length and time are as they were there are neither read nor parsed again."""
+        held = incremental.refresh(spark, roots, store)
+        return cls(held.select("file_id", "root", "path", "file_hash", "line_count"), held.drop("root", "file_hash", "line_count", "part"))
+
     def __getattr__(self, kind: str) -> DataFrame:
         if kind in cfront.ENTITIES:
             return files.entity(self.parsed, kind)
@@ -88,6 +94,11 @@ class Code:
         of = found.select("sink_id", "sink", F.col("fn").alias("function"), "path", "line").distinct()
         return chains.join(of, "sink_id").select("source", "source_fn", "sink", "label", "function", "path", "line", backward.told(F.col("nodes")).alias("steps"), "nodes", "hops")
 
+    def reverse_trace(self, sink: str, sources: list[str] | None = None, depth: int = 6) -> DataFrame:
+        """sink, paths: the chains, as texts in order, that lead to each sink that matches the regex, and to no other."""
+        found = self.trace(sources, [sink], depth)
+        return taint.by_sink(found.select("sink", taint.chain(F.col("steps"), F.col("sink")).alias("path")))
+
     def specs(self) -> DataFrame:
         return taint.specs(self.fields, self.enum_values, self.ranges, self.trace())
 

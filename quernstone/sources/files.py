@@ -18,17 +18,33 @@ SKIPPED = ("build", "cmake-build-debug", "cmake-build-release", "node_modules",
 FILES = "file_id bigint, root string, path string, file_hash string, line_count int"
 
 
-def collect(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
-    """file_id, root, path (relative to the longest root that holds it), content, file_hash, line_count."""
-    named = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in x) for x in SUFFIXES) + "}"  # other files are never opened
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", named).load(list(roots))
+def _raw(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
+    """The files below roots as binaryFile reads them; others are never opened, and content is read only where it is selected."""
+    named = "*.{" + ",".join("".join(f"[{c}{c.upper()}]" for c in x) for x in SUFFIXES) + "}"
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", named).load(list(roots))
+
+
+def _placed(raw: DataFrame, roots: Sequence[str]) -> DataFrame:
+    """raw with full, root and path, without files in skipped folders."""
     plain = lambda p: "/" + p.split("://", 1)[-1].removeprefix("file:").strip("/") + "/"
     full = F.regexp_replace("path", "^[a-z]+:(//)?(?=/)", "")
     owner = F.array_max(F.filter(F.array(*[F.struct(F.lit(len(plain(r))).alias("n"), F.lit(plain(r)).alias("root")) for r in roots]), lambda r: F.startswith(full, r["root"])))
-    rows = raw.select(full.alias("full"), owner["root"].alias("root"), "content").where("root IS NOT NULL").withColumn("path", F.expr("substring(full, length(root) + 1)"))
+    rows = raw.withColumn("full", full).withColumn("root", owner["root"]).where("root IS NOT NULL").withColumn("path", F.expr("substring(full, length(root) + 1)"))
     folders = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
-    keep = F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*SUFFIXES) & ~F.exists(folders, lambda f: f.startswith(".") | f.isin(*SKIPPED))
-    return rows.where(keep).select(F.xxhash64("root", "path").alias("file_id"), "root", "path", "content", F.sha2("content", 256).alias("file_hash"), (F.size(F.split(F.decode("content", "UTF-8"), "\n"))).alias("line_count"))
+    return rows.where(F.lower(F.element_at(F.split("path", r"\."), -1)).isin(*SUFFIXES) & ~F.exists(folders, lambda f: f.startswith(".") | f.isin(*SKIPPED)))
+
+
+def listing(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
+    """file_id, full, length, modified of the files that collect() would read; their content isn't."""
+    found = _placed(_raw(spark, roots).select("path", "length", "modificationTime"), roots)
+    return found.select(F.xxhash64("root", "path").alias("file_id"), "full", "length", F.col("modificationTime").alias("modified"))
+
+
+def collect(spark: SparkSession, roots: Sequence[str], since=None) -> DataFrame:
+    """file_id, root, path (relative to the longest root that holds it), content, file_hash, line_count; since: only files modified then or later, others are not opened."""
+    raw = _raw(spark, roots)
+    rows = _placed(raw if since is None else raw.where(F.col("modificationTime") >= F.lit(since)), roots)
+    return rows.select(F.xxhash64("root", "path").alias("file_id"), "root", "path", "content", F.sha2("content", 256).alias("file_hash"), (F.size(F.split(F.decode("content", "UTF-8"), "\n"))).alias("line_count"))
 
 
 def _nested() -> T.StructType:
@@ -63,7 +79,7 @@ def corpus() -> str:
 
 
 def corpus_frame(spark: SparkSession) -> DataFrame:
-    """The corpus as collect() gives it, from the driver's copy: four small files of fixed size, so that executors need no shared folder."""
+    """The corpus as collect() gives it, from the driver's copy: five small files of fixed size, so that executors need no shared folder."""
     rows = []
     for name in sorted(os.listdir(corpus())):
         if name.rsplit(".", 1)[-1] in SUFFIXES:

@@ -57,3 +57,9 @@ def test_labels_and_nodes(found):
     chain = [n.var for n in found["reassigned"][0].nodes]
     assert chain == ["u", "t", "cfg->one"] and found["reassigned"][0].hops == 2
     assert [n.transform for n in found["return"][0].nodes][1] == "=return_pick(...)"
+
+
+def test_reverse_trace(spark, tmp_path):
+    (tmp_path / "a.c").write_text("void f(struct s *cfg, struct r *regs) {\n int t = cfg->x;\n regs->a = t;\n regs->b = cfg->y;\n}\n")
+    got = Code.index(spark, [str(tmp_path)]).reverse_trace(r"\bregs->a\b").collect()
+    assert [(r.sink, r.paths) for r in got] == [("regs->a = t", ["f:cfg->x -> f:t => regs->a = t"])]

@@ -87,5 +87,14 @@ def test_roots(spark):
     assert {tuple(r) for r in resolve.owning_roots(files, roots).collect()} == {("/a/b/c.c", "/a/b"), ("/a/bc/d.c", "/a/"), ("/x/y.c", None), ("/a/b", "/a/b")}
 
 
+def test_line_breaks_and_report(spark):
+    text = "a\r\nb\x0bc\x0cd\x1ce\x85f\u2028g\rh\n\ni\n"
+    got = patterns.lines(spark.createDataFrame([(1, text)], "id long, text string"), "id", "text").orderBy("line").collect()
+    assert [r.content for r in got] == text.splitlines() and [r.line for r in got] == list(range(1, 11))
+    named = lambda *rows: spark.createDataFrame(list(rows), "name string, n long")
+    text = exports.report(named(("files", 3)), named(("HOME", 2), ("A", 2)), spark.createDataFrame([("f", 9)], "id string, n long"))
+    assert text.index("- files: 3") < text.index("- A: 2") < text.index("- HOME: 2") < text.index("- f: 9")
+
+
 def test_views_of_the_trace_are_whole_tables():
     assert not any("LIMIT" in v for v in model.VIEWS.values()) and F is not None
