@@ -444,7 +444,11 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' columns but for text, with n_tokens, ids (binary), ids_sha256 and decoded_sha256."""
+    """The documents' columns but for text, with n_tokens, ids (binary), ids_sha256 and decoded_sha256.
+
+    Null and empty texts have no ids and stay; repeated rows are encoded each by itself; an empty table gives none. A column of the
+    documents keeps its name, and what is made under that name gets _of_tokens behind it.
+    """
     names = [c for c in docs.columns if c != "text"]
     made = encode(docs, keep=names)
     out = ["n_tokens", "ids", "ids_sha256", "decoded_sha256"]

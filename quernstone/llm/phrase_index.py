@@ -234,7 +234,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark passage."""
+    """Documents without a benchmark passage.
+
+    Null and empty texts have no words and stay; items without words match nothing; repeated rows are judged alike, and a null doc_id like any
+    other; an empty table gives none. Columns of any name come out as they were.
+    """
     names = docs.columns
     found = decontaminate(spark, docs, table(spark, sf_dir, "benchmark"), keep=names)
     return unpacked(found.where("NOT out.contaminated"), names)

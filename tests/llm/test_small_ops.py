@@ -102,3 +102,70 @@ def test_pipeline(spark, folder):
     assert sorted(r.doc_id for r in out) == [*range(12), 25]
     assert all(r.n_tokens > 0 and len(r.ids) == 4 * r.n_tokens for r in out)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "benchmark", "personal_data", "tokens"]
+
+
+def plain_languages(rows):
+    """Predictions with dictionaries: vectors by position, n-grams letter by letter."""
+    import zlib
+
+    import numpy as np
+
+    base = langid.letters()[0]
+
+    def grams(text):
+        s, out = [0], {}
+        for c in text or "":
+            k = int(langid.classes()[ord(c.lower() if len(c.lower()) == 1 else c)])
+            if k or s[-1]:
+                s.append(k)
+        s += [0] if s[-1] else []
+        for a, b, c in zip(s, s[1:], s[2:], strict=False):
+            if b:
+                out[a, b, c] = out.get((a, b, c), 0) + 1
+        return out
+
+    def bundle(counts):
+        total = np.zeros(langid.DIMENSIONS)
+        for (a, b, c), n in counts.items():
+            total += n * np.array([base[a][d - 2] * base[b][d - 1] * base[c][d] for d in range(langid.DIMENSIONS)])
+        return total
+
+    def held(i):
+        return zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 0
+
+    sums, vectors = {}, [bundle(grams(t)) for _, t, *_ in rows]
+    for (i, t, lang, *_), v in zip(rows, vectors, strict=True):
+        if lang is not None and t is not None and not held(i):
+            sums[lang] = sums.get(lang, 0) + v
+    out = []
+    for (i, t, *_), v in zip(rows, vectors, strict=True):
+        cos = {k: round(float(v @ s) / (np.linalg.norm(v) * np.linalg.norm(s)), 6) for k, s in sums.items() if v.any() and s.any()}
+        best = min(cos, key=lambda k: (-cos[k], k)) if cos else "und"
+        out.append((i, held(i), best, max(0.0, min(1.0, cos.get(best, 0.0)))))
+    return sorted(out, key=repr)
+
+
+def test_language_against_dictionaries(spark, folder):
+    rng = random.Random(7)
+    syllables = {k: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéñßдж") for _ in range(rng.randint(1, 3))) for _ in range(12)] for k in ("aa", "bb", "cc")}
+    rows = [(i, words(rng, syllables[k], rng.randint(1, 25)) + rng.choice(["", " 12.", "É!", "\nİx"]), rng.choice([k, k, None]), "s", 1) for i in range(60) for k in [rng.choice(list(syllables))]]
+    rows += [(70, None, "aa", "s", 0), (71, "12 --", "bb", "s", 0), (72, "", None, "s", 0), (73, "a", None, "s", 0), (None, rows[0][1], None, "s", 1), (3, rows[3][1], "aa", "s", 1)]
+    got = sorted(((r.doc_id, r.held_out, r.lang_pred, r.score) for r in langid.op3_langid(spark, folder(rows)).collect()), key=repr)
+    want = plain_languages(rows)
+    assert [g[:3] for g in got] == [w[:3] for w in want] and all(abs(g[3] - w[3]) < 2e-5 for g, w in zip(got, want, strict=True))
+
+
+def test_empty_and_repeated_rows_of_the_pipeline(spark, folder):
+    assert langid.op3_langid(spark, folder()).count() == 0
+
+
+def test_pipeline_on_nothing_and_on_copies(spark, folder, tmp_path):
+    assert corpus_pipeline.run(spark, folder()).count() == 0
+
+
+def test_pipeline_with_null_keys_and_copies(spark, folder):
+    rng = random.Random(3)
+    texts = [words(rng, ["th", "ing", "er", "an", "re", "on"], 60) for _ in range(6)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[1]), (None, words(rng, ["th", "ing", "er", "an"], 50)), (9, "long " + " ".join(texts) * 40)]
+    out = corpus_pipeline.run(spark, folder(rows)).collect()
+    assert sorted((r.doc_id for r in out), key=lambda x: (x is None, x)) == [0, 1, 2, 3, 4, 5, 9, None]
