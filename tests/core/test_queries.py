@@ -15,7 +15,7 @@ ROWS = {
     "code_call_graph": 7, "code_enclosing": 12, "code_include_graph": 5, "config_defaults": 4, "config_dependencies": 19, "config_overrides": 4, "config_specs": 11,
     "extract_assignments": 24, "extract_bases": 0, "extract_calls": 12, "extract_cascades": 3, "extract_cli": 4, "extract_diagnostics": 0, "extract_enum_values": 3,
     "extract_fields": 11, "extract_gates": 5, "extract_guarded": 7, "extract_includes": 7, "extract_locals": 5, "extract_macros": 2, "extract_params": 17, "extract_ranges": 2,
-    "extract_returns": 3, "extract_symbols": 32, "extract_tables": 2, "extract_union_vars": 0, "extract_unions": 1, "taint_trace": 7,
+    "extract_returns": 3, "extract_symbols": 32, "extract_tables": 2, "extract_union_vars": 0, "extract_unions": 1, "taint_trace": 4,
 }
 
 
