@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 from ._frames import arrow_schema, lean, quoted, shared_dir, table, tune, unpacked
 from ._text import LOWER, NOT_ALNUM, blocks, buffers, shingles, spans_hash, word_spans
 
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 #: Distinct windows of one chunk, and so the bound of what is broadcast (about 100 bytes each).
 CHUNK = 250_000
 
