@@ -39,6 +39,8 @@ from ._text import MIX1, blocks, buffers, mix, spans_hash
 
 GROUP = 6 << 20
 LENGTH, GRAM = 50, 20
+#: Places of segments whose spans are told at once.
+PLACES = 1 << 18
 LAST = np.iinfo(np.int64).max
 FIVE = np.uint64(2**40 - 1)
 
@@ -191,7 +193,19 @@ def _chunks(docs: DataFrame, groups: int, text: str, keep) -> DataFrame:
     return source.mapInArrow(run, schema)
 
 
-# --- suffixes of a bucket
+# --- a bucket's minimizers and suffixes
+
+
+def shared_by(one: list[np.ndarray], more: list[np.ndarray]) -> list[np.ndarray]:
+    """Of each group's minimizers (of one document, of several) those that are not of one document alone.
+
+    A bucket has as many groups as there are, so what a group costs goes by its own minimizers: they are looked up, not sorted along with all.
+    """
+    v = np.sort(np.concatenate([*one, *more, *more]))
+    shared = np.unique(v[1:][v[1:] == v[:-1]])
+    if not len(shared):
+        return more
+    return [np.concatenate([m, x[shared[np.minimum(np.searchsorted(shared, x), len(shared) - 1)] == x]]) for x, m in zip(one, more, strict=True)]
 
 
 def earlier(data: np.ndarray, begin: np.ndarray, size: np.ndarray, owner: np.ndarray):
@@ -269,11 +283,7 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
 
     def share(part: pa.Table) -> pa.Table:
         """Which minimizers of a bucket are not of one document alone, told to each group that holds them."""
-        one = [_from_five(x) for x in part.column("one").to_pylist()]
-        more = [_from_five(x) for x in part.column("more").to_pylist()]
-        v = np.sort(np.concatenate([*one, *more, *more]))
-        shared = np.unique(v[1:][v[1:] == v[:-1]])
-        held = [np.concatenate([m, x[np.isin(x, shared)]]) for x, m in zip(one, more, strict=True)]
+        held = shared_by([_from_five(x) for x in part.column("one").to_pylist()], [_from_five(x) for x in part.column("more").to_pylist()])
         some = [k for k, x in enumerate(held) if len(x)]
         return pa.table({"g": part.column("g").take(pa.array(some, pa.int64())), "bucket": part.column("bucket").take(pa.array(some, pa.int64())), "shared": pa.array([_five(held[k]) for k in some], pa.binary())})
 
@@ -317,7 +327,7 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
         bucket = part.column("bucket")[0].as_py()
         if bucket < 0:
             return pa.table({"g": part.column("g"), "spans": part.column("pieces")})
-        got = [_unpack(x, *PIECE) for x in part.column("pieces").to_pylist()]
+        got, part_g = [_unpack(x, *PIECE) for x in part.column("pieces").to_pylist()], part.column("g").to_pylist()
         size = np.concatenate([x[0] for x in got]).astype(np.int64)
         own = np.concatenate([x[1] for x in got])
         data = np.concatenate([x[5] for x in got])
@@ -343,11 +353,13 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
         run_of[heads] = np.arange(len(heads))
         many = np.bincount(head, minlength=len(heads))
         where = np.concatenate([[0], np.cumsum(many)])
-        out_g, out, base = [], [], 0
-        for g, x in zip(part.column("g").to_pylist(), got, strict=True):
-            rec = np.arange(base, base + len(x[0]))
-            base += len(x[0])
-            r = rec[x[2]]  # the segment of each place
+        out_g, out, base = [], [], np.concatenate([[0], np.cumsum([len(x[0]) for x in got])])
+        ends = np.cumsum([len(x[2]) for x in got])
+        i = 0
+        while i < len(got):  # runs of groups, of PLACES places or so
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + PLACES, side="right")))
+            some = got[i:j]
+            r = np.concatenate([x[2] + b for x, b in zip(some, base[i:j], strict=True)])  # the segment of each place
             late = own[r] > own[stands[r]]
             k = run_of[stands[r]]
             n = np.where(late, 1, many[k])
@@ -355,10 +367,14 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
             nth = np.arange(len(place)) - np.repeat(np.cumsum(n) - n, n)
             pick = np.minimum(where[k[place]] + nth, max(len(off) - 1, 0))
             o = np.where(late[place], 0, off[pick] if len(off) else 0)
-            w = np.where(late[place], size[r[place]], width[pick] if len(off) else 0)
-            if len(place):
-                out_g.append(g)
-                out.append(_pack(x[3][place], (x[4][place] + o).astype(np.uint32), w.astype(np.uint32)))
+            w = np.where(late[place], size[r[place]], width[pick] if len(off) else 0).astype(np.uint32)
+            doc, start = np.concatenate([x[3] for x in some])[place], (np.concatenate([x[4] for x in some])[place] + o).astype(np.uint32)
+            cuts = np.searchsorted(place, np.concatenate([[0], np.cumsum([len(x[2]) for x in some])]))
+            for q in np.flatnonzero(np.diff(cuts)).tolist():
+                of = slice(cuts[q], cuts[q + 1])
+                out_g.append(part_g[i + q])
+                out.append(_pack(doc[of], start[of], w[of]))
+            i = j
         return pa.table({"g": pa.array(out_g, pa.int32()), "spans": pa.array(out, pa.binary())})
 
     kept = chunks.schema["docs"].dataType.elementType
