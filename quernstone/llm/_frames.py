@@ -21,6 +21,8 @@ from ._text import buffers
 BATCH_ROWS = 2000
 BATCH_BYTES = 8 << 20
 
+#: Writing rows of megabytes: Parquet looks at the size of a row group every 100 rows otherwise, and holds them all in memory until then, as does who reads them.
+BIG_ROWS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
 
 _recorders: list[list[str]] = []
 

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._frames import arrow_schema, quoted, release, shared_dir, table, tune
+from ._frames import BIG_ROWS, arrow_schema, quoted, release, shared_dir, table, tune
 from ._text import LOWER, NOT_ALNUM, blocks, buffers, spans_hash, sums, word_spans
 
 #: Bytes of text of a shard, and documents of a block.
@@ -119,7 +119,7 @@ def build(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -
                 shard += 1
         release()
 
-    source.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
+    source.mapInArrow(run, schema).write.options(compression="zstd", **BIG_ROWS).parquet(path)
     return docs.sparkSession.read.schema(schema).parquet(path)
 
 

@@ -6,7 +6,9 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 from quernstone.llm import block_max
 
 
@@ -99,3 +101,14 @@ def test_no_items(spark, folder):
 
 def test_all_texts_empty(spark, folder):
     assert block_max.op13_block_max(spark, folder([(1, None), (2, "!")], [(1, "a"), (2, "!")])).count() == 0
+
+
+def test_row_groups_stay_small(spark, tmp_path):
+    """Who writes or reads the index holds a row group: shards of one task don't share one beyond some megabytes."""
+    words = F.transform(F.sequence(F.lit(0), F.lit(200_000)), lambda x: F.concat(F.hex(x), F.lit("q"), F.col("id").cast("string")))
+    docs = spark.range(0, 4, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.array_join(words, " "), 3).alias("text"))
+    block_max.build(docs, f"file://{tmp_path}/index")
+    (part,) = (tmp_path / "index").glob("*.parquet")
+    found = pq.ParquetFile(part).metadata
+    assert found.num_rows == 4 and found.num_row_groups > 1
+    assert max(found.row_group(k).total_byte_size for k in range(found.num_row_groups)) < 20 << 20
