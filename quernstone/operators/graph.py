@@ -215,25 +215,114 @@ def chains(edges: DataFrame, starts: DataFrame, depth: int = 6, fan_out: int = 5
     return done.orderBy("path").limit(most) if most else done
 
 
+#: Lesser neighbours of one node that a task may sort; where a node has more, the least of all is joined instead, as such a join can be split.
+HUB = 1_000_000
+
+
+def weak_components(edges: DataFrame) -> DataFrame:
+    """id, piece (its least node): nodes of edges, directions left aside.
+
+    Alternating stars over pairs of a node and a lesser one: the greater neighbours of a node go to the least that it knows, then it
+    and its lesser neighbours do. Done when a round moves no pair; a path takes about log n rounds.
+    """
+    pairs = checkpointed(edges.where("src <> dst").select(F.greatest("src", "dst").alias("id"), F.least("src", "dst").alias("near")).distinct())
+    while True:
+        least = pairs.groupBy(F.col("id").alias("near")).agg(F.min("near").alias("least"))
+        up = pairs.join(least, "near", "left").select("id", F.coalesce("least", "near").alias("near"), F.col("least").isNotNull().alias("moved"))
+        if pairs.groupBy("id").count().where(F.col("count") > HUB).isEmpty():
+            told = up.withColumn("least", F.min("near").over(Window.partitionBy("id")))
+        else:
+            told = up.join(up.groupBy("id").agg(F.min("near").alias("least")), "id")
+        own = F.struct("id", F.col("least").alias("near"), (F.col("moved") | (F.col("near") > F.col("least"))).alias("moved"))
+        other = F.struct(F.col("near").alias("id"), F.col("least").alias("near"), F.lit(True).alias("moved"))
+        down = told.select(F.explode(F.array(own, other)).alias("pair")).select("pair.*").where("id > near")
+        pairs = checkpointed(down.groupBy("id", "near").agg(F.max("moved").alias("moved")))
+        if pairs.where("moved").isEmpty():
+            return pairs.select("id", F.col("near").alias("piece")).unionByName(pairs.select(F.col("near").alias("id"), F.col("near").alias("piece")).distinct())
+        pairs = pairs.drop("moved")
+
+
+#: Edges of a weakly connected piece up to which one task finds its strong components, together with other pieces of as many edges.
+PIECE = 50_000
+
+
+def _owners(first: list[int], to: list[int]) -> list[int]:
+    """A node of the strong component of each node, whose edges are to[first[node]:first[node + 1]]; depth first (Tarjan), no recursion."""
+    n = len(first) - 1
+    seen, low, owner, at, stack, turn = [0] * n, [0] * n, [-1] * n, first[:n], [], 0
+    for root in range(n):
+        path = [] if seen[root] else [root]
+        while path:
+            u = path[-1]
+            if not seen[u]:
+                turn += 1
+                seen[u] = low[u] = turn
+                stack.append(u)
+            if at[u] < first[u + 1]:
+                v = to[at[u]]
+                at[u] += 1
+                if not seen[v]:
+                    path.append(v)
+                elif owner[v] < 0:
+                    low[u] = min(low[u], seen[v])
+                continue
+            path.pop()
+            if path:
+                low[path[-1]] = min(low[path[-1]], low[u])
+            while low[u] == seen[u] and owner[u] < 0:
+                owner[stack.pop()] = u
+    return owner
+
+
+def _solved(edges):
+    """id, component of a group of whole pieces, as pandas."""
+    import numpy as np
+    import pandas as pd
+
+    code, ids = pd.factorize(pd.concat([edges["src"], edges["dst"]], ignore_index=True), sort=True)
+    src, dst = np.split(code, 2)
+    order = np.argsort(src, kind="stable")
+    owner = np.array(_owners(np.searchsorted(src[order], np.arange(len(ids) + 1)).tolist(), dst[order].tolist()))
+    _, least, own, n = np.unique(owner, return_index=True, return_inverse=True, return_counts=True)
+    kept = n[own] > 1
+    return pd.DataFrame({"id": np.asarray(ids)[kept], "component": np.asarray(ids)[least[own[kept]]]})
+
+
+def _trimmed(left: DataFrame, passes: int | None = None) -> tuple[DataFrame, int]:
+    """Edges without those of nodes that have none in or none out, and their number; until none goes, or so many passes."""
+    n = left.count()
+    while n and (passes is None or passes > 0):
+        into, out = left.select(F.col("dst").alias("src")).distinct(), left.select(F.col("src").alias("dst")).distinct()
+        left = checkpointed(left.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst"))
+        before, n, passes = n, left.count(), passes and passes - 1
+        if n == before:
+            break
+    return left, n
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
     """id, component (its least id): nodes of strongly connected components of two nodes or more.
 
+    Weakly connected pieces of at most PIECE edges are dealt to tasks, which find their components; larger ones take rounds over all tasks:
     Every node gets a random label and takes the least label that reaches it and the least that it reaches. Nodes of one component
     agree in both. Where the two are one label, its node and all that have it are a component; edges between
-    nodes that differ are cut, nodes without an edge in or out are trimmed, and the rest is labelled anew.
+    nodes that differ are cut, nodes without an edge in or out are trimmed, and what is left, by now in smaller pieces, begins anew.
     """
-    left = checkpointed(simple(edges).where("src <> dst"))
-    found, turn = node_ids(left).limit(0).select("id", F.lit(None).cast("long").alias("label")), 0
-    while True:
-        n = left.count()
-        while n:
-            into, out = left.select(F.col("dst").alias("src")).distinct(), left.select(F.col("src").alias("dst")).distinct()
-            left = checkpointed(left.join(into, "src", "left_semi").join(out, "dst", "left_semi").select("src", "dst"))
-            before, n = n, left.count()
-            if n == before:
-                break
-        if not n:
+    left, n = _trimmed(checkpointed(simple(edges).where("src <> dst")), 1)
+    found, turn = node_ids(left).limit(0).select("id", F.col("id").alias("component")), 0
+    while n:
+        at = checkpointed(left.join(weak_components(left).withColumnRenamed("id", "src"), "src").select("src", "dst", "piece"))
+        large = checkpointed(at.groupBy("piece").count().where(F.col("count") > PIECE).select("piece"))
+        cut = not large.isEmpty()
+        small = at.join(large, "piece", "left_anti") if cut else at
+        groups = small.select("src", "dst", F.pmod(F.xxhash64("piece"), F.lit(-(-n // PIECE))).alias("group")).groupBy("group")
+        found = found.unionByName(checkpointed(groups.applyInPandas(_solved, found.schema)))
+        if not cut:
             break
+        before = at.join(large, "piece", "left_semi").select("src", "dst")
+        left, n = _trimmed(before)
+        if not n or n < before.count():
+            continue
         turn += 1
         label = F.xxhash64("id", F.lit(turn))
         at = checkpointed(node_ids(left).select("id", label.alias("from"), label.alias("to"), F.lit(True).alias("new")))
@@ -244,29 +333,29 @@ def strong_components(edges: DataFrame) -> DataFrame:
             told = on.unionByName(back).groupBy("id").agg(F.min("f").alias("f"), F.min("t").alias("t"))
             less = F.coalesce(F.col("f") < F.col("from"), F.lit(False)) | F.coalesce(F.col("t") < F.col("to"), F.lit(False))
             at = checkpointed(at.join(told, "id", "left").select("id", F.least("from", "f").alias("from"), F.least("to", "t").alias("to"), less.alias("new")))
-        found = found.unionByName(at.where(F.col("from") == F.col("to")).select("id", F.col("from").alias("label")))
+        labelled = at.where(F.col("from") == F.col("to"))
+        least = labelled.groupBy(F.col("from")).agg(F.min("id").alias("component"), F.count("*").alias("n")).where("n > 1")
+        found = found.unionByName(labelled.join(least, "from").select("id", "component"))
         end = lambda e: at.where(F.col("from") != F.col("to")).select(F.col("id").alias(e), F.struct("from", "to").alias(f"c_{e}"))  # noqa: B023,E731
-        left = checkpointed(left.join(end("src"), "src").join(end("dst"), "dst").where("c_src = c_dst").select("src", "dst"))
-    least = found.groupBy("label").agg(F.min("id").alias("component"), F.count("*").alias("n")).where("n > 1")
-    return found.join(least, "label").select("id", "component")
+        left, n = _trimmed(checkpointed(left.join(end("src"), "src").join(end("dst"), "dst").where("c_src = c_dst").select("src", "dst")))
+    return found
 
 
 def cycles(edges: DataFrame, length: int | None = None) -> DataFrame:
     """path: elementary cycles, each once, from its smallest node on (which isn't repeated at the end); of at most length edges where that is given.
 
-    Without a length, only edges within strongly connected components are searched, from all nodes at once; a component's
-    number of nodes bounds the rounds. Their number is exponential by nature; a length bounds it.
+    Without a length, only edges within strongly connected components are searched, from all nodes at once that a greater one leads back to;
+    a component's number of nodes bounds the rounds. Their number is exponential by nature; a length bounds it.
     """
-    step = simple(edges)
+    step = checkpointed(simple(edges))
     if length is None:
         own = checkpointed(strong_components(step))
         end = lambda e: own.select(F.col("id").alias(e), F.col("component").alias(f"c_{e}"))
         inner = step.join(end("src"), "src").join(end("dst"), "dst").where("c_src = c_dst").select("src", "dst")
-        step = inner.unionByName(step.where("src = dst")).distinct()
-    step = checkpointed(step)
-    front = step.where("src <= dst").select(F.array("src").alias("path"), F.col("dst").alias("next"))
-    found = front.where(F.element_at("path", 1) == F.col("next")).select("path")
-    front = front.where(F.element_at("path", 1) < F.col("next"))
+        step = checkpointed(inner.where("src <> dst").unionByName(step.where("src = dst")))
+    found = step.where("src = dst").select(F.array("src").alias("path"))
+    ends = step.where("src > dst").select(F.col("dst").alias("src")).distinct()
+    front = step.where("src < dst").join(ends, "src", "left_semi").select(F.array("src").alias("path"), F.col("dst").alias("next"))
     n = 1
     while length is None or n < length:
         n += 1
